@@ -7,7 +7,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["market"]
+MODULES = ["market", "joins", "posts"]
 
 
 def load_all():
