@@ -7,7 +7,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["market", "joins", "posts"]
+MODULES = ["market", "joins", "posts", "sentiment"]
 
 
 def load_all():

@@ -193,7 +193,7 @@ CONV = """SELECT 'C' || (conv_id % 7) AS ticker, TIMESTAMP '2024-01-01' + to_min
     WITH c AS ({CONV}), q AS (SELECT DISTINCT ticker, c.at AS as_of FROM c), j AS (
       SELECT q.ticker, q.as_of, c.kind, c.record_id, c.at, row_number() OVER (PARTITION BY q.ticker, q.as_of ORDER BY c.at DESC, c.kind DESC, c.record_id DESC) AS rn
       FROM q JOIN c ON c.ticker = q.ticker AND c.at <= q.as_of)
-    SELECT ticker, as_of, kind, record_id, at, row_number() OVER (PARTITION BY ticker, as_of ORDER BY at, kind, record_id) AS pos FROM j WHERE rn <= 40"""))
+    SELECT ticker, as_of, kind, record_id, j.at, row_number() OVER (PARTITION BY ticker, as_of ORDER BY j.at, kind, record_id) AS pos FROM j WHERE rn <= 40"""))
 def w25(spark, sf):
     d, m = conversation_records(spark, sf)
     req = d.select("ticker", F.col("ts").alias("as_of")).union(m.select("ticker", "range_end")).distinct()
