@@ -7,7 +7,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["market", "joins", "posts", "sentiment"]
+MODULES = ["market", "joins", "posts", "sentiment", "text"]
 
 
 def load_all():
