@@ -362,7 +362,7 @@ def spam_percent(value: Column) -> Column:
 
 def reason_text(one: Column, many: Column) -> Column:
     """H-S26: the reason, else the joined list of reasons."""
-    listed = F.array_join(F.filter(F.transform(many, F.trim), lambda x: x != ""), "; ")
+    listed = F.array_join(F.filter(F.transform(many, lambda x: F.trim(x)), lambda x: x != ""), "; ")
     return F.coalesce(F.nullif(F.trim(one), F.lit("")), listed, F.lit(""))
 
 

@@ -24,7 +24,7 @@ def load_tickers(df: DataFrame) -> DataFrame:
     """Typed dimension from the all-string enriched file."""
     sym = F.upper(F.trim(F.col("Symbol")))
     aliases = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), ","), lambda a: F.upper(F.trim(a))), lambda a: a != "")
-    themes = F.filter(F.transform(F.split(F.coalesce("themes", F.lit("")), ","), F.trim), lambda a: a != "")
+    themes = F.filter(F.transform(F.split(F.coalesce("themes", F.lit("")), ","), lambda x: F.trim(x)), lambda a: a != "")
     return df.select(
         sym.alias("symbol"), blank_to_null(F.col("longName")).alias("long_name"),
         F.coalesce(blank_to_null(F.col("sector")), F.lit("UNKNOWN")).alias("sector"),
@@ -296,7 +296,7 @@ def build_aliases(sym: Column, kind: Column, long_name: Column, short_name: Colu
         pick(coin, F.array_compact(F.array(F.nullif(long_name, F.lit("")), c, join(c, " price"), join(c, "/USD"), join(c, " USD"), join(c, "-USD")))),
         pick(coin & coin_name.isNotNull(), F.array(coin_name, join(coin_name, " price"), join(coin_name, " to USD"))),
     ]
-    flat = F.transform(F.array_compact(F.concat(*parts)), F.trim)
+    flat = F.transform(F.array_compact(F.concat(*parts)), lambda x: F.trim(x))
     return F.array_sort(F.array_distinct(F.filter(flat, lambda x: x != "")))
 
 
@@ -422,7 +422,7 @@ def enrich(info: DataFrame, perf: DataFrame, on_day: Column) -> DataFrame:
     lacks = F.col("adv_value").isNull() | (F.col("adv_value") <= 0)
     est = F.coalesce("average_volume", F.lit(0.0)) * F.coalesce("last_close", F.lit(0.0))
     df = df.withColumn("adv_value", F.when(lacks & F.col("asset_type").isin(M.EQUITY_TYPES), est).otherwise(F.col("adv_value")))
-    split = F.filter(F.transform(F.split("themes", ","), F.trim), lambda t: t != "")
+    split = F.filter(F.transform(F.split("themes", ","), lambda x: F.trim(x)), lambda t: t != "")
     return df.withColumn("themes_primary", F.array_join(primary_themes(split, F.col("sector")), ", "))
 
 
@@ -465,7 +465,7 @@ def sector_leaders(df: DataFrame, n: int = 12, order: str = "best") -> DataFrame
 
 def theme_leaders(df: DataFrame, n: int = 20, order: str = "best") -> DataFrame:
     """C14: ranks inside each theme."""
-    split = F.filter(F.transform(F.split(F.coalesce("themes", F.lit("")), ","), F.trim), lambda t: t != "")
+    split = F.filter(F.transform(F.split(F.coalesce("themes", F.lit("")), ","), lambda x: F.trim(x)), lambda t: t != "")
     flat = df.withColumn("theme", F.explode(F.array_distinct(split)))
     top = _first(_leader_scores(flat, ["theme"], (0.35, 0.35, 0.30)), "theme", n, order)
     return top.withColumn("proxies", F.coalesce(lookup({k: v[1] for k, v in M.THEMES.items()}, F.col("theme")), F.lit("")))

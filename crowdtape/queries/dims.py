@@ -70,7 +70,7 @@ def c14_sector(spark, sf):
 
 
 @query("c14_theme_leaders", "C14 W22 L7", sql(f"""
-    WITH d AS ({DIM}), r AS (SELECT *, {_TR} FROM d), s AS (SELECT symbol, theme, {_TS} AS score FROM r)
+    WITH d AS (SELECT DISTINCT * FROM ({DIM})), r AS (SELECT *, {_TR} FROM d), s AS (SELECT symbol, theme, {_TS} AS score FROM r)
     SELECT symbol, theme, round(score,4) AS leader_score, place FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY round(score,9), symbol) AS place FROM s) WHERE place <= 20"""))
 def c14_theme(spark, sf):
     out = K.theme_leaders(scored_dim(spark, sf), 20)
