@@ -7,7 +7,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["market", "joins", "posts", "sentiment", "text", "dims"]
+MODULES = ["market", "joins", "posts", "sentiment", "text", "dims", "trading"]
 
 
 def load_all():

@@ -296,3 +296,33 @@ def w21_annual_volatility(spark, sf):
       CASE WHEN count(*) >= 2 THEN round((arg_max(close,ts)-arg_min(close,ts))*100/arg_min(close,ts),4) END AS change_pct FROM bars GROUP BY symbol, interval"""))
 def a29_window_change(spark, sf):
     return r8(r4(I.window_change(X.daily_bars(spark, sf)), "change_pct"), "first_close", "last_close")
+
+
+@query("c01_technical_snapshot", "C1 W3 W8 W11 W12 W13 W15 W16 W19", sql("""
+    WITH t AS (SELECT symbol, CASE WHEN count(*) >= 15 THEN (exp(regr_slope(ln(close), -rn)) - 1)*100 END AS p, CASE WHEN count(*) >= 15 THEN CASE WHEN regr_syy(ln(close), -rn) > 0 THEN regr_r2(ln(close), -rn) ELSE 0 END END AS r FROM ordbars WHERE rn <= 30 GROUP BY symbol),
+    v AS (SELECT symbol, CASE WHEN count(*) >= 50 THEN stddev_pop(r) FILTER (WHERE rn <= 20)*sqrt(252)*100 END AS c, CASE WHEN count(*) >= 50 AND count(r) >= 80 THEN stddev_pop(r) FILTER (WHERE rn > 20 AND rn <= 80)*sqrt(252)*100 END AS b
+          FROM (SELECT *, close/lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM ordbars WHERE rn <= 85) GROUP BY symbol),
+    s AS (SELECT symbol, max(CASE WHEN n=7 AND low=lo AND low<=last THEN low END) AS sup, min(CASE WHEN n=7 AND high=hi AND high>=last THEN high END) AS res FROM (
+          SELECT *, count(*) OVER w AS n, max(high) OVER w AS hi, min(low) OVER w AS lo, first(close) OVER (PARTITION BY symbol ORDER BY rn) AS last FROM ordbars WHERE rn <= 90
+          WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) GROUP BY symbol),
+    m AS (SELECT symbol, max(ts) AS last_ts, arg_max(close, ts) AS close, CASE WHEN count(*) FILTER (WHERE rn<=20)=20 THEN avg(close) FILTER (WHERE rn<=20) END AS sma20, CASE WHEN count(*) FILTER (WHERE rn<=50)=50 THEN avg(close) FILTER (WHERE rn<=50) END AS sma50,
+          CASE WHEN count(*) FILTER (WHERE rn<=200)=200 THEN avg(close) FILTER (WHERE rn<=200) END AS sma200 FROM ordbars GROUP BY symbol)
+    SELECT m.symbol, last_ts AS "asof", round(close,8) AS close, round(sma20,4) AS sma20, round(sma50,4) AS sma50, round(sma200,4) AS sma200, coalesce(sma50 > sma200, false) AS golden_cross,
+      CASE WHEN p > 0 THEN 'up' WHEN p < 0 THEN 'down' WHEN p IS NOT NULL THEN 'flat' END AS trend_direction, round(p,4) AS slope_pct_per_day, round(r,4) AS trend_r2,
+      round(c,4) AS realized_vol_pct, round(CASE WHEN c <> 0 AND b <> 0 THEN c/b END,4) AS vol_ratio, round(sup,8) AS nearest_support, round(res,8) AS nearest_resistance
+    FROM m JOIN t USING (symbol) JOIN v USING (symbol) JOIN s USING (symbol)"""))
+def c01_technical_snapshot(spark, sf):
+    from ..plans.snapshot import technical_snapshot
+
+    df = technical_snapshot(X.daily_bars(spark, sf))
+    df = r4(df, "sma20", "sma50", "sma200", "slope_pct_per_day", "trend_r2", "realized_vol_pct", "vol_ratio")
+    return r8(df, "close", "nearest_support", "nearest_resistance").select(
+        "symbol", "asof", "close", "sma20", "sma50", "sma200", "golden_cross", "trend_direction", "slope_pct_per_day",
+        "trend_r2", "realized_vol_pct", "vol_ratio", "nearest_support", "nearest_resistance")
+
+
+@query("c01_snapshot_all_tools", "C1 W3 W8 W11 W19")
+def c01_all(spark, sf):
+    from ..plans.snapshot import technical_snapshot
+
+    return technical_snapshot(X.daily_bars(spark, sf))
