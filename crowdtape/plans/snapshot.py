@@ -97,34 +97,87 @@ def _report(df, keys, trend_days, vol_days, vol_base, sr_days, boll_days, obv_da
     return I.with_cross_flags(out).drop("rows")
 
 
-def snapshots_at(bars: DataFrame, requests: DataFrame, depth: int = 1000, **days) -> DataFrame:
-    """C1 as of many moments: for each (symbol, as_of) the report over the ``depth`` bars before it.
+def snapshot_series(
+    bars: DataFrame, *, trend_days: int = 30, vol_days: int = 20, vol_base: int = 60, sr_days: int = 90,
+    boll_days: int = 30, obv_days: int = 30, **seg,
+) -> DataFrame:
+    """C1 at every bar: the same report with every look-back as a trailing frame.
 
-    Every bar's report would be too much, and a request must not scan its symbol's history, so each
-    request meets only the ``depth`` positions before its own, by an equality join on blocks of
-    positions.
+    Costs a constant number of windows over one segmented shuffle of the bars, however many moments
+    are asked for later.
     """
+    keys = I.KEYS
+    df, w = I.segmented(bars, **seg), S.seg_window(keys)
+    ordinal = F.col(S.ORD)
+    df = df.withColumns({f"sma{n}": I.sma(F.col("close"), n, w) for n in (20, 50, 200)})
+    df = I.add_returns(I.add_bollinger(I.add_money_flow(I.add_macd(I.add_rsi(df))), w), w)
+    change = F.when(ordinal > 0, F.col("close") - F.lag("close").over(w))
+    near = w.rowsBetween(-3, 3)
+    full = F.count(F.lit(1)).over(near) == 7
+    df = df.withColumns(
+        {
+            "_r": F.try_divide(change, F.col("close") - change),
+            "_obv": F.sum(F.coalesce(F.signum(change), F.lit(0.0)) * F.col("volume")).over(w.rowsBetween(W.unboundedPreceding, 0)),
+            "_sup": F.when(full & (F.col("low") == F.min("low").over(near)), F.col("low")),
+            "_res": F.when(full & (F.col("high") == F.max("high").over(near)), F.col("high")),
+            "_ev": F.when(F.col("close") < F.col("bb_lower"), "lower_breakout").when(F.col("close") > F.col("bb_upper"), "upper_breakout"),
+        }
+    )
+
+    def back(n, to=0):
+        return w.rowsBetween(-(n - 1), -to)
+
+    def line(y, n):
+        x, f = ordinal.cast("double"), back(n)
+        return F.regr_slope(y, x).over(f), F.when(F.regr_syy(y, x).over(f) > 0, F.regr_r2(y, x).over(f)).otherwise(0.0)
+
+    t_slope, t_r2 = line(F.ln("close"), trend_days)
+    o_slope, o_r2 = line(F.col("_obv"), obv_days)
+    pivots = w.rowsBetween(-(sr_days - 4), -3)
+    ev_ts = F.when(F.col("_ev").isNotNull(), F.col("ts"))
+    df = df.withColumns(
+        {
+            "_slope": t_slope, "trend_r2": t_r2, "obv_slope": o_slope, "obv_r2": o_r2,
+            "_nr": F.least(ordinal, F.lit(vol_days + vol_base + 4)), "_nc": F.count("_r").over(back(vol_days)), "_sc": F.stddev_pop("_r").over(back(vol_days)),
+            "_nb": F.count("_r").over(back(vol_days + vol_base, vol_days)), "_sb": F.stddev_pop("_r").over(back(vol_days + vol_base, vol_days)),
+            "_sups": F.collect_list("_sup").over(pivots), "_ress": F.collect_list("_res").over(pivots),
+            "last_event": F.last("_ev", ignorenulls=True).over(back(boll_days)),
+            "last_event_date": F.max(ev_ts).over(back(boll_days)).cast("date"),
+        }
+    )
+    df = df.filter(S.OWN).withColumn("_n", ordinal + 1)
+    last = F.col("close")
+    df = df.withColumns(
+        {
+            "nearest_support": F.array_max(F.filter("_sups", lambda x: x <= last)),
+            "nearest_resistance": F.array_min(F.filter("_ress", lambda x: x >= last)),
+            "rows": F.least(F.col("_n"), F.lit(trend_days + 5)), "r2": F.col("trend_r2"),
+        }
+    )
+    df = I.grade_trend(df, max(trend_days // 2, 10)).drop("trend_r2").withColumnsRenamed(
+        {"r2": "trend_r2", "direction": "trend_direction", "strength": "trend_strength", "status": "trend_status"})
+    df = df.withColumn("rows", F.least(F.col("_n"), F.lit(vol_days + vol_base + 5)))
+    df = I.grade_volatility(df, vol_days, vol_base, max(vol_days + vol_base // 2, 20)).withColumnRenamed("status", "vol_status")
+    obv_ok = F.col("_n") >= max(obv_days // 2, 10)
+    df = df.withColumns(
+        {
+            "distance_to_support_pct": F.try_divide((last - F.col("nearest_support")) * 100.0, last),
+            "distance_to_resistance_pct": F.try_divide((F.col("nearest_resistance") - last) * 100.0, last),
+            "obv_trend": F.when(obv_ok, F.when(F.col("obv_slope") > 0, "up").when(F.col("obv_slope") < 0, "down").otherwise("flat")),
+            "mfi": F.when(F.col("_n") >= 19, F.col("mfi")),
+        }
+    )
+    df = I.with_cross_flags(df.withColumn("mfi_state", I.money_flow_state(F.col("mfi"))))
+    drop = ["_r", "_obv", "_sup", "_res", "_ev", "_sups", "_ress", "_n", "rows", "open", "high", "low", "volume", "bb_mid", "bb_std", "bb_upper", "bb_lower"]
+    return S.own_rows(df.withColumnRenamed("ts", "asof")).drop(*drop)
+
+
+def snapshots_at(bars: DataFrame, requests: DataFrame, **days) -> DataFrame:
+    """C1 as of many moments: for each (symbol, as_of) the report at the last bar at or before it, so
+    that nothing after the moment is read."""
     from ..operators.asof import asof_join
-    from ..operators.trading import number_positions
 
-    placed = number_positions(bars)
     req = requests.select("symbol", "as_of").distinct()
-    req = asof_join(req, placed, ["symbol"], left_ts="as_of", right_ts="ts", columns=["ts", "ord"], name="_b")
-    req = req.filter("_b is not null").withColumn("_end", F.col("_b.ord")).drop("_b")
-    slot = lambda c: F.floor(c / depth)
-    first = F.greatest(F.lit(0), F.col("_end") - depth + 1)
-    req = req.withColumn("_first", first)
-    spread = req.withColumn("_slot", F.explode(F.sequence(slot(F.col("_first")), slot(F.col("_end")))))
-    j = spread.join(placed.withColumn("_slot", slot(F.col("ord"))), ["symbol", "_slot"])
-    j = j.filter(F.col("ord").between(F.col("_first"), F.col("_end")))
-    df = j.withColumns(
-        {"_rn": (F.col("_end") - F.col("ord") + 1).cast("int"), S.ORD: F.col("ord") - F.col("_first"), S.SEG: F.lit(0), S.OWN: F.lit(True)}
-    ).withColumn(S.BLK, F.floor(F.col(S.ORD) / S.EMA_BLOCK)).drop("_slot", "_first", "_end", "ord")
-    opts = {"trend_days": 30, "vol_days": 20, "vol_base": 60, "sr_days": 90, "boll_days": 30, "obv_days": 30, **days}
-    old = I.KEYS
-    keys = ["symbol", "interval", "as_of"]
-    try:
-        I.KEYS = tuple(keys)  # the column builders window over the module's keys
-        return _report(df, keys, **opts).drop("_n")
-    finally:
-        I.KEYS = old
+    req = asof_join(req, bars.select("symbol", "ts"), ["symbol"], left_ts="as_of", right_ts="ts", columns=["ts"], name="_b")
+    req = req.filter("_b is not null").select("symbol", "as_of", F.col("_b.ts").alias("asof"))
+    return req.join(snapshot_series(bars, **days), ["symbol", "asof"])

@@ -82,7 +82,7 @@ def main(argv):
         master="local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g"},
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     queries, oracles = load_all()
     con = duck(sf)
     bad = 0
@@ -92,7 +92,7 @@ def main(argv):
         try:
             ok, n, a, b, msg = compare(spark, con, name, fn, oracles.get(name), sf)
         except Exception as ex:  # report and go on
-            ok, n, a, b, msg = False, -1, 0, 0, f"{type(ex).__name__}: {str(ex)[:900]}"
+            ok, n, a, b, msg = False, -1, 0, 0, f"{type(ex).__name__}: {str(ex)[:400]}"
         bad += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:34s} rows={n:7d} spark={a:6.2f}s sql={b:5.2f}s {msg}", flush=True)
     print("failures:", bad)
