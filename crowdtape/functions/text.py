@@ -186,7 +186,10 @@ def enum_value(value: Column, allowed: list[str], default: str, synonyms: dict[s
 
 def expand_magnitude(token: Column) -> Column:
     """H-S11: first ``12.5K``/``M``/``B`` in the text written out."""
-    t = F.trim(text_or_empty(token))
+    return let(F.trim(text_or_empty(token)), _expanded)
+
+
+def _expanded(t: Column) -> Column:
     pat = r"(?i)(\d+(?:\.\d+)?)\s*([KMB])"
     num = F.regexp_extract(t, pat, 1)
     unit = F.upper(F.regexp_extract(t, pat, 2))
@@ -201,14 +204,19 @@ def expand_magnitude(token: Column) -> Column:
 
 def number_like(value: Column) -> Column:
     """H-S11: first number in the text without thousands separators, else the trimmed text."""
-    v = text_or_empty(value)
-    num = F.regexp_extract(v, NUMBER, 0)
-    return F.when(num == "", F.trim(v)).otherwise(F.replace(num, F.lit(","), F.lit("")))
+    def read(v):
+        num = F.regexp_extract(v, NUMBER, 0)
+        return F.when(num == "", F.trim(v)).otherwise(F.replace(num, F.lit(","), F.lit("")))
+
+    return let(text_or_empty(value), read)
 
 
 def split_percent(value: Column, unit: Column) -> Column:
     """H-S11: (value, unit) with a percent sign moved to the unit."""
-    v = F.trim(text_or_empty(value))
+    return let(F.trim(text_or_empty(value)), lambda v: _split(v, unit))
+
+
+def _split(v: Column, unit: Column) -> Column:
     num = F.regexp_extract(v, r"(-?\d+(?:\.\d+)?)\s*%", 1)
     plain = F.endswith(v, F.lit("%"))
     return F.struct(
@@ -239,10 +247,17 @@ def looks_us_equity(t: Column) -> Column:
 
 def parse_symbol(raw: Column) -> Column:
     """H-S12: (ticker, market) of ``EXCH:SYM``, ``SYM.SUF`` or ``$SYM``; an ISIN is no symbol."""
-    r = F.regexp_replace(F.trim(text_or_empty(raw)), r"^\$+", "")
+    return let(F.regexp_replace(F.trim(text_or_empty(raw)), r"^\$+", ""), _symbol_parts)
+
+
+def _symbol_parts(r: Column) -> Column:
     colon = F.instr(r, ":") > 0
     left = F.upper(F.trim(F.substring_index(r, ":", 1)))
-    sym = F.when(colon, F.trim(F.regexp_replace(r, r"^[^:]*:", ""))).otherwise(r)
+    whole = F.when(colon, F.trim(F.regexp_replace(r, r"^[^:]*:", ""))).otherwise(r)
+    return let(whole, lambda sym: _symbol_struct(r, sym, colon, left))
+
+
+def _symbol_struct(r: Column, sym: Column, colon: Column, left: Column) -> Column:
     suffix = F.regexp_extract(sym, r"^.*\.([^.]{0,3})$", 1)
     dotted = sym.rlike(r"^.*\.[^.]{0,3}$")
     base = F.when(dotted, F.regexp_extract(sym, r"^(.*)\.[^.]{0,3}$", 1)).otherwise(sym)
