@@ -443,7 +443,8 @@ def _leader_scores(df: DataFrame, group: list[str], weights: tuple[float, float,
     )
     momentum = (F.col("rank_r3") + F.col("rank_r6") + F.col("rank_r12")) / 3.0
     a, b, c = weights
-    score = a * F.col("rank_cap") + b * F.col("rank_liq") + c * momentum
+    # equal weighted ranks must tie, so that the symbol decides and not the last bit of a sum
+    score = F.round(a * F.col("rank_cap") + b * F.col("rank_liq") + c * momentum, 9)
     return ranks.select(*group, "symbol", score.alias("leader_score"))
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_utc
+from ..session import prepare
 from ..sources.bars import bars_from_ticks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table, with zone-less timestamps read as UTC instants."""
-    ensure_utc(spark)
+    prepare(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     for f in df.schema.fields:
         if isinstance(f.dataType, T.TimestampNTZType):

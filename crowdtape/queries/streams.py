@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import timing as TM
-from ..session import ensure_utc
+from ..session import prepare
 from ..streaming import ingest as G
 from . import fixtures as X
 from .market import r4, r8, sql
@@ -13,7 +13,7 @@ from .registry import query
 
 
 def stream(spark, sf, name):
-    ensure_utc(spark)
+    prepare(spark)
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
     s = G.file_stream(spark, sf, schema, pattern=f"{name}.parquet")
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s

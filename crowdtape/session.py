@@ -11,6 +11,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # windows are bound by CPU, not by bytes: do not merge small shuffle partitions below the number
+    # of cores (the advisory size alone would put 50 MB of bars on a single task)
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -25,10 +29,13 @@ def get_spark(app: str = "crowdtape", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def ensure_utc(spark: SparkSession) -> None:
-    """Timestamps are compared as UTC instants everywhere."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the operators rely on, for a session somebody else built: timestamps are
+    compared as UTC instants, and partition merging keeps every core busy."""
+    merging = "spark.sql.adaptive.coalescePartitions."
+    for key in ("spark.sql.session.timeZone", merging + "parallelismFirst", merging + "minPartitionSize"):
+        if spark.conf.get(key, None) != DEFAULTS[key]:
+            spark.conf.set(key, DEFAULTS[key])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -14,9 +14,10 @@ def bars_from_ticks(
 ) -> DataFrame:
     """OHLCV per (symbol, bar start).  ``order`` breaks ties inside a bar and must be total.
 
-    Every aggregate is mergeable, so a hot symbol is reduced on the map side before the shuffle.
+    Every aggregate is mergeable, so a hot symbol is reduced on the map side before the shuffle.  A
+    single number as order keeps the aggregation a hash aggregation; a struct would make it sort.
     """
-    key = F.struct(*order)
+    key = order[0] if len(order) == 1 else F.struct(*order)
     return (
         ticks.select(
             symbol.alias("symbol"), ts.alias("ts"), price.alias("_p"), volume.alias("_v"),
