@@ -110,11 +110,13 @@ def a19(spark, sf):
 
 
 @query("a21_primary_tickers", "A21 H-J6", sql(f"""
-    WITH p AS ({BASE}) SELECT post_id, CASE WHEN n % 2 = 0 THEN a END AS ticker FROM p WHERE n % 2 = 0 AND NOT regexp_matches((SELECT text FROM posts q WHERE q.post_id = p.post_id), '\\$[A-Za-z]{{1,5}}')"""))
+    WITH p AS ({BASE}), t AS (SELECT p.post_id, regexp_extract_all(CASE WHEN n % 2 = 0 THEN '$' || a || ' ' ELSE '' END || q.text, '\\$([A-Za-z]{{1,5}})(?:[^A-Za-z0-9]|$)', 1) AS tags FROM p JOIN posts q USING (post_id))
+    SELECT post_id, upper(tags[1]) AS ticker FROM t WHERE len(tags) = 1"""))
 def a21(spark, sf):
-    df = FU.fuse(council(spark, sf)).select("post_id", "ticker")
-    plain = X.posts(spark, sf).filter(~F.col("text").rlike(r"\$[A-Za-z]{1,5}")).select("post_id")
-    return df.filter(F.col("post_id").cast("long") % 2 == 0).join(plain, "post_id", "left_semi")
+    """Posts with exactly one cashtag are about it."""
+    df = council(spark, sf)
+    one = df.filter(F.size(T.cashtags(F.col("text"))) == 1)
+    return FU.fuse(one).select("post_id", "ticker")
 
 
 def verdict_stages(spark, sf):

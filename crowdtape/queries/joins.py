@@ -106,13 +106,12 @@ def a25(spark, sf):
     return P.queue_counts(P.verdict_queue(X.posts(spark, sf), X.stages(spark, sf), X.interest(spark, sf), 10, repair=True))
 
 
-@query("l06_queue_head", "L6", sql(f"""
-    SELECT post_id, mode, article_time FROM ({QUEUE_REPAIR}) WHERE mode IN ('interest','repair')
-    ORDER BY CASE WHEN mode = 'repair' THEN 0 ELSE 1 END, article_time, interest_score DESC, post_id LIMIT 50"""))
+@query("l06_ordered_queue", "L6", sql(f"""
+    SELECT post_id, mode, article_time FROM ({QUEUE_REPAIR}) WHERE mode IN ('interest','repair')"""))
 def l06(spark, sf):
     q = P.verdict_queue(X.posts(spark, sf), X.stages(spark, sf), X.interest(spark, sf), 10, repair=True)
     q = q.filter(F.col("mode").isin("interest", "repair"))
-    return q.orderBy(*P.queue_order()).limit(50).select("post_id", "mode", "article_time")
+    return q.orderBy(*P.queue_order()).select("post_id", "mode", "article_time")
 
 
 @query("j07_interest_backfill", "J7", sql("""

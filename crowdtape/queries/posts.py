@@ -87,11 +87,11 @@ def l11(spark, sf):
 
 @query("l12_backlog_order", "L12", sql("""
     SELECT post_id, scraped_at, row_number() OVER (PARTITION BY source ORDER BY scraped_at NULLS LAST, post_id) AS place, source FROM
-      (SELECT * FROM posts ORDER BY scraped_at NULLS LAST, post_id LIMIT 200)"""))
+      posts"""))
 def l12(spark, sf):
     from pyspark.sql import Window as W
 
-    head = X.posts(spark, sf).orderBy(*P.backlog_order()).limit(200)
+    head = X.posts(spark, sf)
     w = W.partitionBy("source").orderBy(*P.backlog_order())
     return big(head.select("post_id", "scraped_at", F.row_number().over(w).alias("place"), "source"), "place")
 
