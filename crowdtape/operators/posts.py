@@ -248,18 +248,25 @@ def interest_backfill(posts: DataFrame, stages: DataFrame, interest: DataFrame)
     ).select("post_id", "title", listing_time().alias("at"))
 
 
+def _with_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows whose key is complete: a missing or blank id or address matches nothing."""
+    for c in key:
+        df = df.filter(F.trim(F.col(c).cast("string")) != "")
+    return df
+
+
 def dedup_against_log(
     batch: DataFrame, log: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[str],
 ) -> DataFrame:
     """Rows of ``batch`` that share none of ``keys`` with the log nor with an accepted earlier
-    row of the batch (null parts never match).
+    row of the batch (missing or blank parts never match).
 
     One anti join per key, then rounds: the earliest open row of all its keys is accepted, rows
     sharing a key with it are refused.  The outcome equals taking the rows one after the other.
     """
     open_rows = batch
     for key in keys:
-        open_rows = open_rows.join(log.select(*key).distinct(), list(key), "left_anti")
+        open_rows = open_rows.join(_with_key(log, key).select(*key).distinct(), list(key), "left_anti")
     rank = F.struct(*order)
     accepted = None
     while True:
@@ -269,7 +276,7 @@ def dedup_against_log(
         marked = open_rows.withColumn("_rank", rank)
         for i, key in enumerate(keys):
             first = (
-                marked.dropna(subset=list(key)).groupBy(*key).agg(F.min("_rank").alias(f"_f{i}"))
+                _with_key(marked, key).groupBy(*key).agg(F.min("_rank").alias(f"_f{i}"))
             )
             marked = marked.join(first, list(key), "left")
         wins = F.lit(True)
@@ -280,7 +287,7 @@ def dedup_against_log(
         accepted = won if accepted is None else accepted.unionByName(won)
         open_rows = marked.filter(~F.col("_win")).select(*batch.columns)
         for key in keys:
-            open_rows = open_rows.join(won.select(*key).dropna().distinct(), list(key), "left_anti")
+            open_rows = open_rows.join(_with_key(won, key).select(*key).distinct(), list(key), "left_anti")
 
 
 def sync_backlog(local: DataFrame, remote: DataFrame, key: Sequence[str], ordinal: str) -> DataFrame:

@@ -122,6 +122,12 @@ def test_dedup_equals_one_by_one(spark):
     assert got == want
 
 
+def test_blank_addresses_match_nothing(spark):
+    b = rows(spark, "n int, k string, u string", (1, "a", ""), (2, "b", ""), (3, "c", None), (4, "a", "x"), (5, "", "x"), (6, "", "y"))
+    out = P.dedup_against_log(b, rows(spark, "k string, u string", ("z", "")), [["k"], ["u"]], ["n"])
+    assert sorted(r["n"] for r in out.collect()) == [1, 2, 3, 5, 6]
+
+
 def test_terms_inside_words_are_found(spark):
     bodies = ["The union of coal-fired plants", "nio rises", "Glencore PLC and Teck", "x.y-z 42", ""]
     terms = ["nio", "coal", "glencore plc", "y-z", "a", "zz", "coal-fired"]
