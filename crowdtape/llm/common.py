@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space is the blank and the five controls from tab to carriage return; words are all else.
-SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 QUERIES: dict = {}
@@ -69,5 +68,7 @@ def drop(df: DataFrame) -> None:
 
 def words(text) -> F.Column:
     """The words of a text column as an array; null and blank texts have none."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+    body = F.coalesce(text, F.lit(""))
+    for c in SPACE_CHARS[1:]:
+        body = F.replace(body, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(body, " "), "")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, query, read, words
+from .common import SPACE_CHARS, query, read, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
@@ -63,8 +63,8 @@ def _bits(n: Column) -> Column:
     return F.length(F.bin(n))
 
 
-def _at(array: Column, i: Column) -> Column:
-    return F.get(array, i)
+def _at(array: str, i: Column) -> Column:
+    return F.get(F.col(array), i)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words in repeated three-word windows: each window becomes one long whose high bits are a hash of the
     window and whose low bits are its position, so that sorting the longs brings equal windows together.
-    Windows with an equal neighbour are then compared word by word, which removes chance collisions.
+    Windows with an equal neighbour are then compared by their words, which removes chance collisions.
     """
     kept = [c for c in docs.columns if c not in MEASURES]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -84,26 +84,27 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter("_l", lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "").alias("_l"),
         _bits(F.size("_w")).alias("_b"),
     )
-    # one long per window: hash above, position below
     df = df.select(
         *kept, "_w", "n_words", "word_chars", "n_symbols", "_b",
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.transform(
-            F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))),
-            lambda x, i: F.call_function("shiftleft", F.xxhash64(x, _at(F.col("_w"), i + 1), _at(F.col("_w"), i + 2)), F.col("_b"))
-            .bitwiseOR(i.cast("long")),
-        ).alias("_k"),
+        F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"),
     )
+    # one long per window: hash above, position below
+    df = df.withColumn("_k", F.transform(
+        F.slice("_h", 1, F.greatest(F.size("_h") - 2, F.lit(0))),
+        lambda x, i: F.call_function("shiftleft", F.xxhash64(x, _at("_h", i + 1), _at("_h", i + 2)), F.col("_b")).bitwiseOR(i.cast("long"))))
     df = df.withColumn("_k", F.sort_array("_k"))
-    same = lambda a, b: F.call_function("shiftright", a, F.col("_b")) == F.call_function("shiftright", b, F.col("_b"))
-    df = df.withColumn("_c", F.filter("_k", lambda x, j: F.coalesce(same(x, _at(F.col("_k"), j + 1)), F.lit(False)) | F.coalesce(same(x, _at(F.col("_k"), j - 1)), F.lit(False))))
+    same = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), F.col("_b")) == 0
     low = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b")) - F.lit(1).cast("long"))
-    df = df.withColumn("_c", F.transform("_c", lambda x: low(x).cast("int")))
-    # candidates only: the windows themselves, equal ones side by side
-    df = df.withColumn("_c", F.sort_array(F.transform("_c", lambda i: F.struct(F.slice(F.col("_w"), i + 1, 3).alias("w"), i.alias("i")))))
-    df = df.withColumn("_c", F.filter("_c", lambda x, j: F.coalesce(x["w"] == _at(F.col("_c"), j + 1)["w"], F.lit(False)) | F.coalesce(x["w"] == _at(F.col("_c"), j - 1)["w"], F.lit(False))))
-    df = df.withColumn("_c", F.sort_array(F.transform("_c", lambda x: x["i"])))
+    # places in the sorted array whose successor has an equal hash, then those and their successors
+    df = df.withColumn("_c", F.when(F.size("_k") < 2, F.array().cast("array<int>")).otherwise(
+        F.filter(F.sequence(F.lit(0), F.size("_k") - 2), lambda j: same(_at("_k", j), _at("_k", j + 1)))))
+    df = df.withColumn("_c", F.sort_array(F.array_union("_c", F.transform("_c", lambda j: j + 1))))
+    df = df.withColumn("_c", F.transform("_c", lambda j: low(_at("_k", j)).cast("int")))
+    # windows with an equal hash stand side by side; their words decide
+    df = df.withColumn("_x", F.transform("_c", lambda i: F.array_join(F.slice(F.col("_w"), i + 1, 3), " ")))
+    df = df.withColumn("_c", F.sort_array(F.filter("_c", lambda i, j: F.coalesce(_at("_x", j) == _at("_x", j + 1), F.lit(False)) | F.coalesce(_at("_x", j) == _at("_x", j - 1), F.lit(False)))))
     covered = F.aggregate(
         F.zip_with("_c", F.slice("_c", 2, F.size("_c")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))),
         F.lit(0).cast("long"), lambda s, x: s + x,
