@@ -6,7 +6,7 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-MODULES = ["quality_ledger"]
+MODULES = ["mixing", "secret_ledger", "quality_ledger", "radix_dedup", "chat_layouts"]
 
 
 def load_all():
