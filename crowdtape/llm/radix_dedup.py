@@ -2,7 +2,7 @@
 
 Documents are split by successive slices of their normalised text, most significant first. A group that
 a slice leaves with one document is finished; a group whose texts have all ended holds equal texts, and
-no digest decides about equality. Slices widen eightfold from level to level, so the levels grow with
+no digest decides about equality. Slices widen sixteenfold from level to level, so the levels grow with
 the logarithm of the longest text. Every level counts its groups with partial aggregation and sends only
 the documents of unfinished groups to the next, through a table in the shared folder; a group of any
 size is spread over tasks, because a document only meets its group's one-row summary.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import query, read, stored
 
-FIRST_SLICE = 32
-WIDENS = 8
+FIRST_SLICE = 128
+WIDENS = 16
 RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
@@ -46,7 +46,8 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key = ["_gid", "_slice", "_ended"]
         groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).filter("_n > 1")
         groups = stored(groups.withColumn("_next", F.monotonically_increasing_id()), "radix-groups")
-        met = keyed.join(groups, key, "left").withColumn("_open", F.col("_n").isNotNull() & ~F.col("_ended"))
+        # a merge join at every size: one plan to reason about, and hot groups are split at run time
+        met = keyed.join(groups.hint("merge"), key, "left").withColumn("_open", F.col("_n").isNotNull() & ~F.col("_ended"))
         met = stored(met.select(
             *carry, "_id", "text_sha256", "_open", F.when(F.col("_open"), F.col("_text")).alias("_text"),
             F.when(F.col("_ended") & F.col("_n").isNotNull(), F.col("_next")).alias("_group"),
@@ -66,12 +67,12 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _decided(rows: DataFrame, carry: list[str]) -> DataFrame:
     """Which row stays: in a group, one row of the largest id."""
     largest = rows.filter(F.col("_group").isNotNull() & F.col("_id").eqNullSafe(F.col("_keep")))
-    stays = largest.groupBy("_group").agg(F.min("_row").alias("_stays"))
+    stays = largest.groupBy("_group").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_stays"))
     alone = F.col("_group").isNull()
-    return rows.join(stays, "_group", "left").select(
+    return rows.join(stays, "_row", "left").select(
         *carry, F.when(alone, F.col("_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("_n")).cast("long").alias("group_size"),
-        (alone | (F.col("_row") == F.col("_stays"))).alias("kept"), "text_sha256")
+        (alone | F.coalesce("_stays", F.lit(False))).alias("kept"), "text_sha256")
 
 
 @query("op9_radix_dedup", """
