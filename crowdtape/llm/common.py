@@ -48,6 +48,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names that clash with no operator's own, and where each column went."""
+    to = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*to.values()), to
+
+
+def restored(df: DataFrame, to: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(new).alias(old) for old, new in to.items()])
+
+
 def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     """Few rows per Arrow batch, so that batches of very long texts stay small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

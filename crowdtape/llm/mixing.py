@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import query, read, stored, words
+from .common import query, read, renamed, restored, stored, words
 
 SEED = 17
 WEIGHTS = (3, 1, 2)
@@ -117,13 +117,10 @@ def _planned(df: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them."""
-    names = docs.columns
-    plan = mix_plan(stored(document_sizes(docs, seed), "mix-sizes"), **how).select(
-        *[F.col(c).alias(f"_{c}") for c in ("source", "whole", "below", "also")])
-    h = order_hash(F.col("doc_id"), seed)
-    n = F.col("_whole") + ((h < F.col("_below")) | (h == F.col("_also"))).cast("long")
-    both = docs.join(plan, docs["source"].eqNullSafe(plan["_source"])).withColumn("_times", n)
-    return both.filter("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[F.col(c) for c in names])
+    plan = mix_plan(stored(document_sizes(docs, seed), "mix-sizes"), **how)
+    df, to = renamed(docs)
+    both = df.join(plan, df[to["source"]].eqNullSafe(plan["source"])).withColumn("_times", times(order_hash(F.col(to["doc_id"]), seed)))
+    return restored(both.filter("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))), to)
 
 
 SQL = f"""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, query, read, stored
+from .common import arrow_rows, query, read, renamed, restored, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -307,11 +307,11 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class."""
-    names = docs.columns
-    stay = near_copies(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_key").alias("_stay_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_stay_id"]) & (keyed["_text_key"] == stay["_stay_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_key"]).select(*names)
+    stay = near_copies(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    df, to = renamed(docs)
+    df = df.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(to["text"]), F.lit(""))))
+    kept = df.join(stay, df[to["doc_id"]].eqNullSafe(stay["_id"]) & (df["_text_key"] == stay["_key"]), "left_semi")
+    return restored(kept.dropDuplicates([to["doc_id"], "_text_key"]), to)
 
 
 @query("op6_near_copies")

@@ -296,9 +296,9 @@ def _with_bytes(p: Pieces, code, where, symbol, part):
 
 def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ids, n_tokens and lossless (whether the ids decode to the text)."""
-    own = ("ids", "n_tokens", "lossless")
+    own = ["ids", "n_tokens", "lossless"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    df = docs.select(F.col("doc_id").alias("_id"), F.col(text).alias("_text"), *kept)
+    df = docs.select(F.col("doc_id").alias("id"), F.col(text).alias("body"), *[F.col(c).alias(f"in{i}") for i, c in enumerate(kept)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
@@ -312,7 +312,8 @@ def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = S
 
     arrow_rows(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[2:])
-    return df.mapInArrow(run, f"{fields}{', ' if fields else ''}ids array<int>, n_tokens long, lossless boolean")
+    out = df.mapInArrow(run, f"{fields}{', ' if fields else ''}ids array<int>, n_tokens long, lossless boolean")
+    return out.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(kept)], *own)
 
 
 def decoded(tokens: DataFrame, model: str) -> DataFrame:

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, query, read, words
+from .common import SPACE_CHARS, query, read, renamed, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
 
@@ -121,7 +121,10 @@ def rule_bits(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with its measurements and ``failed_bits``; the input's own column of that name goes."""
-    return measured(docs.drop("failed_bits"), text).withColumn("failed_bits", rule_bits(rules))
+    df, to = renamed(docs)
+    own = [*MEASURES, "failed_bits"]
+    led = measured(df, to[text]).withColumn("failed_bits", rule_bits(rules))
+    return led.select(*[F.col(new).alias(old) for old, new in to.items() if old not in own], *own)
 
 
 def keeps(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -6,7 +6,10 @@ import importlib
 
 from .common import ORACLES, QUERIES
 
-MODULES = ["mixing", "secret_ledger", "quality_ledger", "radix_dedup", "chat_layouts"]
+MODULES = [
+    "piece_dropout", "token_files", "mixing", "secret_ledger", "quality_ledger", "near_copies", "surrogates",
+    "line_blocks", "radix_dedup", "chat_layouts",
+]
 
 
 def load_all():

@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, read, stored
+from .common import query, read, renamed, restored, stored
 
 FIRST_SLICE = 128
 WIDENS = 16
@@ -36,25 +36,27 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Every row of ``docs``, its ``carry`` columns (all by default) and ``RESULT``."""
     carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
     text = F.coalesce(F.col(text_col), F.lit(""))
+    carried = text_col in carry  # then it travels once, with the row
+    body = F.coalesce(F.col(text_col if carried else "_text"), F.lit(""))
     level = docs.select(
-        *carry, F.col(id_col).alias("_id"), text.alias("_text"), F.sha2(lower_ascii(text), 256).alias("text_sha256"),
-        F.lit(0).cast("long").alias("_gid"))
+        *carry, *([] if carried else [text.alias("_text")]), F.col(id_col).alias("_id"),
+        F.sha2(lower_ascii(text), 256).alias("text_sha256"), F.lit(0).cast("long").alias("_gid"))
     start, width, finished = 1, FIRST_SLICE, []
     while True:
-        keyed = level.withColumn("_slice", lower_ascii(F.substring("_text", start, width))).withColumn(
-            "_ended", F.length("_text") < start + width)
+        keyed = level.withColumn("_slice", lower_ascii(F.substring(body, start, width))).withColumn(
+            "_ended", F.length(body) < start + width)
         key = ["_gid", "_slice", "_ended"]
         groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).filter("_n > 1")
         groups = stored(groups.withColumn("_next", F.monotonically_increasing_id()), "radix-groups")
         # a merge join at every size: one plan to reason about, and hot groups are split at run time
         met = keyed.join(groups.hint("merge"), key, "left").withColumn("_open", F.col("_n").isNotNull() & ~F.col("_ended"))
         met = stored(met.select(
-            *carry, "_id", "text_sha256", "_open", F.when(F.col("_open"), F.col("_text")).alias("_text"),
+            *carry, *([] if carried else [F.when(F.col("_open"), F.col("_text")).alias("_text")]), "_id", "text_sha256", "_open",
             F.when(F.col("_ended") & F.col("_n").isNotNull(), F.col("_next")).alias("_group"),
             F.coalesce("_next", F.lit(0).cast("long")).alias("_gid"), "_n", "_keep",
             F.monotonically_increasing_id().alias("_row")), "radix-level")
         finished.append(_decided(met.filter(~F.col("_open")), carry))
-        level = met.filter("_open").select(*carry, "_id", "_text", "text_sha256", "_gid")
+        level = met.filter("_open").select(*carry, *([] if carried else ["_text"]), "_id", "text_sha256", "_gid")
         if level.isEmpty():
             break
         start, width = start + width, width * WIDENS
@@ -75,6 +77,12 @@ def _decided(rows: DataFrame, carry: list[str]) -> DataFrame:
         (alone | F.coalesce("_stays", F.lit(False))).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts."""
+    df, to = renamed(docs)
+    return restored(radix_dedup(df, to["doc_id"], to["text"]).filter("kept"), to)
+
+
 @query("op9_radix_dedup", """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
