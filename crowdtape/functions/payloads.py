@@ -331,8 +331,19 @@ def error_text(detail: Column) -> Column:
         F.coalesce(F.nullif(msg, F.lit("")), F.nullif(extra, F.lit("")), detail))
 
 
-def sentiment_nodes(df: DataFrame, key: str, v: str, depth: int = 5) -> DataFrame:
-    """H-J7: every object down to ``depth`` levels that has a score and a confidence."""
+def nesting(v: Column) -> Column:
+    """How deep the objects and lists of a variant are nested: the highest count of open brackets."""
+    bare = F.regexp_replace(F.regexp_replace(F.to_json(v), r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda s, c: F.struct(
+        (s["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + 1).alias("most"))
+    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def sentiment_nodes(df: DataFrame, key: str, v: str, depth: int | None = None) -> DataFrame:
+    """H-J7: every object that has a score and a confidence, at any depth.  The number of levels is that
+    of the deepest payload (one number from one pass), unless ``depth`` states it."""
+    if depth is None:
+        depth = (df.agg(F.max(nesting(F.col(v)))).first()[0] or 0) + 1
     level = df.select(key, F.col(v).alias("node"))
     found = None
     for i in range(depth):

@@ -163,12 +163,12 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
 
 def next_after(posts: DataFrame, after_ts=None, after_id: str | None = None, limit: int = 500) -> DataFrame:
     """L2: the rows that follow a cursor in (collection time, id) order; ties with the cursor row
-    are kept.  Never more than 500 at a time, which is the feature."""
+    are kept.  ``limit`` is the page's size, as asked."""
     df = posts
     if after_ts is not None:
         at = F.col("scraped_at")
         df = df.filter((at > after_ts) | ((at == after_ts) & (F.col("post_id") > (after_id or ""))))
-    return df.orderBy("scraped_at", "post_id").limit(max(1, min(int(limit), 500)))
+    return df.orderBy("scraped_at", "post_id").limit(int(limit))
 
 
 def recent(posts: DataFrame, n: int = 10) -> DataFrame:
@@ -321,9 +321,10 @@ def snapshot_new_ids(snapshot: DataFrame, *known: DataFrame) -> DataFrame:
     return ids
 
 
-def batch_targets(ids: DataFrame, limit: int = 200) -> DataFrame:
-    """First ``limit`` distinct ids in their given order; the cap is the feature."""
-    return ids.groupBy("post_id").agg(F.min("ordinal").alias("ordinal")).orderBy("ordinal").limit(limit)
+def batch_targets(ids: DataFrame, limit: int | None = 200) -> DataFrame:
+    """First ``limit`` distinct ids in their given order (None: all); the cap is the feature."""
+    out = ids.groupBy("post_id").agg(F.min("ordinal").alias("ordinal")).orderBy("ordinal")
+    return out if limit is None else out.limit(limit)
 
 
 def stage_catalog(stages: DataFrame) -> DataFrame:

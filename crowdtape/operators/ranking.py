@@ -26,21 +26,28 @@ def min_ranks(df: DataFrame, group: Sequence[str], values: dict[str, Column], id
     """For each name in ``values`` a ``rank`` (1 = highest, ties share the lowest rank) of the
     row inside its group.
 
-    A rank is the number of higher rows in the group plus one: whole buckets above are counted from
-    a small table, the rest inside the (group, bucket) group.  All values are unpivoted so that one
-    shuffle ranks them together.
+    A rank is the number of higher rows in the group plus one.  Rows are first counted per distinct
+    value, so a value that a third of all rows share is one row where ranks are worked out: whole buckets
+    above are counted from a small table, the rest inside the (group, bucket) group of distinct values.
+    All columns are unpivoted so that one shuffle ranks them together.
     """
     group, ids = list(group), list(ids)
     long = df.select(
         *group, *ids,
         F.explode(F.array(*[F.struct(F.lit(n).alias("n"), v.cast("double").alias("v")) for n, v in values.items()])).alias("x"),
     ).select(*group, *ids, "x.n", "x.v")
-    long = long.withColumn("_b", value_bucket(F.col("v")))
-    counts = long.groupBy(*group, "n", "_b").agg(F.count(F.lit(1)).alias("_k"))
+    each = long.groupBy(*group, "n", "v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_bucket(F.col("v")))
+    counts = each.groupBy(*group, "n", "_b").agg(F.sum("_c").alias("_k"))
     above = W.partitionBy(*group, "n").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     start = counts.withColumn("_s", F.coalesce(F.sum("_k").over(above), F.lit(0))).drop("_k")
-    w = W.partitionBy(*group, "n", "_b").orderBy(F.desc("v"))
-    ranked = long.join(start, [*group, "n", "_b"]).withColumn("rank", F.col("_s") + F.rank().over(w))
+    w = W.partitionBy(*group, "n", "_b").orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, -1)
+    placed = each.join(start, [*group, "n", "_b"]).select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("n").alias("_n"), F.col("v").alias("_v"),
+        (F.col("_s") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + 1).alias("rank"))
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("v").eqNullSafe(F.col("_v"))
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    ranked = long.join(placed, same).select(*group, *ids, "n", "rank")
     return ranked.groupBy(*group, *ids).agg(
         *[F.max(F.when(F.col("n") == n, F.col("rank"))).alias(f"rank_{n}") for n in values]
     )

@@ -10,11 +10,16 @@ from ..operators import indicators as I
 from ..operators import segments as S
 
 
+#: Bars before a look-back that averages need: the longest moving average and its own past.
+WARM_UP = 400
+
+
 def technical_snapshot(
     bars: DataFrame, *, as_of: Column | None = None, trend_days: int = 30, vol_days: int = 20, vol_base: int = 60,
     sr_days: int = 90, boll_days: int = 30, obv_days: int = 30, depth: int = 1000,
 ) -> DataFrame:
-    """All of W3, W8, W11-W16 and W19 from one pass over the last ``depth`` bars of each series.
+    """All of W3, W8, W11-W16 and W19 from one pass over the last ``depth`` bars of each series (more, if
+    a look-back asks for more).
 
     The tail is cut with a group limit before the only shuffle; every indicator is then a window over
     the same partitioning and sort, and one aggregation per symbol reads the newest values.
@@ -22,6 +27,7 @@ def technical_snapshot(
     if as_of is not None:
         bars = bars.filter(F.col("ts") <= as_of)
     keys = list(I.KEYS)
+    depth = max(depth, *(n + WARM_UP for n in (trend_days, vol_days, vol_base, sr_days, boll_days, obv_days)))
     tail = S.tail_rows(bars, keys, depth)
     size = F.max("_rn").over(W.partitionBy(*keys))
     df = tail.withColumn(S.ORD, (size - F.col("_rn")).cast("long")).withColumns(

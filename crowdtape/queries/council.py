@@ -147,7 +147,7 @@ def c12(spark, sf):
         F.array(F.lit("Price window close 12.5 (-25.0%)"), F.lit("Trend down; Strength 2")).alias("summary_lines")))
     src = payload_columns(spark, sf).withColumn("b", PL.parse(tech_raw)).select("post_id", _sym(F.col("n")).alias("ticker"), R.harvest_technical(F.col("b")).alias("technical"))
     sent = payload_columns(spark, sf).select("post_id", PL.parse(F.to_json(F.struct(F.struct(((F.col("n") % 11) / 10.0).alias("des"), F.lit(0.4).alias("conf")).alias("s")))).alias("v"))
-    best = PL.best_sentiment(PL.sentiment_nodes(sent, "post_id", "v", 3), "post_id")
+    best = PL.best_sentiment(PL.sentiment_nodes(sent, "post_id", "v"), "post_id")
     compact = R.verdict_input(df, src, best)
     out = R.repaired_verdict(compact.withColumn("result", F.lit('{"final_metrics":{"implied_direction":"down","conviction_0to100":150}}')))
     return out.withColumn("plain", R.plain_english(out)).select("post_id", "ticker", "conviction", "risk_level", "plain")

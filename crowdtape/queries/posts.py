@@ -89,11 +89,10 @@ def l11(spark, sf):
     SELECT post_id, scraped_at, row_number() OVER (PARTITION BY source ORDER BY scraped_at NULLS LAST, post_id) AS place, source FROM
       posts"""))
 def l12(spark, sf):
-    from pyspark.sql import Window as W
+    from ..operators.records import positions
 
-    head = X.posts(spark, sf)
-    w = W.partitionBy("source").orderBy(*P.backlog_order())
-    return big(head.select("post_id", "scraped_at", F.row_number().over(w).alias("place"), "source"), "place")
+    head = positions(X.posts(spark, sf).select("post_id", "scraped_at", "source"), "source", "scraped_at", ["post_id"])
+    return big(head.select("post_id", "scraped_at", F.col("position").alias("place"), "source"), "place")
 
 
 @query("l13_warm_up", "L13", sql("""

@@ -39,11 +39,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; make a private one only if it names none."""
+    """The cluster's shared checkpoint folder.  Only a local session that names none gets a private one;
+    on a cluster every executor would write to its own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not folder:
         current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+        if not current and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
     return folder
