@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: patterns, then word lists
 CASHTAG = r"\$([A-Za-z]{1,5})(?![A-Za-z0-9])"
 CASHTAG_UPPER = r"\$([A-Z]{1,5})\b"
 ISIN = r"\b[A-Z]{2}[A-Z0-9]{9}\d\b"
 LEVERAGE = r"(?i)\b(long|short)\b.*?\b(?:factor|x)\s*([1-9]\d?)"
 OPTION = r"(?i)\b(\d{1,2}/\d{1,2}/\d{2,4})\s*\$?\s*(\d+(?:\.\d+)?)\s*(call|put)s?\b"
 NUMBER = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+SPAN = r"(?i)^\s*(\d+(?:\.\d+)?)\s*(s|sec|secs|second|seconds|m|min|mins|minute|minutes|h|hr|hrs|hour|hours|d|day|days|w|wk|week|weeks)\s*$"
 
-# fixed values
 MONTHS = [
     "january", "february", "march", "april", "may", "june", "july", "august", "september",
     "october", "november", "december",
@@ -460,6 +461,14 @@ def mentions_liquidity(details: Column) -> Column:
     return any_of(details, LIQUIDITY_WORDS)
 
 
+def span_seconds(text: Column) -> Column:
+    """H-D4: "90m", "6 h", "2 days", "1w" as seconds; NULL for anything else."""
+    n = F.nullif(F.regexp_extract(text_or_empty(text), SPAN, 1), F.lit("")).try_cast("double")
+    unit = F.lower(F.substring(F.regexp_extract(text_or_empty(text), SPAN, 2), 1, 1))
+    size = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).when(unit == "w", 604800)
+    return n * size
+
+
 def stale_bucket(age_days: Column) -> Column:
     """W32."""
     return F.when(age_days <= 3, 0).when(age_days <= 7, 1).when(age_days <= 30, 2).otherwise(3)

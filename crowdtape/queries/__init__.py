@@ -7,7 +7,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["market", "joins", "posts", "sentiment", "text", "dims", "trading", "council", "web", "streams"]
+MODULES = ["market", "joins", "posts", "sentiment", "text", "dims", "trading", "council", "web", "streams", "files", "rules"]
 
 
 def load_all():

@@ -45,13 +45,19 @@ def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+#: Stated, because an interval such as "1d" in a folder name would be taken for a number.
+STORED = ("symbol string, ts timestamp, open double, high double, low double, close double, volume double, "
+          "ingested_at timestamp, interval string, month string")
+
+
 def read_bars(
     spark: SparkSession, path: str, interval: str | None = None, *, start=None, end=None,
-    max_age: str | None = None,
+    max_age: str | None = None, compacted: bool = False,
 ) -> DataFrame:
     """Prune by interval and month; ``max_age`` (an interval literal) drops stale downloads.
-    When a bar was stored more than once the newest download wins."""
-    df = spark.read.parquet(path)
+    When a bar was stored more than once the newest download wins; a ``compacted`` table holds each bar
+    once and is read without that grouping."""
+    df = spark.read.schema(STORED).parquet(path)
     if interval:
         df = df.filter(F.col("interval") == interval)
     if start is not None:
@@ -60,11 +66,27 @@ def read_bars(
         df = df.filter((F.col("ts") <= end) & (F.col("month") <= F.date_format(F.lit(end), "yyyy-MM")))
     if max_age:
         df = df.filter(F.col("ingested_at") >= F.current_timestamp() - F.expr(f"INTERVAL {max_age}"))
+    if compacted:
+        return df.select(*BAR_COLUMNS)
+    return _newest(df).select(*BAR_COLUMNS)
+
+
+def _newest(df: DataFrame) -> DataFrame:
     rest = [c for c in BAR_COLUMNS if c not in ("symbol", "interval", "ts")]
     return (
         df.groupBy("symbol", "interval", "ts")
-        .agg(F.max_by(F.struct(*rest), "ingested_at").alias("b"))
-        .select("symbol", "interval", "ts", "b.*")
+        .agg(F.max_by(F.struct(*rest), "ingested_at").alias("b"), F.max("ingested_at").alias("ingested_at"))
+        .select("symbol", "interval", "ts", "b.*", "ingested_at")
+    )
+
+
+def compact_bars(spark: SparkSession, path: str, to: str) -> None:
+    """The table with each bar once, the newest download, in ``write_bars``'s layout."""
+    df = _newest(spark.read.schema(STORED).parquet(path)).withColumn("month", F.date_format("ts", "yyyy-MM"))
+    (
+        df.repartition("interval", "month", F.pmod(F.hash("symbol"), F.lit(64)))
+        .sortWithinPartitions("symbol", "ts")
+        .write.partitionBy("interval", "month").parquet(to)
     )
 
 
@@ -113,6 +135,11 @@ def degrade_interval(interval: Column, age_days: Column) -> Column:
     return out
 
 
+def crop_last(bars: DataFrame, minutes: int, now: Column) -> DataFrame:
+    """The bars of the last ``minutes`` before ``now`` (inclusive)."""
+    return bars.filter((F.col("ts") <= now) & (F.col("ts") >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))))
+
+
 def needed_series(verdicts: DataFrame, interval: str = "auto") -> DataFrame:
     """Distinct (ticker, interval) a set of verdict rows needs."""
     chosen = interval_for_timeframe(F.col("timeframe")) if interval == "auto" else F.lit(interval)

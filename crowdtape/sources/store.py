@@ -57,6 +57,24 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet", partition: str |
     writer.save(path)
 
 
+# fixed values: what evidence matching reads of a post
+EVIDENCE_COLUMNS = ["post_id", "platform", "source", "url", "title", "text", "scraped_at"]
+
+
+def evidence_posts(posts: DataFrame) -> DataFrame:
+    """The columns that evidence matching reads; a scan below reads no others."""
+    return posts.select(*EVIDENCE_COLUMNS)
+
+
+def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
+    """A result table as CSV with header, JSON lines or Parquet; nested columns travel as JSON in CSV."""
+    if fmt == "csv":
+        flat = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in df.schema.fields]
+        df.select(*flat).write.option("header", True).option("escape", '"').csv(path)
+    else:
+        df.write.format(fmt).save(path)
+
+
 def canonical_row(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """S3: exactly these columns, as strings, no nulls."""
     def shaped(c):
