@@ -184,7 +184,7 @@ def pick_latest(posts: DataFrame) -> DataFrame:
 
 def pick_random(posts: DataFrame, seed: int) -> DataFrame:
     """A reproducible random post: smallest seeded hash of the id."""
-    key = F.struct(F.xxhash64(F.lit(seed), "post_id"), F.col("post_id"))
+    key = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col("post_id"))), F.col("post_id"))
     return posts.agg(F.min_by(F.struct(*posts.columns), key).alias("p")).select("p.*")
 
 

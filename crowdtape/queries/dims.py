@@ -193,7 +193,10 @@ def hs18(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", F.array_join(K.theme_tags(F.col("p_name"), F.lit(""), themes), ",").alias("tags"))
 
 
-@query("hd3_session_utc", "H-D3")
+# New York's rule of those years: first Sunday of April to last Sunday of October
+@query("hd3_session_utc", "H-D3", """
+    SELECT day, CASE WHEN day >= a + CAST((7 - dayofweek(a)) % 7 AS INT) AND day < o - CAST(dayofweek(o) AS INT) THEN '13:30' ELSE '14:30' END AS ny_open, '00:00' AS tokyo_open
+    FROM (SELECT day, make_date(year(day), 4, 1) AS a, make_date(year(day), 10, 31) AS o FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders))""")
 def hd3(spark, sf):
     o = X.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     return o.select("day", K.session_utc(F.col("day"), F.lit("America/New_York"), F.lit("09:30")).alias("ny_open"),
@@ -215,7 +218,12 @@ def a23(spark, sf):
     return big(out.select("symbol", "pos", "post_id", "title"), "pos")
 
 
-@query("c19_gate_preview", "C19")
+KEYWORDS = "(list_filter(w, lambda x, i: x <> '' AND length(x) <= 24 AND list_position(w, x) = i)[1:12])"
+
+
+@query("c19_gate_preview", "C19", sql(f"""
+    SELECT post_id AS symbol, k || k || k AS include_any, k AS include_macro, k AS regulatory, k AS exclude_any, 'ok' AS why FROM (
+      SELECT post_id, {KEYWORDS} AS k FROM (SELECT post_id, list_transform(string_split(title, ' '), lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))) AS w FROM posts))"""))
 def c19(spark, sf):
     p = X.posts(spark, sf)
     w = F.split("title", " ")

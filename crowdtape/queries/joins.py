@@ -199,10 +199,16 @@ def w25(spark, sf):
     return R.as_of_records(req, d, m, limit=40).drop("body")
 
 
-@query("c20_memory_context", "C20")
+@query("c20_memory_context", "C20", sql(f"""
+    WITH c AS ({CONV}), q AS (SELECT DISTINCT ticker, c.at AS as_of FROM c), j AS (
+      SELECT q.ticker, q.as_of, c.kind, c.record_id, c.at, c.body, row_number() OVER (PARTITION BY q.ticker, q.as_of ORDER BY c.at DESC, c.kind DESC, c.record_id DESC) AS rn
+      FROM q JOIN c ON c.ticker = q.ticker AND c.at <= q.as_of)
+    SELECT ticker, as_of, row_number() OVER (PARTITION BY ticker, as_of ORDER BY j.at, kind, record_id) AS pos,
+      '(' || kind || ') [' || strftime(j.at, '%Y-%m-%dT%H:%M:%SZ') || '] ' || coalesce(body, '') AS line FROM j WHERE rn <= 40
+    UNION ALL SELECT ticker, as_of, 0, 'AS_OF cutoff = ' || strftime(as_of, '%Y-%m-%dT%H:%M:%SZ') FROM q"""))
 def c20(spark, sf):
     d, m = conversation_records(spark, sf)
-    req = d.groupBy("ticker").agg(F.max("ts").alias("as_of"))
+    req = d.select("ticker", F.col("ts").alias("as_of")).union(m.select("ticker", "range_end")).distinct()
     return R.context_lines(R.as_of_records(req, d, m, limit=40))
 
 

@@ -251,7 +251,11 @@ def w16_indicator_snapshot(spark, sf):
     return r8(r4(I.indicator_snapshot(X.daily_bars(spark, sf)), *SNAP_COLS[1:]), "close")
 
 
-@query("w17_indicator_series", "W17 W1 W4 W5 W6")
+@query("w17_indicator_series", "W17 W1 W4 W5 W6", sql(f"""
+    SELECT a.*, rsi14, macd_line, macd_signal, macd_hist
+    FROM (SELECT symbol, ts, round({_full('avg', 'close', 20)},4) AS sma20, round({_full('avg', 'close', 50)},4) AS sma50, round({_full('avg', 'close', 200)},4) AS sma200 FROM bars) a
+    JOIN ({MACD_SQL} SELECT symbol, ts, round(f-s,4) AS macd_line, round(g,4) AS macd_signal, round(f-s-g,4) AS macd_hist FROM e) m ON m.symbol = a.symbol AND m.ts = a.ts
+    JOIN ({RSI_SQL}) r ON r.symbol = a.symbol AND r.ts = a.ts"""))
 def w17_indicator_series(spark, sf):
     cols = ["sma20", "sma50", "sma200", "rsi14", "macd_line", "macd_signal", "macd_hist"]
     return r4(I.indicator_series(X.daily_bars(spark, sf)), *cols).select("symbol", "ts", *cols)

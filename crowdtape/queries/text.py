@@ -151,7 +151,10 @@ def u08(spark, sf):
     return X.posts(spark, sf).select("post_id", T.clean_paragraphs(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))).alias("cleaned"))
 
 
-@query("u09_clean_lines", "U9")
+@query("u09_clean_lines", "U9", sql("""
+    SELECT post_id, trim(regexp_replace(array_to_string(list_filter(k, lambda x, i: i = 1 OR x <> k[i - 1]), chr(10)), '[ \\t]{2,}', ' ', 'g')) AS cleaned FROM (
+      SELECT post_id, list_filter(l, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(comments?(\\s*\\(\\d+\\))?|most popular|trending|share|save|play)\\b') AND NOT (length(x) < 6 AND NOT regexp_matches(x, '[A-Za-z]\\.'))) AS k
+      FROM (SELECT post_id, list_transform(string_split_regex(text, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS l FROM posts))"""))
 def u09(spark, sf):
     return X.posts(spark, sf).select("post_id", T.clean_lines(F.col("text")).alias("cleaned"))
 
