@@ -228,13 +228,15 @@ def _verified(groups: DataFrame, key: list[str], idf) -> DataFrame:
         return pd.DataFrame({"leader": pdf.leader.to_numpy(), "node": node, "root": [least[r] for r in root],
                              "with_leader": [r == root[0] for r in root], "from_leader": pivot})
 
-    return groups.groupBy(*key).applyInPandas(link, "leader long, node long, root long, with_leader boolean, from_leader double")
+    # small in bytes, long in computing: keep the groups apart over all partitions
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(parts, *key).groupBy(*key).applyInPandas(link, "leader long, node long, root long, with_leader boolean, from_leader double")
 
 
 def _texts(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """``members`` with the text of their node."""
+    """``members`` with the text of their node, by one merge join at every size."""
     m = members.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    both = docs.join(m, docs["doc_id"].eqNullSafe(m["_id"]) & (docs["text_key"] == m["_key"]))
+    both = docs.join(m.hint("merge"), docs["doc_id"].eqNullSafe(m["_id"]) & (docs["text_key"] == m["_key"]))
     return both.select(*[c for c in members.columns if c not in ("doc_id", "text_key")], F.encode("text", "utf-8").alias("text"))
 
 
@@ -300,9 +302,10 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     out = stored(rows.select("doc_id", "text_key", "words_key").join(stored(placed, "near-placed"), "words_key").select(
         "doc_id", "text_key", "class", F.monotonically_increasing_id().alias("_row")), "near-classes")
     classes = stored(out.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-class")
-    out = out.join(classes, "class")
-    stays = out.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("_row").alias("_stays"))
-    return out.join(stays, "class").select("doc_id", "text_key", "class_id", "class_size", (F.col("_row") == F.col("_stays")).alias("kept"))
+    out = stored(out.join(classes, "class"), "near-out")
+    stays = out.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("_row").alias("_row"))
+    return out.join(stays.select("_row", F.lit(True).alias("_stays")), "_row", "left").select(
+        "doc_id", "text_key", "class_id", "class_size", F.coalesce("_stays", F.lit(False)).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
