@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -261,33 +262,61 @@ def dedup_against_log(
     """Rows of ``batch`` that share none of ``keys`` with the log nor with an accepted earlier
     row of the batch (missing or blank parts never match).
 
-    One anti join per key, then rounds: the earliest open row of all its keys is accepted, rows
-    sharing a key with it are refused.  The outcome equals taking the rows one after the other.
+    The outcome equals taking the rows one after the other.  One anti join per key against the log, then
+    rounds.  In a round a row that is first in all its keys is accepted.  A row with exactly one earlier
+    rival is accepted if and only if that rival is not, so chains of such rows are settled together by
+    pointer doubling, in as many steps as the logarithm of the longest chain.  Only rows with several
+    earlier rivals wait for the next round.
     """
     open_rows = batch
     for key in keys:
         open_rows = open_rows.join(_with_key(log, key).select(*key).distinct(), list(key), "left_anti")
-    rank = F.struct(*order)
-    accepted = None
-    while True:
-        open_rows = cut_lineage(open_rows)
-        if open_rows.isEmpty():
-            return accepted if accepted is not None else batch.limit(0)
-        marked = open_rows.withColumn("_rank", rank)
-        for i, key in enumerate(keys):
-            first = (
-                _with_key(marked, key).groupBy(*key).agg(F.min("_rank").alias(f"_f{i}"))
-            )
-            marked = marked.join(first, list(key), "left")
-        wins = F.lit(True)
-        for i in range(len(keys)):
-            wins = wins & (F.coalesce(F.col(f"_f{i}"), F.col("_rank")) == F.col("_rank"))
-        marked = cut_lineage(marked.withColumn("_win", wins))
-        won = marked.filter("_win").select(*batch.columns)
-        accepted = won if accepted is None else accepted.unionByName(won)
-        open_rows = marked.filter(~F.col("_win")).select(*batch.columns)
+    open_rows = cut_lineage(open_rows.select(*batch.columns).withColumn("_id", F.monotonically_increasing_id()))
+    accepted = []
+    while not open_rows.isEmpty():
+        state = _settled(cut_lineage(_rivals(open_rows, keys, order)))
+        judged = cut_lineage(open_rows.join(state, "_id"))
+        won = judged.filter("state = 'in'").select(*batch.columns)
+        accepted.append(won)
+        open_rows = judged.filter("state = 'wait'").drop("state")
         for key in keys:
             open_rows = open_rows.join(_with_key(won, key).select(*key).distinct(), list(key), "left_anti")
+        open_rows = cut_lineage(open_rows.select(*batch.columns, "_id"))
+    return reduce(DataFrame.unionByName, accepted) if accepted else batch.limit(0)
+
+
+def _rivals(rows: DataFrame, keys: Sequence[Sequence[str]], order: Sequence[str]) -> DataFrame:
+    """(_id, state, rival): ``in`` for rows that are first in all their keys, the only earlier rival of
+    rows that are second in some keys and first in the others, ``wait`` for all else."""
+    ranked = rows.withColumn("_rank", F.struct(*order, "_id"))
+    marked = ranked
+    places, before = [], []
+    for i, key in enumerate(keys):
+        mine = _with_key(ranked, key).select(*key, "_rank")
+        first = mine.groupBy(*key).agg(F.min("_rank").alias(f"_f{i}"))
+        second = mine.join(first, list(key)).filter(F.col("_rank") > F.col(f"_f{i}")).groupBy(*key).agg(F.min("_rank").alias(f"_s{i}"))
+        marked = marked.join(first, list(key), "left").join(second, list(key), "left")
+        f, s, r = F.col(f"_f{i}"), F.col(f"_s{i}"), F.col("_rank")
+        places.append(F.when(f.isNull() | (r == f), 0).when(r == s, 1).otherwise(2))
+        before.append(F.when(f.isNotNull() & (r == s), f["_id"]))
+    last = F.greatest(*places) if len(places) > 1 else places[0]
+    rivals = F.array_distinct(F.array_compact(F.array(*before)))
+    one = (last == 1) & (F.size(rivals) == 1)
+    return marked.select(
+        "_id", F.when(last == 0, "in").when(~one, "wait").alias("state"), F.when(one, F.element_at(rivals, 1)).alias("rival"))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """(_id, state): follows rivals to the head of their chain, doubling the stride each step."""
+    hops = rows.withColumn("odd", F.lit(True))
+    while not hops.filter("state IS NULL").isEmpty():
+        ahead = hops.select(F.col("_id").alias("rival"), F.col("state").alias("_s"), F.col("rival").alias("_r"), F.col("odd").alias("_o"))
+        met = hops.join(ahead, "rival", "left")
+        settled = F.when(F.col("_s") == "wait", "wait").when(F.col("_s").isNotNull(), F.when((F.col("_s") == "in") != F.col("odd"), "in").otherwise("out"))
+        hops = cut_lineage(met.select(
+            "_id", F.coalesce("state", settled).alias("state"), F.coalesce("_r", "rival").alias("rival"),
+            F.when(F.col("_r").isNotNull(), F.col("odd") != F.col("_o")).otherwise(F.col("odd")).alias("odd")))
+    return hops.select("_id", "state")
 
 
 def sync_backlog(local: DataFrame, remote: DataFrame, key: Sequence[str], ordinal: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nothing is cut, capped or dropped on the way: literal rows for each case."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,33 @@ def test_novelty_counts_shared_shingles(spark):
             ("t", "4", T0 + dt.timedelta(days=3), "short"), ("t", "5", T0 + dt.timedelta(days=60), text), ("u", "6", T0, text)]
     got = {r.post_id: (r.novelty, r.samples) for r in E.novelty(spark.createDataFrame(rows, "ticker string, post_id string, at timestamp, text string")).collect()}
     assert got["1"] == (0.7, 0) and got["2"] == (0.0, 1) and got["3"] == (pytest.approx(1 - 11 / 26), 2) and got["4"] == (0.7, 3) and got["5"] == (0.7, 0) and got["6"] == (0.7, 0)
+
+
+def test_chained_duplicates_take_few_rounds(spark, monkeypatch):
+    """Each row shares one key with the row before it: every second row is accepted."""
+    n, cuts = 10_000, []
+    cut = P.cut_lineage
+    monkeypatch.setattr(P, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    rows = spark.range(n).select(
+        F.col("id").alias("n"), F.concat(F.lit("k"), F.floor(F.col("id") / 2).cast("string")).alias("k"),
+        F.concat(F.lit("u"), F.floor((F.col("id") + 1) / 2).cast("string")).alias("u"))
+    log = spark.createDataFrame([("none", "none")], "k string, u string")
+    got = sorted(r.n for r in P.dedup_against_log(rows, log, [["k"], ["u"]], ["n"]).collect())
+    assert got == list(range(0, n, 2)) and len(cuts) <= 20
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_dedup_equals_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, f"k{rng.randint(0, 25)}" if rng.random() < 0.9 else None, f"u{rng.randint(0, 40)}" if rng.random() < 0.9 else "", f"v{rng.randint(0, 60)}") for i in range(150)]
+    seen = [{"k3"}, {"u5"}, set()]
+    want = []
+    for i, *vals in rows:
+        if not any(v and v in s for v, s in zip(vals, seen)):
+            want.append(i)
+            for v, s in zip(vals, seen):
+                if v:
+                    s.add(v)
+    df = spark.createDataFrame(rows, "n long, k string, u string, v string")
+    log = spark.createDataFrame([("k3", "u5", None)], "k string, u string, v string")
+    assert sorted(r.n for r in P.dedup_against_log(df, log, [["k"], ["u"], ["v"]], ["n"]).collect()) == want
