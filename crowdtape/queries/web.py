@@ -16,6 +16,22 @@ def s19(spark, sf):
     return A.articles(X.table(spark, sf, "pages"))
 
 
+PLAIN = "regexp_replace({}, '<[^>]*>', '', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+    PLAIN = f"replace({PLAIN}, '{_a}', '{_b}')"
+DROP = A.DROP_LINE.replace("'", "''")
+
+
+@query("s19_article_paragraphs", "S19 H-X1 H-X3", f"""
+    SELECT page_id, array_to_string([x for x in p if x <> '' AND NOT regexp_matches(x, '{DROP}')], chr(10) || chr(10)) AS text FROM (
+      SELECT page_id, [trim(regexp_replace({PLAIN.format("y")}, '\\s+', ' ', 'g')) for y in string_split(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g'), '<p>')[2:]] AS p
+      FROM pages WHERE html LIKE '%<article>%')""")
+def s19_paragraphs(spark, sf):
+    """The article container of every page that has one."""
+    pages = X.table(spark, sf, "pages").filter(F.contains("html", F.lit("<article>")))
+    return A.parse_pages(pages).select("page_id", F.element_at("candidates", 1).alias("text"))
+
+
 @query("s19_titles", "S19 H-X1", sql("""
     SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages"""))
 def s19_titles(spark, sf):

@@ -36,13 +36,65 @@ JUNK_NAMES = {
     "login-overlay", "useraccount", "signupform", "js-modal", "js-login", "inline-media", "leftcol", "left-column",
     "rightcol", "right-column", "topnav", "mainnav", "sitenav",
 }
-DROP_LINE = (
-    r"(?i)^CONTACTS?:|^Contact:|^Investor Relations|^Media Relations|^Forward-?looking statements|^Safe Harbor"
-    r"|^\(?c\)? ?\d{4}|^SOURCE: |^View (?:the )?source version on|^For further information|^Subscribe|^Follow us on"
-    r"|^About (?:us|the company)|^(?:\d+\s*)?Share$|^Save$|^Play(?: \(\s*[\d<]+ ?min\s*\))?$|^Listen (?:now|to this podcast)$"
-    r"|^Read (?:more|the full story)$|^(?:See also|More on|Editor'?s Note)\b|^Email Alert Subscriptions\b|^Please follow Nasdaq\b"
-    r"|^© Copyright\b|^Disclaimer$|^Trademarks$|^Privacy Statement$|^Contact Us$|^Help$|^Feedback$|^Comments?\s*\(\d+\)\s*$"
-)
+# attribute values, and parts of attribute values, of page furniture
+JUNK_ATTRIBUTES = {
+    ("aria-label", "advertisement"), ("aria-label", "audio player"), ("role", "button"), ("data-test-id", "share-bar"),
+    ("data-test-id", "engagement"), ("data-test-id", "action-bar"), ("data-test-id", "audio-player"),
+    ("data-test-id", "comments"), ("data-test-id", "comment"),
+}
+JUNK_PARTS = [("class", "ad-"), ("id", "ad-"), ("id", "BreadCrumb"), ("id", "TopNavigation")]
+DROP_LINES = [
+    r"^CONTACTS?:", r"^Contact:", r"^Investor Relations", r"^Media Relations", r"^Forward-?looking statements",
+    r"^Safe Harbor", r"^\(?c\)? ?\d{4}", r"^SOURCE: ", r"^View (?:the )?source version on", r"^For further information",
+    r"^Subscribe", r"^Follow us on", r"^About (?:us|the company)", r"^(?:\d+\s*)?Share$", r"^Save$",
+    r"^Play(?: \(\s*[\d<]+ ?min\s*\))?$", r"^Listen (?:now|to this podcast)$", r"^Read (?:more|the full story)$",
+    r"^See also\b", r"^More on\b", r"^Editor'?s Note\b", r"^Email Alert Subscriptions\b", r"^Please follow Nasdaq\b",
+    r"^View NASDAQTrader\.com Mobile\b", r"^Nasdaq Trader Popular Sections\b",
+    r"^© Copyright\b|^Disclaimer$|^Trademarks$|^Privacy Statement$|^Contact Us$|^Help$|^Feedback$",
+    r"^Performance Statistics$", r"^Email Sign-Up$",
+    r"^(?:ETA|OTA|RTA|NOM|PHLX|BX|ISE|GEMX|MRX|UTP(?: Vendor Alert)?)\s*\d{4}-\d+\s*$",
+    r"^(?:The )?Nasdaq Stock Market(?: \(Nasdaq\))?$", r"^Nasdaq BX$", r"^Nasdaq PSX$", r"^Nasdaq Options Market$",
+    r"^Nasdaq PHLX$", r"^Nasdaq BX Options$", r"^Nasdaq ISE$", r"^Nasdaq GEMX$", r"^Nasdaq MRX$",
+    r"^U\.S\. Market Operations\b", r"^U\.S\. Market Sales\b", r"^Equities Trading Services\b",
+    r"^Saturday Testing Policy Page$", r"^Regulation SCI BCP DR Information$", r"^Price List$", r"^Specifications Page$",
+    r"^Nasdaq\s*\(Nasdaq:\s*NDAQ\)\s+is a leading global provider\b", r"^Comments?\s*\(\d+\)\s*$",
+]
+DROP_LINE = "(?i)" + "|".join(DROP_LINES)
+# where a site keeps its article, best first
+SITE_SELECTORS = {
+    "www.investing.com": ["main article", "article .WYSIWYG", "article .article__content", "div#articleContent", "div.articlePage"],
+    "ir.thomsonreuters.com": [
+        "main article", "div.wd_text_block", "div.module_body", "div.news-release", "main article .wd_text_block", "main article .text",
+        "main .module_body"],
+    "www.thomsonreuters.com": ["main [data-component='ArticleBody']", "article [data-component='ArticleBody']", "main article", "article"],
+    "www.marketwatch.com": ["article .article__content", "article .paywall", "article .js-article__body", "div.article__body"],
+    "www.cnbc.com": ["div.ArticleBody-articleBody", "article .ArticleBodyWrapper", "article .articleBody", "div.group"],
+    "finance.yahoo.com": ["div.caas-body", "article div[data-test-locator='storycontent']"],
+    "www.wsj.com": ["article .article-content", "article section[data-type='article']"],
+    "www.nasdaq.com": [
+        "main article", "article [data-module='article-body']", "article .body__content", "div#two-column-main-content article",
+        "div#two-column-main-content"],
+    "www.nasdaqtrader.com": [
+        "#mainContent .nw_content", "#mainContent .newsContainer", "#mainContent .content", "#mainContent article",
+        "[id$='_MainContent'] article", "[id$='_MainContent'] .content", "article"],
+    "www.federalreserve.gov": [
+        "main article", "main #article", "main #content", "main #press", "main .col-xs-12.col-md-8", "div#main", "div.col-md-8",
+        "div.col-sm-8"],
+    "www.centralbanking.com": ["article .content-body", "article .text", "article"],
+    "seekingalpha.com": [
+        "section[data-test-id='post-content']", "div[data-test-id='post-content']", "div[data-test-id='content-container']",
+        "article [data-test-id='post-content']", "article [itemprop='articleBody']", "article .sa-art__content",
+        "article .sa-article-content", "main article", "article"],
+    "cnbctv18.com": [
+        "article [itemprop='articleBody']", "article .contentarea", "article .article-content", "article .story-content",
+        "article .storypage-content", "article .storypage-article-content", "article .story__content", "article .post-content",
+        "main article", "article", ".amp-article-content", ".articleBody", ".storyBody", ".content-body", "#storyBody"],
+}
+# least characters of a text found by a site's selectors
+SITE_LEAST = {
+    "seekingalpha.com": 80, "www.investing.com": 220, "www.nasdaq.com": 220, "www.federalreserve.gov": 180, "cnbctv18.com": 160,
+    "www.nasdaqtrader.com": 80,
+}
 ARTICLE_TYPES = {"Article", "NewsArticle", "Report", "PressRelease"}
 BODY_KEYS = {"articlebody", "renderedbody", "contenthtml", "content", "body", "text", "value", "html", "rawhtml"}
 NAV_WORDS = [
@@ -59,11 +111,38 @@ _VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "sou
 _BLOCK = {"article", "main", "div", "section", "body"}
 
 
+_STEP = re.compile(r"""^([a-z][a-z0-9]*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)([$*]?)='([^']*)'\]""", re.I)
+
+
+def _selector(text: str) -> list[list[tuple]]:
+    """A selector as steps of tests: (kind, name, value)."""
+    steps = []
+    for part in text.split():
+        tests = []
+        for tag, ident, name, attr, op, value in _STEP.findall(part):
+            tests.append(("tag", "", tag) if tag else ("=", "id", ident) if ident else ("word", "class", name) if name else (op or "=", attr, value))
+        steps.append(tests)
+    return steps
+
+
+SELECTORS = {site: [_selector(x) for x in xs] for site, xs in SITE_SELECTORS.items()}
+
+
+def _meets(tests: list[tuple], tag: str, attrs: dict) -> bool:
+    for kind, name, value in tests:
+        have = attrs.get(name) or ""
+        if not (tag == value if kind == "tag" else value in have.split() if kind == "word" else have.endswith(value) if kind == "$"
+                else value in have if kind == "*" else have == value):
+            return False
+    return True
+
+
 class _Page(HTMLParser):
     """One pass over a page: title, structured-data blocks and the paragraphs of every container."""
 
-    def __init__(self):
+    def __init__(self, selectors=()):
         super().__init__(convert_charrefs=True)
+        self.selectors, self.path, self.by_selector = selectors, [], {}
         self.title, self.og_title, self.ld_json, self.state_json = "", "", [], []
         self.stack, self.junk, self.para, self.raw = [], 0, None, None
         self.containers = []  # (tag, paragraphs, loose text) of closed containers
@@ -77,9 +156,12 @@ class _Page(HTMLParser):
                 self.para.append(" ")
             return
         words = {w.lower() for w in re.split(r"\s+", f"{a.get('class') or ''} {a.get('id') or ''}") if w}
-        bad = tag in JUNK_TAGS or bool(words & JUNK_NAMES) or a.get("role") == "button"
+        bad = tag in JUNK_TAGS or bool(words & JUNK_NAMES) or any((a.get(k) or "").lower() == v for k, v in JUNK_ATTRIBUTES)
+        bad = bad or any(part in (a.get(k) or "") for k, part in JUNK_PARTS)
         main = a.get("role") == "main"
-        self.stack.append([tag, bad, [], [], main])
+        self.path.append((tag, a))
+        rank = None if bad or self.junk else next((i for i, s in enumerate(self.selectors) if self._selected(s)), None)
+        self.stack.append([tag, bad, [], [], main, rank])
         self.junk += bad
         if tag in ("p", "li") and not self.junk:
             self._end_para()
@@ -99,11 +181,14 @@ class _Page(HTMLParser):
             self.raw = None
         if not any(e[0] == tag for e in self.stack):
             return
-        if tag in ("p", "li"):
+        if tag in ("p", "li") or tag in _BLOCK:  # the end of a block ends the paragraph it leaves open
             self._end_para()
         while self.stack:
-            name, bad, paras, loose, main = self.stack.pop()
+            name, bad, paras, loose, main, rank = self.stack.pop()
+            self.path.pop()
             self.junk -= bad
+            if rank is not None:
+                self.by_selector.setdefault(rank, (name, paras, loose))
             if name in _BLOCK and not bad and not self.junk:
                 self.containers.append(("main" if main else name, paras, loose))
             if self.stack and not bad:  # an outer container holds the text of its inner ones
@@ -121,6 +206,21 @@ class _Page(HTMLParser):
             elif self.stack and data.strip():
                 self.stack[-1][3].append(data.strip())
 
+    def _selected(self, steps):
+        """Whether the innermost element meets the last step and its ancestors the others, in order."""
+        if not _meets(steps[-1], *self.path[-1]):
+            return False
+        left = len(steps) - 1
+        for tag, attrs in reversed(self.path[:-1]):
+            if left and _meets(steps[left - 1], tag, attrs):
+                left -= 1
+        return not left
+
+    def site_text(self):
+        """Text of the best-ranked selected element that has any."""
+        texts = ("\n\n".join(c[1]) or "\n".join(c[2]) for _, c in sorted(self.by_selector.items()))
+        return next((t for t in texts if t), "")
+
     def _end_para(self):
         if self.para is not None and self.stack:
             txt = re.sub(r"\s+", " ", "".join(self.para)).strip()
@@ -185,9 +285,10 @@ def _state_body(blocks: list[str]) -> str:
     return "\n\n".join(dict.fromkeys(found))
 
 
-def candidate_texts(html: str) -> dict:
-    """Title and candidate bodies of one page."""
-    page = _Page()
+def candidate_texts(html: str, url: str | None = None) -> dict:
+    """Title, the text under the site's selectors, and the candidate bodies of one page."""
+    host = re.sub(r"^[a-z]+://([^/?#:]*).*$", r"\1", (url or "").lower(), flags=re.S)
+    page = _Page(next((x for site, x in SELECTORS.items() if host.endswith(site)), ()))
     try:
         page.feed(html or "")
         page.close()
@@ -195,24 +296,28 @@ def candidate_texts(html: str) -> dict:
         pass
     for c in reversed(page.stack):
         page.containers.append((c[0], c[2], c[3]))
+        if c[5] is not None:
+            page.by_selector.setdefault(c[5], (c[0], c[2], c[3]))
     return {
         "title": page.og_title or page.title,
+        "site_text": page.site_text(),
         "candidates": [page.container_text(), _ld_body(page.ld_json), _state_body(page.state_json)],
     }
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> (page_id, url, title, candidates).  Pages stream through in
+    """``pages(page_id, url, html)`` -> (page_id, url, title, site_text, candidates).  Pages stream through in
     Arrow batches; no page leaves its task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parsed = [candidate_texts(h) for h in b["html"]]
+            parsed = [candidate_texts(h, u) for h, u in zip(b["html"], b["url"])]
             yield pd.DataFrame({
-                "page_id": b["page_id"], "url": b["url"], "title": [p["title"] for p in parsed], "candidates": [p["candidates"] for p in parsed],
+                "page_id": b["page_id"], "url": b["url"], "title": [p["title"] for p in parsed], "site_text": [p["site_text"] for p in parsed],
+                "candidates": [p["candidates"] for p in parsed],
             })
 
     key = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {key}, url string, title string, candidates array<string>")
+    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {key}, url string, title string, site_text string, candidates array<string>")
 
 
 def best_text(candidates: Column, url: Column) -> Column:
@@ -227,6 +332,14 @@ def best_text(candidates: Column, url: Column) -> Column:
     return pick["t"]
 
 
+def site_text(text: Column, url: Column) -> Column:
+    """H-X3: the text under the site's selectors if it is long enough for the site, else NULL."""
+    d, least = T.domain(url), F.lit(300)
+    for site, n in SITE_LEAST.items():
+        least = F.when(d.endswith(site), n).otherwise(least)
+    return F.when(F.length(text) > least, text)
+
+
 def trim_tail(text: Column) -> Column:
     """H-X5."""
     cut = F.element_at(F.split(text, r"(?i)\n\n(?:View (?:the )?source version on|For further information|SOURCE:|Contacts?:)\b", 2), 1)
@@ -263,7 +376,7 @@ def bulletin_slice(text: Column) -> Column:
 
 def articles(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, text, fetch_status) of crawled pages."""
-    df = parse_pages(pages).withColumn("text", trim_tail(best_text(F.col("candidates"), F.col("url"))))
+    df = parse_pages(pages).withColumn("text", trim_tail(F.coalesce(site_text(F.col("site_text"), F.col("url")), best_text(F.col("candidates"), F.col("url")))))
     d = T.domain(F.col("url"))
     sub = d.endswith("seekingalpha.com")
     df = df.withColumn("text", F.when(sub, T.fix_mojibake(T.clean_lines(F.col("text")))).when(d.endswith("www.nasdaqtrader.com"), bulletin_slice(F.col("text"))).otherwise(F.col("text")))

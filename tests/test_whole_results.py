@@ -126,3 +126,18 @@ def test_dedup_equals_one_by_one(spark, seed):
     df = spark.createDataFrame(rows, "n long, k string, u string, v string")
     log = spark.createDataFrame([("k3", "u5", None)], "k string, u string, v string")
     assert sorted(r.n for r in P.dedup_against_log(df, log, [["k"], ["u"], ["v"]], ["n"]).collect()) == want
+
+
+def test_site_selectors_and_furniture():
+    from crowdtape.sources.articles import candidate_texts
+
+    text = "A paragraph of the story that is long enough to be kept by everyone. "
+    page = (f"<main><div class='ad-slot'><p>{text}ad</p></div><article><div data-test-id='comments'><p>{text}comment</p></div>"
+            f"<div data-test-id='post-content'><p>{text}one</p><p>See also this</p><ul><li>two</li></ul></div><p>{text}outside</p></article></main>")
+    got = candidate_texts(page, "https://seekingalpha.com/news/1")
+    assert got["site_text"] == f"{text}one\n\ntwo"
+    assert got["candidates"][0] == f"{text}one\n\ntwo\n\n{text}outside"
+    assert candidate_texts(page, "https://e.example/1")["site_text"] == ""
+    fed = "<main><div class='x col-md-8 col-xs-12'><p>fed text</p></div></main>"
+    assert candidate_texts(fed, "https://www.federalreserve.gov/a")["site_text"] == "fed text"
+    assert candidate_texts("<div id='ctl_MainContent'><div class='content'>loose</div></div>", "http://www.nasdaqtrader.com/x")["site_text"] == "loose"
