@@ -179,11 +179,11 @@ def op5_quality_ledger(spark, sf_dir):
                       (~keeps(BASE)).alias("base_failed"), keeps(FULL).alias("kept"), "failed_bits")
 
 
-@query("op5_ablations", f"""
+@query("quality_ablations", f"""
 WITH q AS ({SQL}), r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)),
 p(policy, mask) AS (VALUES ('base-1', 3), ('full-1', 63), ('no-length-1', 62))
 SELECT policy, rule, count(*) FILTER (WHERE failed_bits & mask = 0) AS kept, count(*) FILTER (WHERE failed_bits & bit <> 0) AS failed,
        count(*) FILTER (WHERE failed_bits & mask = bit) AS only_this_rule
 FROM q, r, p WHERE mask & bit <> 0 GROUP BY policy, rule""")
-def op5_ablations(spark, sf_dir):
+def quality_ablations(spark, sf_dir):
     return ablations(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")), (BASE, FULL, NO_LENGTH))

@@ -28,7 +28,7 @@ ROWS = [
     (9, _LONG[:-5], "de", "c", 1), (10, "one two three", "en", "ü", 1), (11, "one two three", "en", "Z", 1), (None, "one two four", "en", "Z", 1),
     (12, "x\ny\nx\n\nx y x y x y", None, "a", 1), (13, "<|a|> \\ [INST] ", "en", "a", 1), (14, "É é ß ſ K", "en", "", 1), (15, "é É ß ſ k", "en", "", 1),
 ]
-ORACLES = ["op3_source_mix", "op4_secret_ledger", "op5_quality_ledger", "op5_ablations", "op9_radix_dedup", "op10_chat_layouts"]
+ORACLES = ["op3_source_mix", "op4_secret_ledger", "op5_quality_ledger", "quality_ablations", "op9_radix_dedup", "op10_chat_layouts"]
 
 
 @pytest.fixture(scope="module")
