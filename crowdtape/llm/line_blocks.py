@@ -61,8 +61,10 @@ def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
             return True
         if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+        if key in ("class", "id") and name not in ("html", "body", "main"):
             for token in value.split():
+                if name == "article" and token not in ASIDE_WORDS:  # an article's own class names say less
+                    continue
                 words = _PARTS.findall(token)
                 if words and (words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS):
                     return True

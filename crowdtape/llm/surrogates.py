@@ -1,12 +1,13 @@
 """Personal data replaced by surrogates.
 
-Detected entities (e-mail, phone, card or account number, address of a machine, named person) get a
+Detected entities (e-mail, phone, card number, bank account, address of a machine, named person) get a
 keyed replacement of their own type: digits stay digits in the same grouping, letters keep script and
-case, names keep gender and script. An entity is its type and normal form; it gets the same surrogate
-wherever and however it is written (coreference), and different entities get different ones.
+case, names keep gender and script, check digits stay valid. Numbers that fail their check (Luhn for
+cards, mod 97 for accounts) are no personal data. An entity is its type and normal form; it gets the same
+surrogate wherever and however it is written (coreference), and different entities get different ones.
 
-Digit strings go through a keyed permutation of all strings of their length, so two of them can't meet.
-The rest draw from keyed hashes. A surrogate must not equal another entity's surrogate, nor any real
+Digit strings go through a keyed permutation of all strings of their length (check digits follow from
+it), so two of them can't meet. The rest draw from keyed hashes. A surrogate must not equal another entity's surrogate, nor any real
 entity of the corpus: surrogates and entities are counted together, and the entity with the greater keyed
 hash draws again until no count exceeds one. Only these rare re-draws are kept as a table; everything else
 is recomputed from the key wherever an entity stands.
@@ -37,8 +38,10 @@ PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
-    r"|(?P<phone>\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)\x20?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{2,3}-\d{4}(?![\d-]))"
-    r"|(?P<number>(?<!\d)\d{4}(?:[\x20-]?\d{4}){2,3}(?:[\x20-]?\d{1,3})?(?!\d))"
+    r"|(?P<phone>\+1[\x20.-]?(?:\(\d{3}\)|\d{3})[\x20.-]?\d{3}[\x20.-]?\d{4}(?!\d)"
+    r"|\+\d{1,3}(?:[\x20-]?\(\d{1,4}\))?(?:[\x20-]?\d{2,4}){2,4}(?![.\d])"
+    r"|\(\d{3}\)\x20?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{2,3}-\d{4}(?![\w-]))"
+    r"|(?P<number>(?<!\w)\d{4}(?:[\x20-]?\d{4}){2,3}(?:[\x20-]?\d{1,3})?(?!\w))"
     r"|(?P<person>(?<!\w)(?:Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа|Г-жа|Г-н)\.?\x20(?:[^\W\d_][\w'’-]*)(?:\x20[A-ZÀ-ÞА-Я][\w'’-]*)?)")
 TITLES = {"m": "mr sir herr monsieur señor sr господин г-н".split(), "f": "mrs ms miss frau madame mme señora sra госпожа г-жа".split()}
 FIRST = {
@@ -69,6 +72,26 @@ def permuted(digits: str, key: bytes, kind: str, turn: int = 0) -> str:
     return f"{left:0{a}d}{right:0{b}d}"
 
 
+def check_digit(digits: str) -> int:
+    """The Luhn digit that completes ``digits``."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (2 - i % 2)
+        total += x - 9 * (x > 9)
+    return -total % 10
+
+
+def account_remainder(account: str) -> int:
+    """Mod 97 of an account number, country and check digits moved behind, letters as numbers."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def is_valid(kind: str, norm: str) -> bool:
+    if kind == "number":
+        return check_digit(norm[:-1]) == int(norm[-1])
+    return kind != "iban" or account_remainder(norm) == 1
+
+
 def normal(kind: str, text: str) -> str:
     """The form that all writings of an entity share."""
     if kind in ("phone", "number"):
@@ -96,12 +119,15 @@ def _word(key: bytes, script: str, least: int, *what) -> str:
 
 def surrogate(kind: str, norm: str, key: bytes = KEY, turn: int = 0) -> str:
     """The normal form of an entity's replacement."""
-    if kind in ("phone", "number"):
+    if kind == "phone":
         return permuted(norm, key, kind, turn)
+    if kind == "number":
+        body = permuted(norm[:-1], key, kind, turn)
+        return f"{body}{check_digit(body)}"
     if kind == "iban":
-        digits = permuted(re.sub(r"\D", "", norm[2:]), key, kind, turn)
-        it = iter(digits)
-        return norm[:2] + "".join(next(it) if c.isdigit() else chr(65 + _draw(key, kind, norm, turn, i) % 26) for i, c in enumerate(norm[2:]))
+        digits = iter(permuted(re.sub(r"\D", "", norm[4:]), key, kind, turn))
+        body = "".join(next(digits) if c.isdigit() else chr(65 + (ord(c) - 65 + _draw(key, kind, turn, i)) % 26) for i, c in enumerate(norm[4:]))
+        return f"{norm[:2]}{98 - account_remainder(norm[:2] + '00' + body):02d}{body}"
     if kind == "ip":
         x = _draw(key, kind, norm, turn)
         return ".".join(str(1 + (x >> 16 * i) % 254) for i in range(4))
@@ -132,7 +158,7 @@ def written(kind: str, original: str, norm: str) -> str:
 
 
 def found(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.lastgroup) for m in PATTERN.finditer(text)]
+    return [(m.start(), m.end(), m.lastgroup) for m in PATTERN.finditer(text) if is_valid(m.lastgroup, normal(m.lastgroup, m[0]))]
 
 
 def _entities(docs: DataFrame) -> DataFrame:

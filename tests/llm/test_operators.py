@@ -335,6 +335,18 @@ def test_surrogates_keep_type_format_and_coreference(spark):
         assert all(t not in (r.text or "") for r in out.values())
 
 
+def test_check_digits_decide_and_stay_valid():
+    assert surrogates.found("order 4111111111111112 of 36974748794293dd and GB82 WEST 1234 5698 7654 33") == []
+    text = "+1 (826) 555-4081 190.12.3.4 4845168114407329 7536784127813050 GB82 WEST 1234 5698 7654 32"
+    kinds = [(k, text[a:b]) for a, b, k in surrogates.found(text)]
+    assert kinds == [("phone", "+1 (826) 555-4081"), ("ip", "190.12.3.4"), ("number", "4845168114407329"), ("number", "7536784127813050"), ("iban", "GB82 WEST 1234 5698 7654 32")]
+    for kind, t in kinds:
+        norm = surrogates.normal(kind, t)
+        new = surrogates.surrogate(kind, norm)
+        assert new != norm and len(new) == len(norm) or kind == "ip"
+        assert surrogates.is_valid(kind, new)
+
+
 def test_digits_are_permuted():
     assert len({surrogates.permuted(f"{i:04d}", b"k", "phone") for i in range(10_000)}) == 10_000
 
