@@ -14,7 +14,8 @@ HEADLINE = [
     "t_bars_daily", "w01_sma", "w17_indicator_series", "w10_obv", "c01_technical_snapshot", "j15_asof_backward",
     "j17_price_window", "w23_latest_payload", "a01_calendar", "c16_des_scores", "a09_des_with_peers",
     "c03_novelty", "j20_evidence_scores", "c14_sector_leaders", "c05_signal_outcomes", "c06_one_position",
-    "a11_run_metrics", "c09_horizon_outcomes", "s19_articles", "p14_decisions",
+    "a11_run_metrics", "c09_horizon_outcomes", "s19_articles", "p14_decisions", "p19_context_filter", "w25_as_of_records",
+    "c02_interest_scores", "c11_signal_fusion", "c13_research_bundles", "c06_back_test",
 ]
 
 
