@@ -23,6 +23,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,15 +35,16 @@ KEY = b"surrogate key: a parameter, kept apart from the data in real use"
 
 # --- fixed values: what entities look like, and what names may be drawn ---
 KINDS = ("email", "iban", "ip", "phone", "number", "person")
-PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,})"
-    r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
-    r"|(?P<phone>\+1[\x20.-]?(?:\(\d{3}\)|\d{3})[\x20.-]?\d{3}[\x20.-]?\d{4}(?!\d)"
-    r"|\+\d{1,3}(?:[\x20-]?\(\d{1,4}\))?(?:[\x20-]?\d{2,4}){2,4}(?![.\d])"
-    r"|\(\d{3}\)\x20?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{2,3}-\d{4}(?![\w-]))"
-    r"|(?P<number>(?<!\w)\d{4}(?:[\x20-]?\d{4}){2,3}(?:[\x20-]?\d{1,3})?(?!\w))"
-    r"|(?P<person>(?<!\w)(?:Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа|Г-жа|Г-н)\.?\x20(?:[^\W\d_][\w'’-]*)(?:\x20[A-ZÀ-ÞА-Я][\w'’-]*)?)")
+PATTERNS = {
+    "email": r"(?P<email>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,})",
+    "iban": r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b)",
+    "ip": r"(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9]))",
+    "phone": r"(?P<phone>\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"
+    r"|\+[0-9]{1,3}(?:[\x20-]?\([0-9]{1,4}\))?(?:[\x20-]?[0-9]{2,4}){2,4}(?![.0-9])"
+    r"|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![\w-]))",
+    "number": r"(?P<number>(?<!\w)[0-9]{4}(?:[\x20-]?[0-9]{4}){2,3}(?:[\x20-]?[0-9]{1,3})?(?!\w))",
+    "person": r"(?P<person>(?<!\w)(?:Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа|Г-жа|Г-н)\.?\x20(?:[^\W\d_][\w'’-]*)(?:\x20[A-ZÀ-ÞА-Я][\w'’-]*)?)",
+}
 TITLES = {"m": "mr sir herr monsieur señor sr господин г-н".split(), "f": "mrs ms miss frau madame mme señora sra госпожа г-жа".split()}
 FIRST = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noah Oscar Paul Robert Simon Thomas Victor".split(),
@@ -157,8 +159,25 @@ def written(kind: str, original: str, norm: str) -> str:
     return norm.upper() if kind == "email" and original.isupper() else norm
 
 
+_DIGITS = re.compile(r"[0-9][0-9]").search
+_HINTS = ("Mr", "Ms", "Miss", "Sir", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа", "Г-")
+
+
+@cache
+def _pattern(mail: bool, digits: bool, title: bool) -> re.Pattern:
+    kinds = [k for k in KINDS if {"email": mail, "person": title}.get(k, digits)]
+    return re.compile("|".join(PATTERNS[k] for k in kinds))
+
+
+def candidates(text: str):
+    """Matches of all kinds; kinds whose sign (an at, two digits, a title) the text lacks can't match and
+    are not tried."""
+    signs = ("@" in text, bool(_DIGITS(text)), any(h in text for h in _HINTS))
+    return _pattern(*signs).finditer(text) if any(signs) else ()
+
+
 def found(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.lastgroup) for m in PATTERN.finditer(text) if is_valid(m.lastgroup, normal(m.lastgroup, m[0]))]
+    return [(m.start(), m.end(), m.lastgroup) for m in candidates(text) if is_valid(m.lastgroup, normal(m.lastgroup, m[0]))]
 
 
 def _entities(docs: DataFrame) -> DataFrame:
