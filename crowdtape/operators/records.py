@@ -112,12 +112,12 @@ def context_lines(records: DataFrame) -> DataFrame:
     return lines.unionByName(cut)
 
 
-def running_gate(deltas: DataFrame, order: list[str], key: str = "ticker", ts: str = "ts") -> DataFrame:
+def running_gate(deltas: DataFrame, order: list[str], key: str = "ticker", ts: str = "ts", last: DataFrame | None = None) -> DataFrame:
     """T3 in batch: a delta is added only if it is newer than every earlier arrival of its ticker.
 
     Running maximum of the earlier arrivals, split by arrival buckets: inside a bucket by a window,
     across buckets by the bucket maxima.  ``order`` is the arrival order, its first column a
-    timestamp.
+    timestamp.  ``last`` (key, last) is the newest time that arrived before all of these.
     """
     b = deltas.withColumn("_b", F.date_trunc("hour", F.col(order[0])))
     tops = b.groupBy(key, "_b").agg(F.max(ts).alias("_m"))
@@ -125,6 +125,8 @@ def running_gate(deltas: DataFrame, order: list[str], key: str = "ticker", ts: s
     carry = tops.select(key, "_b", F.max("_m").over(before).alias("_c"))
     w = W.partitionBy(key, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     seen = F.greatest(F.max(ts).over(w), F.col("_c"))
+    if last is not None:
+        carry = carry.join(last.select(key, F.col("last").alias("_l")), key, "left").withColumn("_c", F.greatest("_c", "_l")).drop("_l")
     return (
         b.join(carry, [key, "_b"]).withColumn("_seen", seen)
         .withColumn("action", F.when(F.col("_seen").isNull() | (F.col(ts) > F.col("_seen")), "ADD").otherwise("SKIP"))

@@ -29,14 +29,16 @@ def delta_stream(spark, sf):
 
 
 @query("t01_hourly_bars_stream", "T1 T4", sql("""
-    SELECT symbol, bts AS ts, round(open,8) AS open, round(high,8) AS high, round(low,8) AS low, round(close,8) AS close, volume FROM hbars
-    WHERE bts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""))
+    SELECT symbol, bts AS ts, round(open,8) AS open, round(high,8) AS high, round(low,8) AS low, round(close,8) AS close, volume FROM hbars"""))
 def t01(spark, sf):
-    ev = stream(spark, sf, "events")
-    bars = G.tick_bars(ev, "1 hour", "10 minutes", symbol=F.col("event_type"), price=F.col("value"), volume=F.lit(1.0), order=[F.col("ts"), F.col("event_id")])
-    out = G.scratch(spark, "bars")
+    def build(ticks):
+        return G.tick_bars(ticks, "1 hour", "10 minutes", symbol=F.col("event_type"), price=F.col("value"), volume=F.lit(1.0), order=[F.col("ts"), F.col("event_id")])
+
+    bars, out = build(stream(spark, sf, "events")), G.scratch(spark, "bars")
     G.drain(bars, G.scratch(spark, "ck"), path=out)
-    return r8(spark.read.parquet(out), "open", "high", "low", "close")
+    ends = lambda df: df["ts"] + F.make_dt_interval(hours=F.lit(1))
+    whole = G.with_open_windows(spark.read.schema(bars.schema).parquet(out), X.table(spark, sf, "events"), build, end=ends, reach_seconds=0)
+    return r8(whole, "open", "high", "low", "close")
 
 
 @query("t02_dedup_stream", "T2 T9 J24", sql("SELECT CAST(min(doc_id) AS VARCHAR) AS post_id, sha1(text) AS url FROM documents GROUP BY text"))
@@ -55,17 +57,18 @@ def t02(spark, sf):
     SELECT ticker, delta_id, CASE WHEN seen IS NULL OR ts > seen THEN 'ADD' ELSE 'SKIP' END AS action FROM m"""))
 def t03(spark, sf):
     out = G.scratch(spark, "gate")
-    G.drain(G.monotone_gate(delta_stream(spark, sf)), G.scratch(spark, "ck"), path=out)
-    return spark.read.parquet(out)
+    G.drain(delta_stream(spark, sf), G.scratch(spark, "ck"), each=G.monotone_gate(G.scratch(spark, "last"), out))
+    return spark.read.parquet(out).select("ticker", "delta_id", "action")
 
 
 @query("t06_sliding_bursts_stream", "T6 A8", sql("""
     WITH w AS (SELECT ticker, CAST(date_trunc('hour', ts) AS TIMESTAMP) + to_hours(CAST(h AS INTEGER)) AS as_of FROM deltas, range(1, 7) r(h) WHERE chan = 'social')
-    SELECT ticker, as_of, count(*) AS burst FROM w WHERE as_of <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ticker, as_of"""))
+    SELECT ticker, as_of, count(*) AS burst FROM w GROUP BY ticker, as_of"""))
 def t06(spark, sf):
     out = G.scratch(spark, "bursts")
-    G.drain(G.sliding_bursts(delta_stream(spark, sf)), G.scratch(spark, "ck"), path=out)
-    return spark.read.parquet(out)
+    bursts = G.sliding_bursts(delta_stream(spark, sf))
+    G.drain(bursts, G.scratch(spark, "ck"), path=out)
+    return G.with_open_windows(spark.read.schema(bursts.schema).parquet(out), X.deltas(spark, sf), G.sliding_bursts, end=lambda df: df["as_of"], reach_seconds=6 * 3600)
 
 
 @query("t05_retry_and_dead_letters", "T5", sql("""
@@ -96,6 +99,47 @@ def t07(spark, sf):
     return spark.read.parquet(out).groupBy("ticker").agg(F.sum("posts").alias("posts"))
 
 
+@query("t07_post_chain", "T7 T2 S14 J6", sql("""
+    WITH n AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
+    p AS (SELECT CAST(doc_id AS VARCHAR) AS post_id, source, md5(text) AS body FROM documents JOIN n USING (doc_id))
+    SELECT p.post_id, p.source AS ticker, p.body AS delta, interest_score, CASE WHEN interest_score >= 60 AND status = 'ok' THEN 'interest' END AS mode
+    FROM p LEFT JOIN interest USING (post_id)"""))
+def t07_chain(spark, sf):
+    """Every new post gets its summary stage row, its delta, its interest and its place in the queue."""
+    from ..operators.posts import verdict_queue
+    from ..sources import store as ST
+
+    d = stream(spark, sf, "documents")
+    at = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(secs=F.col("doc_id"))
+    posts = d.select(F.col("source").alias("platform"), F.col("doc_id").cast("string").alias("post_id"), F.sha1("text").alias("url"), at.alias("scraped_at"),
+                     at.alias("posted_at"), F.md5("text").alias("text"), F.lit("").alias("title"))
+    log, stages, deltas, queue = (G.scratch(spark, n) for n in ("log", "stages", "deltas", "queue"))
+    scores = X.interest(spark, sf)
+
+    def store(batch, batch_id):
+        G.append_new_posts(log)(batch, batch_id)
+        return spark.read.parquet(log).filter(F.col("batch") == batch_id).drop("batch")
+
+    def summarise(new, batch_id):
+        rows = ST.append_stage(new, F.col("post_id"), "summariser", F.to_json(F.struct("platform", "text")), F.col("scraped_at"))
+        rows.write.mode("overwrite").parquet(f"{stages}/batch={batch_id}")
+        return spark.read.parquet(f"{stages}/batch={batch_id}")
+
+    def extract(summaries, batch_id):
+        v = lambda k: F.get_json_object("payload", f"$.{k}")
+        rows = summaries.select("post_id", v("platform").alias("ticker"), F.col("created_at").alias("ts"), v("text").alias("sum"))
+        rows.write.mode("overwrite").parquet(f"{deltas}/batch={batch_id}")
+
+    def enqueue(summaries, batch_id):
+        new = spark.read.parquet(log).filter(F.col("batch") == batch_id)
+        verdict_queue(new, summaries, scores, 60).write.mode("overwrite").parquet(f"{queue}/batch={batch_id}")
+
+    G.drain(posts, G.scratch(spark, "ck"), each=G.chain(store, summarise, extract, enqueue))
+    told = spark.read.parquet(deltas).select("post_id", "ticker", F.col("sum").alias("delta"))
+    waiting = spark.read.parquet(queue).filter("mode = 'interest'").select("post_id", "mode")
+    return told.join(scores.select("post_id", "interest_score"), "post_id", "left").join(waiting, "post_id", "left").select("post_id", "ticker", "delta", "interest_score", "mode")
+
+
 @query("t10_duration_state_stream", "T10 A22", sql("""
     SELECT round(regr_slope(d, x),4) AS token_slope, round(regr_intercept(d, x),4) AS intercept, count(*) AS n FROM (
       SELECT n_chars / 4.0::DOUBLE AS x, 3.0::DOUBLE + 0.5 * (n_chars / 4.0) + (doc_id % 5) AS d FROM documents)"""))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.posts import dedup_against_log
+from ..operators.records import running_gate
 from ..session import checkpoint_dir
 
 
@@ -57,42 +56,54 @@ def append_new_posts(log_path: str, keys=(("platform", "post_id"), ("url",)), or
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        empty = batch.limit(0)
-        try:
-            log = spark.read.parquet(log_path).filter(F.col("batch") < batch_id).select(*batch.columns)
-        except Exception as ex:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(ex) and "UNABLE_TO_INFER_SCHEMA" not in str(ex):
-                raise
-            log = empty
+        # only the key columns of the log are ever read
+        parts = list(dict.fromkeys(c for key in keys for c in key))
+        kinds = ", ".join(f"{c} {batch.schema[c].dataType.simpleString()}" for c in parts)
+        log = _stored_before(spark, log_path, batch_id, kinds)
         fresh = dedup_against_log(batch, log, [list(k) for k in keys], list(order))
         fresh.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
 
     return each
 
 
-def monotone_gate(stream: DataFrame, max_tickers: int = 6) -> DataFrame:
-    """Per ticker, ADD a delta newer than everything added before it, else SKIP.
+def with_open_windows(closed: DataFrame, rows: DataFrame, build: Callable[[DataFrame], DataFrame], *, end: Callable[[DataFrame], Column], reach_seconds: int) -> DataFrame:
+    """A drained windowed stream with the windows that its watermark has not closed yet: ``build`` makes
+    them from those static ``rows`` (ts) that lie after, or within ``reach_seconds`` before, the last
+    closed window.  Closed and open windows together are all windows."""
+    last = closed.agg(F.max(end(closed)).alias("m")).first().m
+    if last is None:
+        return build(rows)
+    since = F.lit(last).cast("timestamp")
+    tail = build(rows.filter(F.col("ts") >= since - F.make_dt_interval(secs=F.lit(reach_seconds))))
+    return closed.unionByName(tail.filter(end(tail) > since))
+
+
+def monotone_gate(state_path: str, out_path: str, max_tickers: int | None = 6) -> Callable:
+    """A batch function; per ticker, ADD a delta newer than everything that arrived before it, else SKIP.
 
-    State is one timestamp per ticker.  ``stream`` has delta_id, ts, who; a delta fans out to the first
-    ``max_tickers`` of its tickers.
+    State is one time per ticker and batch, in its own folder.  A hot ticker is split by arrival hours (see
+    ``running_gate``), so no task holds a whole ticker.  Batches have delta_id, ts, arrived and who; a delta
+    fans out to the first ``max_tickers`` (None: all) of its tickers.  A replayed batch replaces what it wrote.
     """
-    flat = stream.withColumn("ticker", F.explode(F.slice(F.array_distinct(F.transform("who", F.upper)), 1, max_tickers)))
-    flat = flat.select("ticker", "delta_id", "ts", F.unix_micros("ts").alias("us"), F.unix_micros("arrived").alias("arr"))
-
-    def gate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["arr", "delta_id"], kind="mergesort")
-        actions = []
-        for us in rows["us"]:
-            add = last is None or us > last
-            actions.append("ADD" if add else "SKIP")
-            last = us if add else last
-        state.update((int(last),))
-        yield pd.DataFrame({"ticker": rows["ticker"], "delta_id": rows["delta_id"], "action": actions})
-
-    return flat.groupBy("ticker").applyInPandasWithState(
-        gate, "ticker string, delta_id long, action string", "last_us long", "append", GroupStateTimeout.NoTimeout
-    )
+    def each(batch: DataFrame, batch_id: int) -> None:
+        who = F.array_distinct(F.transform("who", F.upper))
+        flat = batch.withColumn("ticker", F.explode(who if max_tickers is None else F.slice(who, 1, max_tickers)))
+        flat = flat.select("ticker", "delta_id", "ts", "arrived")
+        last = _stored_before(batch.sparkSession, state_path, batch_id, "ticker string, ts timestamp").groupBy("ticker").agg(F.max("ts").alias("last"))
+        gated = running_gate(flat, ["arrived", "delta_id"], last=last)
+        gated.select("ticker", "delta_id", "action").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        flat.groupBy("ticker").agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+
+    return each
+
+
+def _stored_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """What earlier batches wrote under ``path``; empty before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch long").parquet(path).filter(F.col("batch") < batch_id).drop("batch")
 
 
 def split_failures(failed: DataFrame, attempts: DataFrame, limit: int = 3) -> tuple[DataFrame, DataFrame]:
