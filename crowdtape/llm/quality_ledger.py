@@ -109,7 +109,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.zip_with("_c", F.slice("_c", 2, F.size("_c")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))),
         F.lit(0).cast("long"), lambda s, x: s + x,
     )
-    return df.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", covered.alias("n_repeat_words"))
+    df = df.withColumn("n_repeat_words", covered)
+    # A zero that the optimizer can't know. Without it a filter on a measurement would be pushed below
+    # these steps, and each step's expression would be evaluated anew inside the lambdas of the next.
+    zero = F.call_function("shiftrightunsigned", F.monotonically_increasing_id(), F.lit(63))
+    return df.select(*kept, *[F.col(m).bitwiseOR(zero).alias(m) for m in MEASURES])
 
 
 def rule_bits(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -243,6 +243,12 @@ def test_quality_measures_equal_plain(spark, clash, none):
     assert quality_ledger.ablations(quality_ledger.ledger(none), (quality_ledger.FULL,)).count() == 0
 
 
+def test_filters_on_the_ledger_stay_above_it(spark, docs):
+    led = quality_ledger.ledger(docs)
+    plan = led.filter(quality_ledger.keeps(quality_ledger.FULL)).filter("n_words > 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") <= 2
+
+
 # 6: near copies
 
 
