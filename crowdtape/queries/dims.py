@@ -212,6 +212,27 @@ def j12(spark, sf):
     return X.table(spark, sf, "part").select(s.alias("symbol"), F.array_join(K.symbol_alternatives(s), ",").alias("alternatives"))
 
 
+@query("j12_symbol_forms", "J12", sql("""
+    SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN b || '-PA' WHEN 1 THEN b || '-PB' WHEN 2 THEN b || '-PC' WHEN 3 THEN b || '-B' WHEN 4 THEN b || '-U,' || b || '-UN' WHEN 5 THEN b || '-W,' || b || '-WS,' || b || '-WT' WHEN 6 THEN b || '-PA' ELSE '' END AS forms
+    FROM (SELECT p_partkey, 'X' || p_size AS b FROM part)"""))
+def j12_forms(spark, sf):
+    k = F.col("p_partkey") % 8
+    tail = F.when(k == 0, "$A").when(k == 1, "^B").when(k == 2, ".PR.C").when(k == 3, ".b").when(k == 4, ".U").when(k == 5, ".W").when(k == 6, ".PRA").otherwise("")
+    s = F.concat(F.lit("X"), F.col("p_size").cast("string"), tail)
+    return X.table(spark, sf, "part").select("p_partkey", F.array_join(K.symbol_alternatives(s), ",").alias("forms"))
+
+
+@query("hs14_asset_kinds", "H-S14", sql("""
+    SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'ETF' WHEN 1 THEN 'FUTURES' WHEN 2 THEN 'FOREX' WHEN 3 THEN 'CRYPTO' WHEN 4 THEN 'FUTURES' WHEN 5 THEN 'FOREX' WHEN 6 THEN 'CRYPTO'
+      WHEN 7 THEN 'UNIT' WHEN 8 THEN 'RIGHTS' WHEN 9 THEN 'ADR' WHEN 10 THEN 'SPAC?' ELSE 'EQUITY' END AS asset_type FROM part"""))
+def hs14_kinds(spark, sf):
+    k = F.col("p_partkey") % 12
+    quote = F.when(k == 0, "MutualFund").when(k == 1, "future").when(k == 2, "CURRENCY").when(k == 3, "cryptocurrency").when(k == 11, "equity")
+    sym = F.concat(F.lit("P"), F.col("p_size").cast("string"), F.when(k == 4, "=F").when(k == 5, "=X").when(k == 6, "-USD").when(k == 7, "-U").when(k == 8, "/R").otherwise("0"))
+    name = F.when(k == 9, "Some ADR").when(k == 10, "Blue Acquisition Corp").otherwise("plain")
+    return X.table(spark, sf, "part").select("p_partkey", K.asset_type(quote, sym, name).alias("asset_type"))
+
+
 @query("a23_symbol_samples", "A23 C19", sql("""
     SELECT source AS symbol, pos, post_id, substr(trim(regexp_replace(title, '\\s+', ' ', 'g')),1,160) AS title FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY post_id) AS pos FROM posts) WHERE pos <= 5"""))
 def a23(spark, sf):
@@ -234,13 +255,13 @@ def c19(spark, sf):
 
 
 @query("j31_prediction_board", "J31", sql("""
-    WITH c AS (SELECT symbol AS ticker, count(*) AS n, max(ts) AS last_ts, arg_max(side, row(ts, signal_id)) AS dir FROM signals GROUP BY symbol)
-    SELECT u.ticker, coalesce(n, 0) AS calls, last_ts AS last_call, dir AS direction FROM (SELECT 'S' || s_suppkey AS ticker FROM supplier) u LEFT JOIN c USING (ticker) ORDER BY calls DESC, u.ticker LIMIT 50"""))
+    WITH c AS (SELECT symbol AS ticker, count(*) AS n, max(ts) AS last_ts, arg_max(side, row(ts, signal_id)) AS dir, round(arg_max(confidence, row(ts, signal_id)) FILTER (WHERE signal_id % 2 = 0), 6) AS pnl FROM signals GROUP BY symbol)
+    SELECT u.ticker, coalesce(n, 0) AS calls, last_ts AS last_call, dir AS direction, pnl AS last_pnl FROM (SELECT 'S' || s_suppkey AS ticker FROM supplier) u LEFT JOIN c USING (ticker) ORDER BY calls DESC, u.ticker LIMIT 50"""))
 def j31(spark, sf):
     u = X.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"))
     s = X.signals(spark, sf).select(F.col("symbol").alias("ticker"), "ts", F.col("side").alias("direction"), "confidence", F.col("signal_id").alias("call_id"))
-    t = s.limit(0).select("ticker", "ts", F.lit("TP").alias("exit_reason"), F.lit(0.0).alias("pnl"), "call_id")
-    return K.prediction_board(u, s, t, 50).drop("last_pnl")
+    t = s.filter("call_id % 2 = 0").select("ticker", "ts", F.lit("TP").alias("exit_reason"), F.round("confidence", 6).alias("pnl"), "call_id")
+    return K.prediction_board(u, s, t, 50)
 
 
 @query("w29_window_interval", "W29 H-D4", sql("""

@@ -185,10 +185,10 @@ def s01(spark, sf):
 
 @query("hx7_merge_refetched", "H-X7 A17", sql("""
     SELECT CASE WHEN l.doc_id IS NULL THEN '' WHEN quality = 1 THEN 'ok' ELSE 'short' END AS fetch_status, count(*) AS rows,
-      count(*) FILTER (WHERE quality = 1) AS text_updates, CAST(0 AS BIGINT) AS title_updates, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS final_url_updates
+      count(*) FILTER (WHERE quality = 1) AS text_updates, count(*) FILTER (WHERE l.doc_id IS NOT NULL AND doc_id % 3 = 0) AS title_updates, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS final_url_updates
     FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""".replace("AS rows", 'AS "rows"')))
 def hx7(spark, sf):
-    p = X.posts(spark, sf).withColumns({"final_url": F.lit(""), "fetch_status": F.lit(""), "title": F.lit("t")})
+    p = X.posts(spark, sf).withColumns({"final_url": F.lit(""), "fetch_status": F.lit(""), "title": F.when(F.col("post_id").cast("long") % 3 == 0, " ").otherwise("t")})
     lb = X.table(spark, sf, "labels")
     url = X.posts(spark, sf).select("post_id", "url")
     f = lb.withColumn("post_id", F.col("doc_id").cast("string")).join(url, "post_id").select(

@@ -46,15 +46,16 @@ def c04(spark, sf):
 
 @query("j21_relevance_scan", "J21 L5 H-S17", sql("""
     WITH r AS (SELECT 'b' || item_id AS ref_id, list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) >= 6), lambda x: lower(x))) AS kw FROM benchmark),
-    p AS (SELECT post_id, lower(text) AS body, posted_at AS pat FROM posts),
-    s AS (SELECT ref_id, post_id, p.pat, CAST(len(list_filter(kw, lambda k: contains(body, k))) AS DOUBLE) AS score FROM r, p WHERE p.pat BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-02-14')
+    p AS (SELECT post_id, lower(text) AS body, posted_at AS pat, source FROM posts),
+    s AS (SELECT ref_id, post_id, p.pat, CAST(len(list_filter(kw, lambda k: contains(body, k))) AS DOUBLE) + CASE WHEN contains(body, 'thing') THEN 6 ELSE 0 END + CASE WHEN source = 'src1' THEN 1.5 WHEN source = 'src2' THEN 0.5 ELSE 0 END AS score FROM r, p WHERE p.pat BETWEEN TIMESTAMP '2023-12-21' AND TIMESTAMP '2024-01-20')
     SELECT ref_id, post_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, pat DESC, post_id) AS rank FROM s WHERE score >= 4) WHERE rank <= 20"""))
 def j21(spark, sf):
     b = X.table(spark, sf, "benchmark")
     kw = F.array_distinct(F.transform(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) >= 6), F.lower))
-    req = b.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("ref_id"), F.to_timestamp(F.lit("2024-02-14")).alias("at"),
-                   F.array().cast("array<string>").alias("aliases"), kw.alias("keywords"))
-    p = X.posts(spark, sf).select("post_id", F.col("text").alias("body"), F.lit("blog").alias("platform"), F.col("posted_at").alias("at"))
+    req = b.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("ref_id"), F.to_timestamp(F.lit("2024-01-20")).alias("at"),
+                   F.array(F.lit("Thing"), F.lit("thing")).alias("aliases"), kw.alias("keywords"))
+    platform = F.when(F.col("source") == "src1", "RSS").when(F.col("source") == "src2", "x").otherwise("blog")
+    p = X.posts(spark, sf).select("post_id", F.col("text").alias("body"), platform.alias("platform"), F.col("posted_at").alias("at"))
     out = E.relevance_scan(req, p, before_days=30, min_score=4.0, top=20)
     return out.select("ref_id", "post_id", "score", F.col("rank").cast("long").alias("rank"))
 
