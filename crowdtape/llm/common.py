@@ -73,16 +73,6 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_folder(spark)
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if root.split(":", 1)[-1].strip("/") in path:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def words(text) -> F.Column:
     """The words of a text column as an array; null and blank texts have none."""
     body = F.coalesce(text, F.lit(""))
