@@ -79,9 +79,9 @@ class Encoder:
             ids = np.array(self._ids("".join(own)), "<u4")
             ends = np.cumsum(self.n_bytes[ids])
             cut = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in own])) + 1
-            at = 0
+            at, raw = 0, ids.tobytes()
             for c, end in zip(part, cut.tolist()):
-                self.known[c] = ids[at + (c[0] != " "):end].tobytes()
+                self.known[c] = raw[4 * (at + (c[0] != " ")):4 * end]
                 at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
