@@ -160,19 +160,20 @@ def written(kind: str, original: str, norm: str) -> str:
 
 
 _DIGITS = re.compile(r"[0-9][0-9]").search
+_DOTTED = re.compile(r"[0-9]\.[0-9]").search
 _HINTS = ("Mr", "Ms", "Miss", "Sir", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Господин", "Госпожа", "Г-")
 
 
 @cache
-def _pattern(mail: bool, digits: bool, title: bool) -> re.Pattern:
-    kinds = [k for k in KINDS if {"email": mail, "person": title}.get(k, digits)]
+def _pattern(mail: bool, digits: bool, dotted: bool, title: bool) -> re.Pattern:
+    kinds = [k for k in KINDS if {"email": mail, "ip": dotted, "person": title}.get(k, digits)]
     return re.compile("|".join(PATTERNS[k] for k in kinds))
 
 
 def candidates(text: str):
-    """Matches of all kinds; kinds whose sign (an at, two digits, a title) the text lacks can't match and
-    are not tried."""
-    signs = ("@" in text, bool(_DIGITS(text)), any(h in text for h in _HINTS))
+    """Matches of all kinds; kinds whose sign (an at, two digits, a dot between digits, a title) the text
+    lacks can't match and are not tried."""
+    signs = ("@" in text, bool(_DIGITS(text)), bool(_DOTTED(text)), any(h in text for h in _HINTS))
     return _pattern(*signs).finditer(text) if any(signs) else ()
 
 

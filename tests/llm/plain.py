@@ -187,3 +187,19 @@ def agenda(pieces, text, key, dropout, skipped):
     for s, _, _, c in sym:
         out += [s] if 0 <= s < len(pieces.bytes_of) else [int(pieces.byte[x]) for x in chr(0x2581 if c == 0x110000 else c).encode()]
     return out
+
+
+def private(op, text):
+    """(kind, normal form) of what ``op``'s detection finds in a text."""
+    return [(k, op.normal(k, text[a:b])) for a, b, k in op.found(text)]
+
+
+def without_private(op, text, turn):
+    """(text, entities) with surrogates, for the turns of the entities that drew again."""
+    if not text:
+        return text, 0
+    spans = op.found(text)
+    for a, b, k in reversed(spans):
+        norm = op.normal(k, text[a:b])
+        text = text[:a] + op.written(k, text[a:b], op.surrogate(k, norm, turn=turn.get((k, norm), 0))) + text[b:]
+    return text, len(spans)

@@ -366,6 +366,22 @@ def test_redraws_end_without_collisions(spark):
     assert turn[("ip", "1.1.1.1")] >= 1
 
 
+def test_signs_cut_nothing(spark, monkeypatch):
+    texts = ["dns 8.8.8.8 or 1.1.1.1", "dns 8.8.8.8 in 2024", "9.9.9.9", "a@b.cc", "Mr. Bell", "call 555-12-4567", "DE44500105175407324931", "1.2.3", "+1 (555) 010-2233 a@b.cc 7.7.7.7", "", "no sign 1 2 3"]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r for r in surrogates.replaced(df).collect()}
+    assert [out[i].entities for i in range(3)] == [2, 1, 1]
+    assert "8.8.8.8" not in out[0].text + out[1].text and out[0].text.split()[1] == out[1].text.split()[1]
+    # a plain version of the whole query, every pattern tried on every text
+    every = surrogates._pattern(*[True] * surrogates._pattern.__wrapped__.__code__.co_argcount)
+    monkeypatch.setattr(surrogates, "_pattern", lambda *signs: every)
+    known = sorted({e for t in texts if t for e in plain.private(surrogates, t)})
+    turn = {(r.kind, r.norm): r.turn for r in surrogates.redraws(spark.createDataFrame(known, "kind string, norm string")).collect()}
+    for i, t in enumerate(texts):
+        assert (out[i].text, out[i].entities) == plain.without_private(surrogates, t, turn), t
+
+
 def test_surrogates_on_awkward_rows(spark, clash, none):
     out = surrogates.replaced(clash)
     assert out.count() == len(ROWS) and set(out.columns) == set(clash.columns)
