@@ -34,6 +34,11 @@ from .common import arrow_rows, query, read, renamed, stored
 KEY = b"surrogate key: a parameter, kept apart from the data in real use"
 
 # --- fixed values: what entities look like, and what names may be drawn ---
+ACCOUNT_LENGTH = {c: int(n) for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO EG GT HU LB NI PL SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
 KINDS = ("email", "iban", "ip", "phone", "number", "person")
 PATTERNS = {
     "email": r"(?P<email>[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,})",
@@ -42,7 +47,7 @@ PATTERNS = {
     "phone": r"(?P<phone>\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])"
     r"|\+[0-9]{1,3}(?:[\x20-]?\([0-9]{1,4}\))?(?:[\x20-]?[0-9]{2,4}){2,4}(?![.0-9])"
     r"|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![\w-]))",
-    "number": r"(?P<number>(?<!\w)[0-9]{4}(?:[\x20-]?[0-9]{4}){2,3}(?:[\x20-]?[0-9]{1,3})?(?!\w))",
+    "number": r"(?P<number>(?<!\w)[0-9]{4}(?:[\x20-]?[0-9]{4}){2}|(?<!\w)[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{4,5}(?!\w))",
     "person": r"(?P<person>(?<!\w)(?:Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа|Г-жа|Г-н)\.?\x20(?:[^\W\d_][\w'’-]*)(?:\x20[A-ZÀ-ÞА-Я][\w'’-]*)?)",
 }
 TITLES = {"m": "mr sir herr monsieur señor sr господин г-н".split(), "f": "mrs ms miss frau madame mme señora sra госпожа г-жа".split()}
@@ -170,15 +175,72 @@ def _pattern(mail: bool, digits: bool, dotted: bool, title: bool) -> re.Pattern:
     return re.compile("|".join(PATTERNS[k] for k in kinds))
 
 
-def candidates(text: str):
-    """Matches of all kinds; kinds whose sign (an at, two digits, a dot between digits, a title) the text
+def candidates(text: str) -> re.Pattern | None:
+    """The pattern of all kinds; kinds whose sign (an at, two digits, a dot between digits, a title) the text
     lacks can't match and are not tried."""
     signs = ("@" in text, bool(_DIGITS(text)), bool(_DOTTED(text)), any(h in text for h in _HINTS))
-    return _pattern(*signs).finditer(text) if any(signs) else ()
+    return _pattern(*signs) if any(signs) else None
+
+
+_CHAIN = re.compile(r"[0-9]+(?:[\x20-][0-9]+){0,5}(?!\w)")  # more groups are never one number
+_GROUP = re.compile(r"[0-9]+")
+_ISSUED = re.compile(r"4(?:.{12}|.{15}|.{18})|(?:5[1-5]|2[2-7]|35).{14}|3[47].{13}|3[068].{12}|6.{15,18}")
+
+
+def _cards(text: str, at: int) -> list[tuple[bool, int]]:
+    """(whether issuers give such numbers, end) of the valid numbers that begin at ``at``: runs of whole
+    groups, all of a multiple of four digits but the last, or 4-6-4 and 4-6-5."""
+    out, chain = [], _CHAIN.match(text, at)
+    if not chain:
+        return out
+    norm, sizes = "", []
+    for g in _GROUP.finditer(text, at, chain.end()):
+        norm += g[0]
+        sizes.append(len(g[0]))
+        if len(norm) > 19:
+            break
+        fits = len(norm) > 12 or len(norm) == 12 and g.end() == chain.end()  # twelve digits: not a part of more
+        if fits and (not any(n % 4 for n in sizes[:-1]) or sizes in ([4, 6, 4], [4, 6, 5])) and is_valid("number", norm):
+            out.append((bool(_ISSUED.fullmatch(norm)), g.end()))
+        if sizes[-1] % 4 and sizes != [4, 6]:
+            break
+    return out
+
+
+def _card(text: str, at: int) -> int:
+    """The end of the card number that begins at ``at``, or 0. Of several, one that issuers give comes
+    first, even if it begins within this one; then the longest."""
+    best = max(_cards(text, at), default=(True, 0))
+    if not best[0]:
+        for g in _GROUP.finditer(text, at, best[1]):
+            if g.start() > at and any(issued for issued, _ in _cards(text, g.start())):
+                return 0
+    return best[1]
+
+
+def _account(text: str, at: int, end: int) -> int:
+    """The end of the account number that begins at ``at`` and ends at ``end`` or a group before it, or 0."""
+    ends = [end, *(k for k in range(end - 1, at, -1) if text[k] == " ")]
+    if known := ACCOUNT_LENGTH.get(text[at:at + 2]):
+        # by the length of its country, else all of it
+        ends = [k for k in ends if len(normal("iban", text[at:k])) == known] + ends[:1]
+    return next((k for k in ends if k - at > 11 and is_valid("iban", normal("iban", text[at:k]))), 0)
 
 
 def found(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.lastgroup) for m in candidates(text) if is_valid(m.lastgroup, normal(m.lastgroup, m[0]))]
+    """(start, end, kind). After a candidate that fails its check the search goes on one character after
+    its start."""
+    out, at, pattern = [], 0, candidates(text)
+    while pattern and (m := pattern.search(text, at)):
+        a, b, kind = m.start(), m.end(), m.lastgroup
+        if kind == "number":
+            b = _card(text, a)
+        elif kind == "iban":
+            b = _account(text, a, b)
+        if b:
+            out.append((a, b, kind))
+        at = b or a + 1
+    return out
 
 
 def _entities(docs: DataFrame) -> DataFrame:

@@ -382,6 +382,18 @@ def test_signs_cut_nothing(spark, monkeypatch):
         assert (out[i].text, out[i].entities) == plain.without_private(surrogates, t, turn), t
 
 
+def test_failed_checks_hide_nothing():
+    card = "4111 1111 1111 1111"
+    es, de = "ES91 2100 0418 4502 0005 1332", "DE44 5001 0517 5407 3249 31"
+    cases = [(f"{card} 123", card), (f"{card} 12 items", card), (f"2024 {card}", card), (f"2024 {card} 99", card), (f"9999 8888 {card} 7777", card), (f"{card} 12ab", card),
+             ("4111111111111111 123", "4111111111111111"), ("3782 822463 10005", "3782 822463 10005"), ("3056 930902 5904 77", "3056 930902 5904"),
+             (f"{es} BIC CAIXESBB", es), (f"{es} 2024", es), (f"{es} ABCDEFGH 12", es), (f"{de} BIC", de), (f"GB82 {es}", es), (f"AB12 {card}", card), (es.replace(" ", "") + " PAID NOW", es.replace(" ", "")),
+             ("NO93 8601 1117 947 OSLO", "NO93 8601 1117 947"), ("4111 1111 1111 1112", None), ("ES91 2100 0418 4502 0005 1333 BIC", None), ("411111111111111", None)]
+    for t, want in cases:
+        for text in (t, f"pay {t}.", f"({t})"):
+            assert [text[a:b] for a, b, _ in surrogates.found(text)] == ([want] if want else []), text
+
+
 def test_surrogates_on_awkward_rows(spark, clash, none):
     out = surrogates.replaced(clash)
     assert out.count() == len(ROWS) and set(out.columns) == set(clash.columns)
