@@ -191,15 +191,14 @@ def agenda(pieces, text, key, dropout, skipped):
 
 def private(op, text):
     """(kind, normal form) of what ``op``'s detection finds in a text."""
-    return [(k, op.normal(k, text[a:b])) for a, b, k in op.found(text)]
+    return [(k, n) for *_, pieces in op.mentions(text) for _, _, k, n, _ in pieces if k != "initial"]
 
 
 def without_private(op, text, turn):
     """(text, entities) with surrogates, for the turns of the entities that drew again."""
     if not text:
         return text, 0
-    spans = op.found(text)
-    for a, b, k in reversed(spans):
-        norm = op.normal(k, text[a:b])
-        text = text[:a] + op.written(k, text[a:b], op.surrogate(k, norm, turn=turn.get((k, norm), 0))) + text[b:]
+    spans = op.mentions(text)
+    for a, b, k, n, sex in reversed([p for *_, pieces in spans for p in pieces]):
+        text = text[:a] + op.written(k, text[a:b], op.surrogate(k, n, turn=turn.get((k, n), 0)), sex) + text[b:]
     return text, len(spans)

@@ -394,6 +394,29 @@ def test_failed_checks_hide_nothing():
             assert [text[a:b] for a, b, _ in surrogates.found(text)] == ([want] if want else []), text
 
 
+def test_forms_of_a_name_agree(spark):
+    texts = ["Mr. John Smith came. Smith said so; JOHN SMITH left, Smith's car, John did not. Dr. Smith and MR SMITH and Prof. J. R. Smith", "Mr. Smith", "Dr. Smith", "Frau Prof. Dr. Müller",
+             "Mrs. Anna O'Brien-Lee and Mr and Mrs Bell; Herr von Braun; Herr Braun, Braun", "Господин Иванов и Госпожа Иванова, Иванова", "Mr. John F. Kennedy, Kennedy",
+             "call 555.123.4567 or 555 123 4567 or 555-123-4567", "from 2001:db8:85a3::8a2e:370:7334, [2606:4700:4700::1111]. ::ffff:12:30:45 at 12:30:45 std::vector a::b FE80::0001:ABCD:12", "Smith and MS Windows", "Mr. John Kent met Sir John"]
+    out = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()]
+    last = re.fullmatch(r"Mr\. ([A-Z][a-z]+)", out[1])[1]
+    first = re.match(r"Mr\. ([\w-]+) ", out[0])[1]
+    assert last != "Smith" and first != "John" and out[2] == f"Dr. {last}"
+    assert re.sub(r"Prof\. [A-Z]\. [A-Z]\.", "Prof.", out[0]) == f"Mr. {first} {last} came. {last} said so; {first.upper()} {last.upper()} left, {last}'s car, {first} did not. Dr. {last} and MR {last.upper()} and Prof. {last}"
+    assert re.fullmatch(r"Frau Prof\. Dr\. [A-Z][a-z]+", out[3]) and "Müller" not in out[3]
+    a, b, c = re.search(r"Mr and Mrs [A-Z][a-z]+; Herr von (\w+); Herr (\w+), (\w+)$", out[4]).groups()
+    assert a == b == c != "Braun" and not re.search("Anna|Brien|Lee|Bell", out[4])
+    a, b, c = re.fullmatch(r"Господин (\w+) и Госпожа (\w+), (\w+)", out[5]).groups()
+    assert a + "а" == b == c and a != "Иванов"
+    assert re.fullmatch(r"Mr\. [\w-]+ [A-Z]\. (\w+), \1", out[6]) and "Kennedy" not in out[6]
+    phones = re.fullmatch(r"call (\d{3}\.\d{3}\.\d{4}) or (\d{3} \d{3} \d{4}) or (\d{3}-\d{3}-\d{4})", out[7]).groups()
+    assert len({re.sub(r"\D", "", x) for x in phones}) == 1 and "555" not in phones[0][:3]
+    assert not re.search("85a3|4700|0001:ABCD", out[8]) and out[8].endswith(tuple("0123456789ABCDEF")) and " at 12:30:45 std::vector a::b " in out[8] and "]. " in out[8]
+    assert surrogates.found("a Professor of Physics, the Lord of men, Mr and Mr mueller") == [(48, 58, "person")]
+    assert out[9] == texts[9]  # nothing introduced Smith here, and MS is no title before Windows
+    assert re.fullmatch(r"Mr\. ([\w-]+) \w+ met Sir \1", out[10])
+
+
 def test_surrogates_on_awkward_rows(spark, clash, none):
     out = surrogates.replaced(clash)
     assert out.count() == len(ROWS) and set(out.columns) == set(clash.columns)
