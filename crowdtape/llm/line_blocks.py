@@ -5,7 +5,9 @@ its element cannot be article text (menus, headers, footers, sidebars, notices,
 comments; told by element, role or class). Lengths are summed over a sliding window of lines. Text begins
 where the sums surge from zero or above the threshold, and ends where they dive back to zero; the span
 with the most text is kept whole, short lines included, and so are the further spans of the same
-container. If the page marks its article or main part, lines outside it count as zero.
+container (the smallest that holds all of that span) and spans nearly as heavy. If the page marks its article
+or main part, lines outside it count as zero; articles that hold neither half of the text nor a first-level
+heading (teaser cards) mark nothing.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by one
 newline. Null and empty pages, and pages without such text, give an empty text. Unclosed and stray tags,
@@ -32,6 +34,7 @@ SURGE = 0.35  # of the largest window sum: a span must reach it somewhere
 BLOCKS = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
 DROPPED = frozenset("""aside button dialog footer form head header input label menu nav optgroup option select template textarea""".split())
+BOXES = frozenset("body main article section div td center details fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|svg|iframe|object|canvas|title|math|audio|video|textarea|template"
 CLOSED_BY_BLOCK = frozenset("p dt dd".split())
@@ -71,13 +74,17 @@ def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool], list[int]]:
-    """Blocks of text in page order, whether each may be article text, and the number of the article or
-    main element around it (0: none)."""
+def lines_of(page: str) -> tuple[list[str], list[bool], list[int], list[int], list[int], set[int]]:
+    """Blocks of text in page order, whether each may be article text, the number of the article or
+    main element around it (0: none) and of its box; the box around each box; and which of those elements are
+    main or have a first-level heading."""
     texts: list[str] = []
     fine: list[bool] = []
     part: list[int] = []
-    stack: list[tuple[str, bool, int]] = []  # name, aside, container
+    box: list[int] = []
+    around = [0]
+    sure: set[int] = set()
+    stack: list[tuple[str, bool, int, int]] = []  # name, aside, container, box
     now: list[str] = []
     containers = 0
 
@@ -89,6 +96,7 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[int]]:
                 texts.append(text)
                 fine.append(not (stack and stack[-1][1]))
                 part.append(stack[-1][2] if stack else 0)
+                box.append(stack[-1][3] if stack else 0)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -129,31 +137,68 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[int]]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-        aside, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        aside, inside, within = stack[-1][1:] if stack else (False, 0, 0)
         attrs = m["attrs"]
         if name in ("article", "main") and not aside and not inside:
             containers += 1
             inside = containers
+        if inside and not aside and name in ("main", "h1"):
+            sure.add(inside)
         was = aside
         aside = aside or _is_aside(name, attrs, bool(inside))
         if aside != was:
             flush()
         if not attrs.endswith("/"):
-            stack.append((name, aside, inside))
+            if name in BOXES:
+                around.append(within)
+                within = len(around) - 1
+            stack.append((name, aside, inside, within))
     if at < len(page):
         now.append(page[at:])
     flush()
-    return texts, fine, part
+    return texts, fine, part, box, around, sure
+
+
+def _boxes(box: int, around: list[int]) -> list[int]:
+    """A box and those around it, the outermost (0) last."""
+    out = [box]
+    while out[-1]:
+        out.append(around[out[-1]])
+    return out
+
+
+def _box_of(lines: list[int], box: list[int], around: list[int]) -> set[int]:
+    """The smallest box that holds all these lines, with the boxes in it."""
+    inner = list(dict.fromkeys(box[i] for i in lines))
+    common = _boxes(inner[0], around)
+    for b in inner[1:]:
+        own = set(_boxes(b, around))
+        common = [x for x in common if x in own]
+    held = {common[0]}
+    for b in range(1, len(around)):  # a box comes after the one around it
+        if around[b] in held:
+            held.add(b)
+    return held
+
+
+def _covered(spans: list[tuple[int, int]], weight: list[int], least: float, n: int) -> list[bool]:
+    """For each of n lines, whether a span of at least this weight holds it."""
+    out = [False] * n
+    for (a, b), w in zip(spans, weight):
+        if w >= least:
+            out[a:b] = [True] * (b - a)
+    return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
-    texts, fine, part = lines_of(page or "")
+    texts, fine, part, box, around, sure = lines_of(page or "")
     if not texts:
         return ""
     ok, container = np.array(fine), np.array(part)
     length = np.array([len(t) for t in texts], np.int64) * ok
     inside = container > 0
-    marked = bool((length * inside).any())
+    named = np.isin(container, list(sure)) & inside
+    marked = bool((length * named).any()) or bool(inside.any() and 2 * (length * inside).sum() >= length.sum() > 0)
     if marked:
         # the page names its article: the container with the most text, and what else it names as such
         length = length * inside
@@ -171,7 +216,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
     if marked:
         kept = [s for s, w in zip(spans, weight) if w > 0]
     else:
-        kept = [s for s, w in zip(spans, weight) if w >= surge * most]
+        a, b = spans[weight.index(most)]
+        held = _box_of([i for i in range(a, b) if length[i]], box, around)
+        length = length * np.array([near or box[i] in held for i, near in enumerate(_covered(spans, weight, surge * most, len(texts)))])
+        kept = spans
     return "\n".join(texts[i] for a, b in kept for i in range(a, b) if length[i] > 0)
 
 

@@ -448,6 +448,20 @@ def test_pages_of_other_shapes(spark):
     assert line_blocks.extracted(df.limit(0)).count() == 0
 
 
+def test_light_parts_of_the_container_stay():
+    ad = "<ul class='related'><li>a<li>b<li>c</ul>"
+    p = lambda c, n: f"<p>{c * n}</p>"
+    body = p("b", 5000)
+    for head, tail in (("", ""), ("<html><body>", "</body></html>"), ("<div><section>", "</section></div>")):
+        assert line_blocks.main_text(f"{head}{p('i', 600)}{ad}{body}{ad}{p('e', 300)}{tail}") == "\n".join(("i" * 600, "b" * 5000, "e" * 300))
+    # another container stays out
+    assert line_blocks.main_text(f"<div>{p('x', 90)}</div>{ad}<div>{p('i', 60)}{ad}{body}{p('c', 40)}{ad}{p('e', 30)}</div>") == "\n".join(("i" * 60, "b" * 5000, "c" * 40, "e" * 30))
+    # a teaser card is no article; an article with the page's heading and a main element are
+    assert line_blocks.main_text(f"<article><h3>Read</h3><p>more</p></article>{ad}<div>{body}</div>") == "b" * 5000
+    assert line_blocks.main_text(f"<article><h1>T</h1><p>t</p></article><div>{body}</div>") == "T\nt"
+    assert line_blocks.main_text(f"<main><p>t</p></main><div>{body}</div>") == "t"
+
+
 # 9: exact copies
 
 
