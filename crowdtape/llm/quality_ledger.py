@@ -72,7 +72,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words in repeated three-word windows: each window becomes one long whose high bits are a hash of the
     window and whose low bits are its position, so that sorting the longs brings equal windows together.
-    Windows with an equal neighbour are then compared by their words, which removes chance collisions.
+    Windows with an equal neighbour are then sorted and compared by their words, which removes chance
+    collisions and lets none hide a repetition.
     """
     kept = [c for c in docs.columns if c not in MEASURES]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -102,9 +103,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.sequence(F.lit(0), F.size("_k") - 2), lambda j: same(_at("_k", j), _at("_k", j + 1)))))
     df = df.withColumn("_c", F.sort_array(F.array_union("_c", F.transform("_c", lambda j: j + 1))))
     df = df.withColumn("_c", F.transform("_c", lambda j: low(_at("_k", j)).cast("int")))
-    # windows with an equal hash stand side by side; their words decide
-    df = df.withColumn("_x", F.transform("_c", lambda i: F.array_join(F.slice(F.col("_w"), i + 1, 3), " ")))
-    df = df.withColumn("_c", F.sort_array(F.filter("_c", lambda i, j: F.coalesce(_at("_x", j) == _at("_x", j + 1), F.lit(False)) | F.coalesce(_at("_x", j) == _at("_x", j - 1), F.lit(False)))))
+    # of these windows the words decide: sorted by words and position, equal windows stand side by side,
+    # whatever else has their hash
+    df = df.withColumn("_x", F.sort_array(F.transform("_c", lambda i: F.struct(F.array_join(F.slice(F.col("_w"), i + 1, 3), " ").alias("w"), i.alias("i")))))
+    alike = lambda x, j: F.coalesce(x["w"] == _at("_x", j)["w"], F.lit(False))
+    df = df.withColumn("_c", F.sort_array(F.transform(F.filter("_x", lambda x, j: alike(x, j + 1) | alike(x, j - 1)), lambda x: x["i"])))
     covered = F.aggregate(
         F.zip_with("_c", F.slice("_c", 2, F.size("_c")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))),
         F.lit(0).cast("long"), lambda s, x: s + x,

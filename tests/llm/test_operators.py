@@ -249,6 +249,13 @@ def test_filters_on_the_ledger_stay_above_it(spark, docs):
     assert plan.count("xxhash64(") <= 2
 
 
+def test_equal_hashes_hide_no_repetition(spark, monkeypatch):
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: F.lit(7).cast("long"))  # every window collides
+    texts = ["a b c a b c", "a b c d a b c e f g d a b", "a b c d e", "a b", "", None, "x x x x"]
+    for r in quality_ledger.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.n_repeat_words == plain.measures(texts[r.doc_id])["n_repeat_words"], texts[r.doc_id]
+
+
 # 6: near copies
 
 
