@@ -8,7 +8,7 @@ from .common import ORACLES, QUERIES
 
 MODULES = [
     "piece_dropout", "token_files", "mixing", "secret_ledger", "quality_ledger", "near_copies", "surrogates",
-    "line_blocks", "radix_dedup", "chat_layouts", "filter_audit", "prefix_trie",
+    "line_blocks", "radix_dedup", "chat_layouts", "filter_audit", "count_tree", "prefix_trie",
 ]
 
 
