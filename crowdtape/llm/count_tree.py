@@ -18,10 +18,13 @@ frequent shingles last (counted in 2**18 buckets over all documents: a fixed siz
 time only). Sets that share such a shingle meet in the group of the smallest set that has it.
 
 Work and bounds: equal sets are one node, so copies cost nothing more. First each node meets only the
-smallest set that it shares a shingle with, in tasks of at most ``CHUNK`` nodes, and what links there is one
-component. Groups that still hold several components are searched by trees of points, without texts, block
-by block: at most ``CHUNK`` nodes of similar size a block, and no block meets one of its own component.
-What the trees let through is verified on the texts. No link is given up and no list of all pairs is made.
+smallest set that it shares a shingle with: points whose bound reaches a link are verified on the texts, and
+what links is one component. Groups that still hold several components are searched by trees of points,
+block by block: at most ``CHUNK`` nodes of similar size a block, and no block meets one of its own component.
+A round lets each node through with its first few partners (eight times as many in the next), verifies
+those, and joins components; rounds go on until nothing had to wait, so no link is given up, and large
+groups settle without a list of all their pairs. Points hold a twelfth of a text's bytes; texts are fetched
+for candidates only, after a bit map of fixed size has left out most others.
 
 Two different sets would be taken for one with the chance of a 64-bit collision (10**-3 for 2*10**8
 different texts). Null ids, repeated ids and repeated rows are kept, each a row of the result; a component
@@ -49,8 +52,10 @@ LEAF = 16
 PER_GROUP = 8
 LEAST_GROUPS = 16
 BUCKETS = 1 << 18
-FREQUENT = 2.0
+FREQUENT = 4.0
 REMEMBERED = 200_000
+PARTNERS = 8
+BITS = 1 << 25
 
 _U = np.uint64
 _PLACE = _mix(np.arange(101, 101 + SHINGLE, dtype=_U)) | _U(1)
@@ -73,12 +78,13 @@ def bucket(s: np.ndarray) -> np.ndarray:
     return (s & _U(BUCKETS - 1)).astype(np.int64)
 
 
-def routing(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order; of sets that link, at least one is the same."""
+def routing(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the common order, those in frequent buckets apart; of sets that link, at least
+    one is the same."""
     most = len(s) - (4 * len(s) + 4) // 5 + 1
     late = frequent[bucket(s)]
     first = s[~late][:most]
-    return first if len(first) == most else np.concatenate([first, s[late][:most - len(first)]])
+    return first, s[late][:most - len(first)]
 
 
 def groups_for(n: int) -> int:
@@ -167,25 +173,15 @@ def candidates(points: list[np.ndarray], totals: np.ndarray, label: np.ndarray)
                 yield ids[i], more[j]
 
 
-def connected(sets: list[np.ndarray]) -> list[int]:
-    """The least index of each set's component. The first set is met first: what links to it needs no tree."""
-    root = list(range(len(sets)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(1, len(sets)):
-        if links(sets[0], sets[i]):
-            root[i] = 0
-    label = np.array(root)
-    for i, j in candidates([point(s) for s in sets], np.array([len(s) for s in sets]), label):
-        a, b = sorted((top(i), top(j)))
-        if a != b and links(sets[i], sets[j]):
-            root[b] = a
-    return [top(i) for i in range(len(sets))]
+def near_first(points: list[np.ndarray], totals: np.ndarray) -> list[int]:
+    """Which of the other points may link to the first."""
+    out = []
+    for i in range(1, len(points)):
+        g = min(len(points[0]), len(points[i]))
+        over = int(np.minimum(folded(points[0], g), folded(points[i], g)).sum())
+        if 9 * over >= 4 * int(totals[0] + totals[i]):
+            out.append(i)
+    return out
 
 
 # ---- the join ---------------------------------------------------------------------------------------
@@ -203,17 +199,17 @@ def frequent_buckets(docs: DataFrame) -> np.ndarray:
     rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(BUCKETS, np.int64)
     n[rows.bucket.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
-    return n > max(8.0, FREQUENT * n.mean())
+    return n > n.mean() + FREQUENT * np.sqrt(n.mean()) + 8.0  # beyond what chance puts into a bucket
 
 
 def described(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, text_key, n, node, first, point) of every row; a task tells of equal sets once what only
-    the set's node needs (``first``: its routing shingles, and ``point``)."""
+    """(doc_id, text_key, n, node, first, late, point) of every row; a task tells of equal sets once what
+    only the set's node needs (its routing shingles, rare ones and frequent ones, and its point)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, told = frequent.value, set()
         for batch in batches:
-            size, node, first, points = [], [], [], []
+            size, node, first, rest, points = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = np.unique(shingles(text))
                 key = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
@@ -224,14 +220,16 @@ def described(docs: DataFrame, frequent) -> DataFrame:
                     told.add(key)
                 size.append(len(s))
                 node.append(key)
-                first.append(routing(s, late).view(np.int64) if new else None)
+                one, two = routing(s, late) if new else (None, None)
+                first.append(one.view(np.int64) if new else None)
+                rest.append(two.view(np.int64) if new else None)
                 points.append(point(s).tobytes() if new else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
-                 pa.array(first, pa.list_(pa.int64())), pa.array(points, pa.binary())],
-                names=["doc_id", "text_key", "n", "node", "first", "point"])
+                 pa.array(first, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64())), pa.array(points, pa.binary())],
+                names=["doc_id", "text_key", "n", "node", "first", "late", "point"])
 
-    return docs.mapInArrow(describe, "doc_id long, text_key long, n long, node long, first array<long>, point binary")
+    return docs.mapInArrow(describe, "doc_id long, text_key long, n long, node long, first array<long>, late array<long>, point binary")
 
 
 def _apart(groups: DataFrame, *key: str):
@@ -243,21 +241,53 @@ def _sets(texts) -> list[np.ndarray]:
     return [np.unique(shingles(bytes(t))) for t in texts]
 
 
-def met_first(members: DataFrame, texts: DataFrame, chunk: int) -> DataFrame:
-    """(a, b): each node linked to its component's root among those that meet at the same smallest set."""
+def groups_met(rows: DataFrame) -> DataFrame:
+    """(leader, node): every node with the smallest node that it shares a routing shingle with, for each
+    shingle. Rare shingles take one exchange; frequent ones, where a shingle may be in a third of all sets,
+    are aggregated first and joined by a merge join that is split at run time."""
+    least = [F.min("node").alias("leader"), F.max("node").alias("_last")]
+    rare = rows.filter("first is not null").select("node", F.explode("first").alias("shingle")).repartition("shingle")
+    often = rows.filter("late is not null").select("node", F.explode("late").alias("shingle"))
+    met = [x.join(x.groupBy("shingle").agg(*least).filter("leader < _last").hint("merge"), "shingle").select("leader", "node") for x in (rare, often)]
+    return stored(met[0].unionByName(met[1]).distinct(), "tree-members")
+
+
+def near_leader(members: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
+    """(a, b): the smallest set that node b shares a shingle with, where the points allow a link."""
     own = members.groupBy("node").agg(F.min("leader").alias("leader")).filter("node <> leader")
     chunks = own.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     dealt = own.join(chunks.hint("merge"), "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     leaders = chunks.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    met = dealt.unionByName(leaders).join(texts.hint("merge"), "node")
+    met = dealt.unionByName(leaders).join(points.hint("merge"), "node")
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_later=pdf.node != pdf.leader).sort_values(["_later", "node"])
-        root, node = connected(_sets(pdf.text)), pdf.node.to_numpy()
-        pairs = [(node[i], node[r]) for i, r in enumerate(root) if i != r]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        found = near_first([np.frombuffer(p, np.int32) for p in pdf.point], pdf.n.to_numpy())
+        return pd.DataFrame({"a": pdf.leader.to_numpy()[found], "b": pdf.node.to_numpy()[found]}, dtype="int64")
+
+    return _apart(met, "leader", "chunk").applyInPandas(near, "a long, b long")
+
 
-    return _apart(met, "leader", "chunk").applyInPandas(link, "a long, b long")
+def texts_of(nodes: DataFrame, where: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes``. ``where`` tells a row of each node; a bit map of ``BITS`` bits leaves out most
+    other rows before texts move (when it is full it leaves out none)."""
+    asked = nodes.distinct().join(where.hint("merge"), "node")
+    asked = stored(asked.select("node", "_id", "_key", F.pmod(F.xxhash64("_id", "_key"), F.lit(BITS)).alias("_bit")), "tree-asked")
+    place = F.col("_bit") + 1  # the built-in maps count places from 1
+    maps = asked.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in maps.collect():  # at most 1,024 rows of 4 kB
+        bits[r["at"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    there = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def may_be(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy()
+        return pd.Series(((there.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1) > 0)
+
+    some = docs.filter(may_be(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BITS))))
+    here = some["doc_id"].eqNullSafe(asked["_id"]) & (some["text_key"] == asked["_key"])
+    return some.join(asked.hint("merge"), here).select("node", F.encode("text", "utf-8").alias("text")).dropDuplicates(["node"])
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -298,17 +328,26 @@ def blocks_met(rest: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
     return first.unionByName(second).join(placed.hint("merge"), "block").select("one", "two", "block", "label", "node", "n", "point")
 
 
-def tree_search(met: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that the trees let through."""
+def tree_search(met: DataFrame, partners: int) -> DataFrame:
+    """(a, b, waits): pairs of different components that the trees let through, while one of the two has
+    fewer than ``partners``; a row of nulls with ``waits`` where others have to wait."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         node, block, label = pdf.node.to_numpy(), pdf.block.to_numpy(), pdf.label.to_numpy()
         points = [np.frombuffer(p, np.int32) for p in pdf.point]
-        apart = pdf.one.iloc[0] != pdf.two.iloc[0]
-        found = [sorted((int(node[i]), int(node[j]))) for i, j in candidates(points, pdf.n.to_numpy(), label) if not apart or block[i] != block[j]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        apart, met_so_far, found, waits = pdf.one.iloc[0] != pdf.two.iloc[0], np.zeros(len(pdf), np.int64), [], False
+        for i, j in candidates(points, pdf.n.to_numpy(), label):
+            if apart and block[i] == block[j]:
+                continue
+            if met_so_far[i] >= partners and met_so_far[j] >= partners:
+                waits = True
+                continue
+            met_so_far[[i, j]] += 1
+            found.append((*sorted((int(node[i]), int(node[j]))), False))
+        out = pd.DataFrame(found + [(None, None, True)] * waits, columns=["a", "b", "waits"])
+        return out.astype({"a": "Int64", "b": "Int64", "waits": "bool"})
 
-    return _apart(met, "one", "two").applyInPandas(search, "a long, b long").distinct()
+    return _apart(met, "one", "two").applyInPandas(search, "a long, b long, waits boolean").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, chunk: int) -> DataFrame:
@@ -336,26 +375,29 @@ def jaccard_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     frequent = spark.sparkContext.broadcast(frequent_buckets(docs))
     rows = stored(described(docs, frequent), "tree-rows")
 
-    # sets that share a routing shingle, by the smallest of them
-    keyed = rows.filter("first is not null").select("node", F.explode("first").alias("shingle"))
-    found = keyed.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader < _last").select("shingle", "leader")
-    members = stored(keyed.join(stored(found, "tree-shared").hint("merge"), "shingle").select("leader", "node").distinct(), "tree-members")
-
-    # their texts and points, once each
+    members = groups_met(rows)
     asked = members.select("node").distinct()
     some = rows.filter("node is not null").join(asked.hint("merge"), "node", "left_semi").groupBy("node").agg(
         F.min(F.struct("doc_id", "text_key")).alias("of"), F.max("n").alias("n"), F.max("point").alias("point"))
     some = stored(some.select("node", "n", "point", F.col("of.doc_id").alias("_id"), F.col("of.text_key").alias("_key")), "tree-points")
-    where = docs["doc_id"].eqNullSafe(some["_id"]) & (docs["text_key"] == some["_key"])
-    texts = docs.join(some.select("node", "_id", "_key").hint("merge"), where).select("node", F.encode("text", "utf-8").alias("text"))
-    texts = stored(texts.dropDuplicates(["node"]), "tree-texts")
-
-    edges = stored(met_first(members, texts, chunk), "tree-edges")
-    rest = unsettled(members, components(edges))
-    if not rest.isEmpty():
-        pairs = stored(tree_search(blocks_met(rest, some.select("node", "n", "point"), chunk)), "tree-pairs")
-        edges = edges.unionByName(stored(verified(pairs, texts, chunk), "tree-links"))
+    points, where = some.select("node", "n", "point"), some.select("node", "_id", "_key")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), where, docs)
+        return stored(verified(pairs, stored(texts, "tree-texts"), chunk), "tree-links")
+
+    decided = stored(near_leader(members, points, chunk), "tree-near")
+    edges, partners = checked(decided), PARTNERS
     labels = components(edges)
+    while not (rest := unsettled(members, labels)).isEmpty():
+        found = stored(tree_search(blocks_met(rest, points, chunk), partners), "tree-pairs")
+        pairs = stored(found.filter("not waits").select("a", "b").join(decided.hint("merge"), ["a", "b"], "left_anti"), "tree-new-pairs")
+        if not pairs.isEmpty():
+            edges, decided = edges.unionByName(checked(pairs)), decided.unionByName(pairs)
+            labels = components(edges)
+        if found.filter("waits").isEmpty():
+            break
+        partners *= 8
 
     # equal sets are of one component; its smallest id is the component's
     least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
