@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +57,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on the shared folder so that a lost executor cannot force a replay."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: ``transformWithState`` asks for RocksDB. A store that is closed after its task leaves nothing on the
+#: executor (each open one holds 4 MB for its manifest alone) and is loaded by whichever executor comes next.
+STREAMING_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
+@contextmanager
+def streaming_state(spark: SparkSession):
+    """Streams that are started inside keep their state as ``STREAMING_STATE`` says; the session's own
+    settings come back afterwards."""
+    was = {key: spark.conf.get(key, None) for key in STREAMING_STATE}
+    for key, value in STREAMING_STATE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in was.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
