@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import streaming_state
 from .common import new_path, query, read, stored, words
 
 FILTERS = "ABCDE"
@@ -44,7 +45,6 @@ BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 BATCHES = 4
 COUNTERS = "part string, mask int, good int, toxic int, n long"
 _COMBINED = "key binary, part string, mask int, good int, toxic int, lo long, n_lo long, n_rest long"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def text_mask(text: Column) -> Column:
@@ -149,18 +149,10 @@ def count_files(spark: SparkSession, path: str, labels: DataFrame, counters: str
         change = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
         change.write.mode("overwrite").parquet(f"{counters}/batch={batch_id}")
 
-    key, was = "spark.sql.streaming.stateStore.providerClass", None
-    try:
-        was = spark.conf.get(key, None)
-        spark.conf.set(key, _ROCKS)
+    with streaming_state(spark):
         changes = merged.groupBy("key").transformWithState(MinimumIds(), COUNTERS, "Update", "None")
         run = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
         run.awaitTermination()
-    finally:
-        if was is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, was)
 
 
 def counts(spark: SparkSession, counters: str) -> DataFrame:
