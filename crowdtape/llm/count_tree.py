@@ -232,13 +232,36 @@ def described(docs: DataFrame, frequent) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id long, text_key long, n long, node long, first array<long>, late array<long>, point binary")
 
 
-def _apart(groups: DataFrame, *key: str):
-    """Groups small in bytes but long in computing: kept apart over all partitions."""
-    return groups.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).groupBy(*key)
+def by_group(df: DataFrame, key: list[str], fn, schema: str) -> DataFrame:
+    """Rows of longs that ``fn`` yields for each group, from its columns. Groups are small and many: they are
+    dealt over all partitions, come sorted, and are cut out of Arrow batches without a frame for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            t = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if t is None or not t.num_rows:
+                continue
+            keys = [t[c].to_numpy() for c in key]
+            ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            if batch is None:
+                ends, held = np.append(ends, t.num_rows), None
+            else:
+                held = t.slice(int(ends[-1])) if len(ends) else t
+            rows, columns = [], {c: t[c].to_pylist() if pa.types.is_binary(t[c].type) else t[c].to_numpy() for c in t.column_names} if len(ends) else {}
+            for x, y in zip(np.append(0, ends[:-1]), ends):
+                rows += fn({c: v[x:y] for c, v in columns.items()})
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)) for v in zip(*rows)], names=names)
+
+    names = [f.split()[0] for f in schema.split(",")]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
 
-def _sets(texts) -> list[np.ndarray]:
-    return [np.unique(shingles(bytes(t))) for t in texts]
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def groups_met(rows: DataFrame) -> DataFrame:
@@ -260,12 +283,12 @@ def near_leader(members: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
     leaders = chunks.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     met = dealt.unionByName(leaders).join(points.hint("merge"), "node")
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_later=pdf.node != pdf.leader).sort_values(["_later", "node"])
-        found = near_first([np.frombuffer(p, np.int32) for p in pdf.point], pdf.n.to_numpy())
-        return pd.DataFrame({"a": pdf.leader.to_numpy()[found], "b": pdf.node.to_numpy()[found]}, dtype="int64")
+    def near(g: dict) -> list[tuple]:
+        order = np.argsort(g["node"] != g["leader"], kind="stable")
+        found = near_first([np.frombuffer(g["point"][i], np.int32) for i in order], g["n"][order])
+        return [(g["leader"][0], g["node"][order[i]]) for i in found]
 
-    return _apart(met, "leader", "chunk").applyInPandas(near, "a long, b long")
+    return by_group(met, ["leader", "chunk"], near, "a long, b long")
 
 
 def texts_of(nodes: DataFrame, where: DataFrame, docs: DataFrame) -> DataFrame:
@@ -330,24 +353,23 @@ def blocks_met(rest: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
 
 def tree_search(met: DataFrame, partners: int) -> DataFrame:
     """(a, b, waits): pairs of different components that the trees let through, while one of the two has
-    fewer than ``partners``; a row of nulls with ``waits`` where others have to wait."""
+    fewer than ``partners``; one more row with ``waits`` where others have to wait."""
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, block, label = pdf.node.to_numpy(), pdf.block.to_numpy(), pdf.label.to_numpy()
-        points = [np.frombuffer(p, np.int32) for p in pdf.point]
-        apart, met_so_far, found, waits = pdf.one.iloc[0] != pdf.two.iloc[0], np.zeros(len(pdf), np.int64), [], False
-        for i, j in candidates(points, pdf.n.to_numpy(), label):
+    def search(g: dict) -> list[tuple]:
+        node, block, apart = g["node"].tolist(), g["block"], g["one"][0] != g["two"][0]
+        met_so_far, found, waits = [0] * len(node), [], False
+        for i, j in candidates([np.frombuffer(p, np.int32) for p in g["point"]], g["n"], g["label"]):
             if apart and block[i] == block[j]:
                 continue
             if met_so_far[i] >= partners and met_so_far[j] >= partners:
                 waits = True
                 continue
-            met_so_far[[i, j]] += 1
-            found.append((*sorted((int(node[i]), int(node[j]))), False))
-        out = pd.DataFrame(found + [(None, None, True)] * waits, columns=["a", "b", "waits"])
-        return out.astype({"a": "Int64", "b": "Int64", "waits": "bool"})
+            met_so_far[i] += 1
+            met_so_far[j] += 1
+            found.append((*sorted((node[i], node[j])), 0))
+        return found + [(0, 0, 1)] * waits
 
-    return _apart(met, "one", "two").applyInPandas(search, "a long, b long, waits boolean").distinct()
+    return by_group(met, ["one", "two"], search, "a long, b long, waits long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, chunk: int) -> DataFrame:
@@ -356,14 +378,14 @@ def verified(pairs: DataFrame, texts: DataFrame, chunk: int) -> DataFrame:
     dealt = pairs.join(chunks.hint("merge"), "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     firsts = chunks.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.a.iloc[0]
-        one = _sets(pdf.text[pdf.node == first].iloc[:1])[0]
-        others = pdf[pdf.node != first]
-        found = [(first, b) for b, t in zip(others.node, others.text) if links(one, _sets([t])[0])]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def link(g: dict) -> list[tuple]:
+        first, sets = g["a"][0], {}
+        for b, t in zip(g["node"].tolist(), g["text"]):
+            sets[b] = np.unique(shingles(t))
+        one = sets.pop(int(first))
+        return [(first, b) for b, s in sets.items() if links(one, s)]
 
-    return _apart(dealt.unionByName(firsts).join(texts.hint("merge"), "node"), "a", "chunk").applyInPandas(link, "a long, b long")
+    return by_group(dealt.unionByName(firsts).join(texts.hint("merge"), "node"), ["a", "chunk"], link, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -391,11 +413,11 @@ def jaccard_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     labels = components(edges)
     while not (rest := unsettled(members, labels)).isEmpty():
         found = stored(tree_search(blocks_met(rest, points, chunk), partners), "tree-pairs")
-        pairs = stored(found.filter("not waits").select("a", "b").join(decided.hint("merge"), ["a", "b"], "left_anti"), "tree-new-pairs")
+        pairs = stored(found.filter("waits = 0").select("a", "b").join(decided.hint("merge"), ["a", "b"], "left_anti"), "tree-new-pairs")
         if not pairs.isEmpty():
             edges, decided = edges.unionByName(checked(pairs)), decided.unionByName(pairs)
             labels = components(edges)
-        if found.filter("waits").isEmpty():
+        if found.filter("waits = 1").isEmpty():
             break
         partners *= 8
 

@@ -8,8 +8,9 @@ a few pages and a reader of metadata opens no ids. A global start is a file's ba
 token counts, plus the offset.
 
 A chunk of non-space characters with the blank before it always yields the same ids, so chunks go through
-the tokenizer once per worker and are remembered up to a bound; texts are then joined from their chunks.
-Strings of special tokens inside a text are ordinary text, so the end id marks nothing but ends.
+the tokenizer once per worker and are remembered up to a bound; the ids of a batch of texts are then gathered
+by the places of their chunks. Texts that hold the string of a special token go through it whole: the
+tokenizer gives it its special id, as it does when called plainly.
 
 Null texts are empty (the end id alone). Repeated rows and ids each keep their own entry, side by side;
 null ids come first. Columns besides id and text are not stored.
@@ -21,6 +22,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, new_path, query, read, stored
 
 END_ID = 0
-REMEMBERED = 350_000
+REMEMBERED = 1_000_000
 
 #: Parquet settings: row groups, pages, page index rows, encodings per column.
 FILE_OPTIONS = {
@@ -45,66 +47,140 @@ _W = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+").findall
 
 #: Signs after a letter or digit are always cut off from it, so they can be looked up by themselves.
-_TAIL = re.compile(r"(.*[^\W_])([.,;:!?#$%&*|]+)", re.S).fullmatch
+_SIGNS = ".,;:!?#$%&*|"
+
+
+def _byte_letters() -> np.ndarray:
+    """The letters that byte-level vocabularies write bytes as: printable Latin-1 characters as they are,
+    other bytes from U+0100 on. The line end stays, to divide words."""
+    letters = np.arange(256, dtype="<u4")
+    other = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b and b != 0xAD)]
+    letters[other] = np.arange(0x100, 0x100 + len(other))
+    letters[10] = 10
+    return letters
+
+
+class _Places(dict):
+    """Chunk to place; chunks that are asked for the first time get the next places."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = at = len(self)
+        self.new.append(chunk)
+        return at
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, chunk by chunk."""
+    """Ids of whole texts, chunk by chunk: each chunk has a place, and the ids of all places are one array."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.special = list({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        # the same model over single words that are cut and written in byte letters already
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.letters = _byte_letters()
         size = self.tokenizer.get_vocab_size()
         # in a byte-level vocabulary each character of a token stands for one byte
         self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, new: list[str]) -> None:
-        """Chunks without inner space go through the tokenizer side by side in one text and are told apart
-        by their lengths in bytes; a chunk without a blank before it stands after a line end."""
-        spaces = [c for c in new if c.isspace()]
-        for c in spaces:
-            self.known[c] = np.array(self._ids(c), "<u4").tobytes()
-        new = [c for c in new if not c.isspace()]
-        for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            own = [c if c[0] == " " else "\n" + c for c in part]
-            ids = np.array(self._ids("".join(own)), "<u4")
-            ends = np.cumsum(self.n_bytes[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(c.encode()) for c in own])) + 1
-            at, raw = 0, ids.tobytes()
-            for c, end in zip(part, cut.tolist()):
-                self.known[c] = raw[4 * (at + (c[0] != " ")):4 * end]
-                at = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [_CHUNKS(t) for t in texts]
-        if len(self.known) > REMEMBERED:  # what is used again moves on, the rest goes
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new, split = set(), []
-        for c in set().union(*chunks).difference(known):
-            if c in older:
-                known[c] = older[c]
-            elif m := _TAIL(c):
-                split.append((c, m[1], m[2]))
-                new.update(m.groups())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places, self.ids, self.n_ids = _Places(), np.empty(1 << 20, "<u4"), 0
+        self.start, self.length = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.n_known = 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Append ids to the array; the starts of its parts."""
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        starts = self.n_ids + np.cumsum(lengths) - lengths
+        self.n_ids += len(ids)
+        return starts
+
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of ``chunks`` in one array, and where each begins and how many it has."""
+        easy, hard = [], []
+        for i, c in enumerate(chunks):
+            body = c[1:] if c[0] == " " else c
+            word = body.isalpha() and (body.isascii() or max(body) < "\u0370")  # one word of the tokenizer's pattern
+            (easy if word else hard).append(i)
+        parts, lengths = [], np.empty(len(chunks), np.int64)
+        for a in range(0, len(easy), 20_000):
+            mine = easy[a:a + 20_000]
+            raw = np.frombuffer("\n".join([chunks[i] for i in mine]).encode(), np.uint8)
+            written = self.letters[raw].tobytes().decode("utf-32-le")
+            ids = np.array(self.words.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(raw == 10), len(raw)) - np.arange(len(mine))
+            lengths[mine] = np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0)
+            parts.append(ids)
+        for i in hard:
+            parts.append(self._whole(chunks[i]))
+            lengths[i] = len(parts[-1])
+        order = np.array(easy + hard)
+        begin = np.empty_like(lengths)
+        begin[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(parts), begin, lengths
+
+    def _learn(self) -> None:
+        new, self.places.new = self.places.new, []
+        place = _Places()  # of pieces: chunks, or chunks without their last signs and those signs
+        one, two = [], []
+        for c in new:
+            body = c.rstrip(_SIGNS)
+            if len(body) < len(c) and body and body[-1].isalnum():
+                one.append(place[body])
+                two.append(place[c[len(body):]])
             else:
-                new.add(c)
-        for c in [c for c in new if c in older]:
-            known[c] = older[c]
-        self._learn(list(new.difference(known)))
-        for c, body, tail in split:
-            known[c] = known[body] + known[tail]
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+                one.append(place[c])
+                two.append(-1)
+        ids, begin, lengths = self._encoded(place.new)
+        both = np.array([one, two]).T.ravel()
+        of_both = np.where(both >= 0, lengths[both], 0)
+        total = of_both.reshape(-1, 2).sum(1)
+        starts = self._keep(_gathered(ids, begin[both], of_both), total)
+        while self.n_known + len(new) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+        here = slice(self.n_known, self.n_known + len(new))
+        self.start[here], self.length[here] = starts, total
+        self.n_known += len(new)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each has."""
+        if len(self.places) > REMEMBERED:
+            self._forget()
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        chunks = [() if i in whole else _CHUNKS(t) for i, t in enumerate(texts)]
+        n = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(chunks)), np.int64, int(n.sum()))
+        if self.places.new:
+            self._learn()
+        lengths = self.length[at]
+        ids = _gathered(self.ids, self.start[at], lengths)
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(n)] if len(n) else np.empty(0, np.int64)
+        counts = np.diff(ends, prepend=0)
+        if whole:
+            parts = np.split(ids, ends[:-1])
+            for i, own in whole.items():
+                parts[i], counts[i] = own, len(own)
+            ids = np.concatenate(parts)
+        return ids, counts
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return values[np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -118,15 +194,15 @@ def encoder(file: str) -> Encoder:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """``docs`` (doc_id, text) as token files under ``path``; ``tokenizer`` is a file on every executor."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before, shard = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            found = [x + end for x in enc.encode(batch.column(1).to_pylist())]
-            counts = np.array([len(x) >> 2 for x in found], np.int64)
+            found, n = enc.encode(batch.column(1).to_pylist())
+            counts = n + 1
             ends = np.cumsum(counts)
-            values = pa.Array.from_buffers(pa.int32(), int(counts.sum()), [None, pa.py_buffer(b"".join(found))])
+            with_end = np.full(int(counts.sum()), end_id, "<u4")
+            with_end[np.arange(len(found)) + np.repeat(np.arange(len(n)), n)] = found
+            values = pa.Array.from_buffers(pa.int32(), len(with_end), [None, pa.py_buffer(with_end)])
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.full(len(counts), shard, np.int32)), pa.array(before + ends - counts), pa.array(counts), ids],
@@ -155,7 +231,7 @@ def digests(tokens: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(3)
-            at, raw = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
+            at, raw = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy(zero_copy_only=False).view("<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())],
