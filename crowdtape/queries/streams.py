@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 from ..operators import timing as TM
 from ..session import prepare
 from ..streaming import ingest as G
+from ..streaming import retries as R
+from ..streaming import scores as SC
 from . import fixtures as X
 from .market import r4, r8, sql
 from .registry import query
+from .sentiment import REQ, SCORED
+
+
+def arrivals(df, arrived, slices=3):
+    """``df`` cut by arrival time into slices of about equal size, as functions that each write theirs."""
+    df = df.withColumn("_at", arrived)
+    cuts = df.agg(F.percentile_approx("_at", [k / slices for k in range(1, slices)], 10_000).alias("c")).first().c or []
+    low = [None, *cuts]
+    parts = [df.filter((F.lit(True) if a is None else F.col("_at") >= a) & (F.lit(True) if b is None else F.col("_at") < b)).drop("_at")
+             for a, b in zip(low, [*cuts, None])]
+    return [lambda path, part=part: part.write.mode("append").parquet(path) for part in parts]
 
 
 def stream(spark, sf, name):
@@ -155,3 +168,126 @@ def t10(spark, sf):
     G.drain(rows, G.scratch(spark, "ck"), each=each)
     m = TM.duration_model(TM.merge_states(spark.read.parquet(out)))
     return m.select(F.round("article_coefficient", 4).alias("token_slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+LATE = "epoch_us(as_of) < (SELECT max(epoch_us(ts)) FROM deltas) - 3600000000"
+
+
+@query("t06_decayed_stream", "T6 A6 A7 A8", sql(f"""WITH {SCORED.replace(REQ, "SELECT DISTINCT ticker, date_trunc('hour', ts) + INTERVAL 1 HOUR AS as_of FROM deltas")}
+    SELECT ticker, as_of, channel, round(des_raw,4) AS des_raw, round(confidence,4) AS confidence, n_deltas, burst FROM des WHERE channel = 'all' AND {LATE}"""))
+def t06_decayed(spark, sf):
+    """Deltas arrive in three slices up to half an hour late; the stream is stopped and started again between them."""
+    prepare(spark)
+    d = X.deltas(spark, sf)
+    rows, out, ck = G.scratch(spark, "arrived"), G.scratch(spark, "scores"), G.scratch(spark, "ck")
+    # an arrival is delayed by its id, so that slices overlap in time
+    for arrive in arrivals(d, F.unix_micros("ts") + (F.col("delta_id") % 30) * 60_000_000):
+        arrive(rows)
+        SC.run(G.file_stream(spark, rows, d.schema), ck, out)
+    got = spark.read.parquet(out)
+    if got.isEmpty() and not d.isEmpty():
+        raise ValueError("the stream closed no hour")
+    return r4(got, "des_raw", "confidence").select("ticker", "as_of", "channel", "des_raw", "confidence", "n_deltas", "burst")
+
+
+def post_columns(docs):
+    at = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(secs=F.col("doc_id"))
+    return docs.select(F.col("source").alias("platform"), F.col("doc_id").cast("string").alias("post_id"), F.sha1("text").alias("url"), at.alias("scraped_at"))
+
+
+@query("t04_backlog_then_live", "T4 T1", sql("""
+    SELECT CAST(doc_id AS VARCHAR) AS post_id, CASE WHEN doc_id % 4 = 0 THEN 'backlog' ELSE 'live' END AS phase, 1 AS times FROM documents"""))
+def t04(spark, sf):
+    """A quarter is the backlog; one arrives while it is drained, two while the live query is stopped."""
+    prepare(spark)
+    docs = X.table(spark, sf, "documents").select("doc_id", "source", "text")
+    rows, out, ck, cutoff = (G.scratch(spark, n) for n in ("arrived", "phases", "ck", "cutoff"))
+    arrive = lambda k: docs.filter(F.pmod("doc_id", F.lit(4)) == k).write.mode("append").parquet(rows)
+    late = [1]
+
+    def each(batch, batch_id, phase):
+        if late:
+            arrive(late.pop())
+        batch.select("post_id", F.lit(phase).alias("phase")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    arrive(0)
+    for k in (None, 2, 3):
+        if k:
+            arrive(k)
+        q = G.backlog_then_live(post_columns(G.file_stream(spark, rows, docs.schema)), ck, each, cutoff, every="1 second")
+        q.processAllAvailable()
+        q.stop()
+    return spark.read.parquet(out).groupBy("post_id", "phase").agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
+OUTCOMES = """
+    SELECT CAST(user_id AS VARCHAR) AS post_id, date_trunc('milliseconds', ts) AS t, event_type NOT IN ('error', 'view') AS ok, CAST(event_id AS VARCHAR) AS reason FROM events"""
+FATES = f"""
+  o AS ({OUTCOMES}),
+  p AS (SELECT *, lead(t) OVER (PARTITION BY post_id ORDER BY t, ok, reason) AS next_t, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY post_id ORDER BY t, ok, reason) AS run FROM o),
+  f AS (SELECT *, (row_number() OVER (PARTITION BY post_id, run ORDER BY t, reason) - 1) % 3 + 1 AS attempts FROM p WHERE NOT ok),
+  d AS (SELECT *, t + to_hours(CAST(1 << (attempts - 1) AS INTEGER)) AS due, (SELECT max(t) - INTERVAL 1 HOUR FROM o) AS mark FROM f),
+  fates AS (
+    SELECT post_id, 'dead' AS fate, CAST(attempts AS INTEGER) AS attempts, t AS "at", reason FROM d WHERE attempts = 3 AND t < mark
+    UNION ALL SELECT post_id, 'retry', CAST(attempts AS INTEGER), due, reason FROM d WHERE attempts < 3 AND due < mark AND (next_t IS NULL OR next_t >= due))"""
+
+
+def settled(spark, sf):
+    """Outcomes arrive in three slices up to half an hour late; the stream is stopped and started between them."""
+    prepare(spark)
+    e = X.table(spark, sf, "events")
+    o = e.select(F.col("user_id").cast("string").alias("post_id"), F.date_trunc("millisecond", "ts").alias("at"),
+                 (~F.col("event_type").isin("error", "view")).alias("ok"), F.col("event_id").cast("string").alias("reason"))
+    rows, ck, queue, dead = (G.scratch(spark, n) for n in ("arrived", "ck", "queue", "dead"))
+    for arrive in arrivals(o, F.unix_micros("at") + (F.col("reason").cast("long") % 30) * 60_000_000):
+        arrive(rows)
+        R.run(G.file_stream(spark, rows, o.schema), ck, queue, dead)
+    kind = f"{R.FATES.replace('at long', 'at timestamp')}, batch long"
+    return [spark.read.schema(kind).parquet(p).drop("batch") for p in (queue, dead)]
+
+
+@query("t05_retry_stream", "T5", sql(f"WITH {FATES} SELECT * FROM fates"))
+def t05_stream(spark, sf):
+    queue, dead = settled(spark, sf)
+    return queue.unionByName(dead)
+
+
+@query("t05_skip_list", "T5", sql(f"""WITH {FATES} SELECT post_id, attempts, "at" AS failed_at, reason FROM fates WHERE fate = 'dead' ORDER BY "at" DESC, post_id LIMIT 200"""))
+def t05_skip(spark, sf):
+    return R.skip_list(settled(spark, sf)[1]).select("post_id", "attempts", "failed_at", "reason")
+
+
+@query("t09_ingest_counters", "T9 A28 T2", sql("""
+    WITH d AS (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id % 3, doc_id) AS k FROM documents)
+    SELECT doc_id % 3 AS batch, count(*) AS offered, count(*) FILTER (source IS NULL) AS without_key, count(*) FILTER (k = 1) AS accepted, count(*) FILTER (k > 1) AS duplicates
+    FROM d GROUP BY 1"""))
+def t09(spark, sf):
+    """Three arrivals, a batch each; what was observed on the way in beside what the log took."""
+    prepare(spark)
+    docs = X.table(spark, sf, "documents").select("doc_id", "source", "text")
+    rows, log, ck, progress = G.scratch(spark, "arrived"), G.scratch(spark, "log"), G.scratch(spark, "ck"), []
+    for k in range(3):
+        docs.filter(F.pmod("doc_id", F.lit(3)) == k).write.mode("append").parquet(rows)
+        q = G.drain(G.counted(post_columns(G.file_stream(spark, rows, docs.schema))), ck, each=G.chain(G.append_new_posts(log, order=("scraped_at", "post_id"))))
+        progress += q.recentProgress
+    return G.ingest_counters(progress, spark.read.parquet(log))
+
+
+@query("t01_closed_bars_stream", "T1", sql("""
+    SELECT symbol, bts AS ts, round(open,8) AS open, round(high,8) AS high, round(low,8) AS low, round(close,8) AS close, volume FROM hbars
+    WHERE epoch_us(bts) + 3600000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)"""))
+def t01_closed(spark, sf):
+    """Only what the stream itself has closed: the hours that end before its last watermark."""
+    bars, out = G.tick_bars(stream(spark, sf, "events"), "1 hour", "10 minutes", symbol=F.col("event_type"), price=F.col("value"), volume=F.lit(1.0), order=[F.col("ts"), F.col("event_id")]), G.scratch(spark, "bars")
+    G.drain(bars, G.scratch(spark, "ck"), path=out)
+    return r8(spark.read.schema(bars.schema).parquet(out), "open", "high", "low", "close")
+
+
+@query("t06_closed_bursts_stream", "T6 A8", sql("""
+    WITH w AS (SELECT ticker, CAST(date_trunc('hour', ts) AS TIMESTAMP) + to_hours(CAST(h AS INTEGER)) AS as_of FROM deltas, range(1, 7) r(h) WHERE chan = 'social')
+    SELECT ticker, as_of, count(*) AS burst FROM w WHERE epoch_us(as_of) <= (SELECT max(epoch_us(ts)) - 3600000000 FROM deltas) GROUP BY ticker, as_of"""))
+def t06_closed(spark, sf):
+    """Only what the stream itself has closed."""
+    bursts, out = G.sliding_bursts(delta_stream(spark, sf)), G.scratch(spark, "bursts")
+    G.drain(bursts, G.scratch(spark, "ck"), path=out)
+    return spark.read.schema(bursts.schema).parquet(out)

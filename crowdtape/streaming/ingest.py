@@ -37,10 +37,31 @@ def drain(stream: DataFrame, checkpoint: str, *, path: str | None = None, each:
     return q
 
 
-def backlog_then_live(stream: DataFrame, checkpoint: str, each: Callable, every: str = "30 seconds"):
-    """T4: drain the backlog, then go on with the same checkpoint; returns the running query."""
-    drain(stream, checkpoint, each=each)
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(processingTime=every).start()
+def backlog_then_live(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int, str], None], cutoff: str, every: str = "30 seconds"):
+    """T4: drain the backlog, write down where it ended, then go on live with the same checkpoint; returns
+    the running query.
+
+    ``each(batch, batch_id, phase)`` gets "backlog" or "live". The ``cutoff`` folder holds the number of the
+    last backlog batch. Stopped and started again, the query finds it there and goes on live; stopped within
+    the backlog, it goes on with the backlog. Rows that arrive during the handover are in the checkpoint's
+    next batch, so each comes once.
+    """
+    spark = stream.sparkSession
+    if not _exists(spark, f"{cutoff}/_SUCCESS"):
+        last = [-1]
+
+        def backlog(batch: DataFrame, batch_id: int) -> None:
+            each(batch, batch_id, "backlog")
+
+        q = drain(stream, checkpoint, each=backlog)
+        if q.lastProgress:
+            last[0] = q.lastProgress["batchId"]
+        spark.createDataFrame([(last[0],)], "batch long").coalesce(1).write.mode("overwrite").parquet(cutoff)
+
+    def live(batch: DataFrame, batch_id: int) -> None:
+        each(batch, batch_id, "live")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(live).trigger(processingTime=every).start()
 
 
 def recent_duplicates_dropped(stream: DataFrame, ts: str = "scraped_at", horizon: str = "2 days") -> DataFrame:
@@ -97,11 +118,14 @@ def monotone_gate(state_path: str, out_path: str, max_tickers: int | None = 6) -
     return each
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _stored_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
     """What earlier batches wrote under ``path``; empty before the first."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    if not there:
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(f"{schema}, batch long").parquet(path).filter(F.col("batch") < batch_id).drop("batch")
 
@@ -143,6 +167,17 @@ def counted(stream: DataFrame, name: str = "ingest") -> DataFrame:
     )
 
 
+def ingest_counters(progress: list, log: DataFrame, name: str = "ingest") -> DataFrame:
+    """(batch, offered, without_key, accepted, duplicates) of the batches in ``progress``, a query's
+    ``recentProgress``: what ``counted`` observed beside what the log took in. Batches have to read their
+    input once (``chain`` persists it), else the observation counts it again."""
+    seen = [(p["batchId"], m["offered"], m["without_key"]) for p in progress if (m := p.observedMetrics.get(name))]
+    offered = log.sparkSession.createDataFrame(seen, "batch long, offered long, without_key long")
+    accepted = log.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("accepted"))
+    both = offered.join(accepted, "batch", "left").withColumn("accepted", F.coalesce("accepted", F.lit(0).cast("long")))
+    return both.withColumn("duplicates", F.col("offered") - F.col("accepted"))
+
+
 def chain(*steps: Callable[[DataFrame, int], DataFrame | None]) -> Callable:
     """Run the steps of a new batch one after the other, each on the output of the one before; a
     step that returns nothing passes its input on."""
