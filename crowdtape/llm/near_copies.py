@@ -44,7 +44,7 @@ CHUNK = 512
 SEED = 11
 
 _U = np.uint64
-_STEPS = 4096  # shingles that are sampled at a time
+_STEPS = 1024  # shingles that are sampled at a time: their tables fit the cache
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,32 +107,42 @@ class Sampler:
         u = lambda: 1.0 - rng.random(1 << 16)  # noqa: E731  in (0, 1]
         gamma = lambda: np.maximum(-np.log(u() * u()), 1e-4)  # noqa: E731  of shape 2
         self.r = gamma().astype(np.float32)
+        self.per_r = (1.0 / self.r.astype(np.float64)).astype(np.float32)
         self.log_c = np.log(gamma()).astype(np.float32)
         self.beta = rng.random(1 << 16).astype(np.float32)
         self.keys = _mix(np.arange(1, samples + 1, dtype=_U) + _U(seed * 1_000_003))
 
     def draw(self, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """One hash per sample, of the chosen shingle and its level."""
-        best = np.full(len(self.keys), np.inf, np.float32)
-        chosen = np.zeros(len(self.keys), _U)
-        every = np.arange(len(self.keys))
-        for a in range(0, len(s), _STEPS):
-            part, log_w = s[a:a + _STEPS], np.log(weight[a:a + _STEPS])[:, None]
-            x = (part[:, None] ^ self.keys[None, :]) * _U(0x9E3779B97F4A7C15)
-            x ^= x >> _U(29)
+        n, every = len(self.keys), np.arange(len(self.keys))
+        best, chosen, level = np.full(n, np.inf, np.float32), np.zeros(n, _U), np.zeros(n, np.float32)
+        log_w = np.log(weight)
+        steps = min(_STEPS, len(s))
+        hashes, shifted = np.empty((steps, n), _U), np.empty((steps, n), _U)
+        for a in range(0, len(s), steps):
+            part = s[a:a + steps]
+            x, y = hashes[:len(part)], shifted[:len(part)]
+            np.bitwise_xor(part[:, None], self.keys[None, :], out=x)
+            x *= _U(0x9E3779B97F4A7C15)
+            x ^= np.right_shift(x, _U(29), out=y)
             x *= _U(0xBF58476D1CE4E5B9)
-            x ^= x >> _U(32)
-            low = _U(0xFFFF)
-            r, beta = self.r[(x & low).astype(np.intp)], self.beta[((x >> _U(16)) & low).astype(np.intp)]
-            t = np.floor(log_w / r + beta)
-            log_a = self.log_c[((x >> _U(32)) & low).astype(np.intp)] - r * (t - beta + np.float32(1))
+            x ^= np.right_shift(x, _U(32), out=y)
+            picks = x.view(np.uint16).reshape(len(part), n, 4)  # four picks from the tables in each hash
+            at_r, beta = picks[..., 0], self.beta.take(picks[..., 1])
+            t = self.per_r.take(at_r)
+            t *= log_w[a:a + steps, None]
+            t += beta
+            np.floor(t, out=t)
+            down = np.subtract(t, beta, out=beta)
+            down += np.float32(1)
+            down *= self.r.take(at_r)
+            log_a = self.log_c.take(picks[..., 2])
+            log_a -= down
             at = log_a.argmin(axis=0)
             value = log_a[at, every]
-            better = value < best
-            best[better] = value[better]
-            level = t[at, every].astype(np.int64).view(_U)
-            chosen[better] = _mix(part[at] + level * _U(0xD6E8FEB86659FD93))[better]
-        return chosen
+            better = np.flatnonzero(value < best)
+            best[better], chosen[better], level[better] = value[better], part[at[better]], t[at[better], better]
+        return _mix(chosen + level.astype(np.int64).view(_U) * _U(0xD6E8FEB86659FD93))
 
     def bands(self, s: np.ndarray, weight: np.ndarray, rows: int = ROWS) -> np.ndarray:
         """One hash per band, different for each band."""
@@ -246,12 +256,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     labels = stored(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "node"), "near-labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        new = labels.join(heard.withColumnRenamed("a", "node"), "node").select(
+        heard = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("heard"))
+        new = labels.join(heard.withColumnRenamed("a", "node").hint("merge"), "node").select(
             "node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         new = stored(new, "near-labels")
         up = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stored(new.join(up, "label").select("node", "was", F.least("label", "up").alias("label")), "near-labels")
+        new = stored(new.join(up.hint("merge"), "label").select("node", "was", F.least("label", "up").alias("label")), "near-labels")
         labels = new.select("node", "label")
         if new.filter("was <> label").isEmpty():
             return labels
@@ -270,41 +280,41 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     # buckets, by their smallest node
     n = nodes.select("node", F.col("words_key").alias("_w"), F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"))
-    lead = rows.join(n, (rows["words_key"] == n["_w"]) & rows["doc_id"].eqNullSafe(n["_d"]) & (rows["text_key"] == n["_t"]))
+    lead = rows.join(n.hint("merge"), (rows["words_key"] == n["_w"]) & rows["doc_id"].eqNullSafe(n["_d"]) & (rows["text_key"] == n["_t"]))
     keyed = stored(lead.select("node", F.explode("bands").alias("band")), "near-bands")
     found = stored(keyed.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).filter("leader < _last").select("band", "leader"), "near-buckets")
-    members = stored(keyed.join(found, "band").select("leader", "node").distinct(), "near-members")
+    members = stored(keyed.join(found.hint("merge"), "band").select("leader", "node").distinct(), "near-members")
     sizes = stored(members.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).select(
         "leader", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "near-sizes")
-    dealt = members.join(sizes, "leader")
+    dealt = members.join(sizes.hint("merge"), "leader")
     place = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
     dealt = dealt.select("leader", "node", "chunks", F.explode(place).alias("chunk"))
     ids = nodes.select("node", "doc_id", "text_key")
-    local = stored(_verified(_texts(dealt.select("leader", "chunk", "node").join(ids, "node"), docs), ["leader", "chunk"], idf), "near-links")
+    local = stored(_verified(_texts(dealt.select("leader", "chunk", "node").join(ids.hint("merge"), "node"), docs), ["leader", "chunk"], idf), "near-links")
 
     # groups of several chunks: what isn't with the leader meets all that may be its partner
-    several = local.join(sizes.filter("chunks > 1").select("leader"), "leader")
+    several = local.join(sizes.filter("chunks > 1").select("leader").hint("merge"), "leader")
     apart = stored(several.filter("NOT with_leader").groupBy("leader").agg(F.min("from_leader").alias("nearest")), "near-apart")
-    rest = several.join(apart, "leader").filter(~F.col("with_leader") | (F.col("from_leader") >= F.col("nearest") - (1 - SIMILARITY + 1e-6)))
+    rest = several.join(apart.hint("merge"), "leader").filter(~F.col("with_leader") | (F.col("from_leader") >= F.col("nearest") - (1 - SIMILARITY + 1e-6)))
     rest = rest.select("leader", "node").distinct()
     counts = rest.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("blocks"))
-    rest = stored(rest.join(counts, "leader").select("leader", "node", "blocks", F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("blocks")).cast("int").alias("own")), "near-rest")
+    rest = stored(rest.join(counts.hint("merge"), "leader").select("leader", "node", "blocks", F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("blocks")).cast("int").alias("own")), "near-rest")
     edges = local.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not rest.isEmpty():
         pairs = rest.select("leader", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             "leader", "node", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-        more = stored(_verified(_texts(pairs.join(ids, "node"), docs), ["leader", "one", "two"], idf), "near-links")
+        more = stored(_verified(_texts(pairs.join(ids.hint("merge"), "node"), docs), ["leader", "one", "two"], idf), "near-links")
         edges = edges.unionByName(more.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     labels = components(edges)
-    placed = nodes.join(labels, "node", "left").select("words_key", F.coalesce("label", "node").alias("class"))
-    out = stored(rows.select("doc_id", "text_key", "words_key").join(stored(placed, "near-placed"), "words_key").select(
+    placed = nodes.join(labels.hint("merge"), "node", "left").select("words_key", F.coalesce("label", "node").alias("class"))
+    out = stored(rows.select("doc_id", "text_key", "words_key").join(stored(placed, "near-placed").hint("merge"), "words_key").select(
         "doc_id", "text_key", "class", F.monotonically_increasing_id().alias("_row")), "near-classes")
     classes = stored(out.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-class")
-    out = stored(out.join(classes, "class"), "near-out")
+    out = stored(out.join(classes.hint("merge"), "class"), "near-out")
     stays = out.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("_row").alias("_row"))
-    return out.join(stays.select("_row", F.lit(True).alias("_stays")), "_row", "left").select(
+    return out.join(stays.select("_row", F.lit(True).alias("_stays")).hint("merge"), "_row", "left").select(
         "doc_id", "text_key", "class_id", "class_size", F.coalesce("_stays", F.lit(False)).alias("kept"))
 
 
