@@ -100,6 +100,15 @@ def point(s: np.ndarray) -> np.ndarray:
     return np.bincount(((s >> _U(20)) & _U(g - 1)).astype(np.int64), minlength=g).astype(np.int32)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """A point as its smallest counts allow: one, two or four bytes a group."""
+    return p.astype(next(k for k in ("u1", "<u2", "<u4") if p.max() <= np.iinfo(k).max)).tobytes()
+
+
+def unpacked(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, {1: "u1", 2: "<u2", 4: "<u4"}[len(b) // groups_for(n)]).astype(np.int32)
+
+
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
     return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.int32)
 
@@ -223,7 +232,7 @@ def described(docs: DataFrame, frequent) -> DataFrame:
                 one, two = routing(s, late) if new else (None, None)
                 first.append(one.view(np.int64) if new else None)
                 rest.append(two.view(np.int64) if new else None)
-                points.append(point(s).tobytes() if new else None)
+                points.append(packed(point(s)) if new else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
                  pa.array(first, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64())), pa.array(points, pa.binary())],
@@ -285,7 +294,7 @@ def near_leader(members: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
 
     def near(g: dict) -> list[tuple]:
         order = np.argsort(g["node"] != g["leader"], kind="stable")
-        found = near_first([np.frombuffer(g["point"][i], np.int32) for i in order], g["n"][order])
+        found = near_first([unpacked(g["point"][i], g["n"][i]) for i in order], g["n"][order])
         return [(g["leader"][0], g["node"][order[i]]) for i in found]
 
     return by_group(met, ["leader", "chunk"], near, "a long, b long")
@@ -323,8 +332,8 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def blocks_met(rest: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
     """(one, two, block, label, node, n, point): blocks that have to meet. A group that fits is one block;
-    else blocks hold nodes of one class of sizes, and of one component where that is large."""
-    r = rest.join(points.hint("merge"), "node")
+    else blocks hold nodes of one class of sizes, and of one component where that is large. Points come last."""
+    r = rest.join(points.select("node", "n").hint("merge"), "node")
     sizes = rest.groupBy("leader").agg(F.count(F.lit(1)).alias("_size"))
     sides = rest.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("_same"))
     large = F.col("_size") > chunk
@@ -332,7 +341,7 @@ def blocks_met(rest: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
     r = r.withColumn("band", F.when(large, F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)).otherwise(0))
     r = r.withColumn("side", F.when(large & (F.col("_same") > chunk // 2), F.col("label"))).withColumn("_sided", F.col("side").isNotNull())
     key = ["leader", "_sided", "side", "band"]
-    r = stored(r.select(*key, "node", "label", "n", "point"), "tree-rest")
+    r = stored(r.select(*key, "node", "label"), "tree-rest")
     parts = r.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
     blocks = stored(parts.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts").withColumn(
         "block", F.monotonically_increasing_id()), "tree-blocks")
@@ -345,10 +354,10 @@ def blocks_met(rest: DataFrame, points: DataFrame, chunk: int) -> DataFrame:
     at = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     inside = [r[k].eqNullSafe(blocks[k]) for k in key]
     cond = inside[0] & inside[1] & inside[2] & inside[3] & (blocks["part"] == at)
-    placed = stored(r.join(blocks.hint("merge"), cond).select("block", "node", "label", "n", "point"), "tree-placed")
+    placed = stored(r.join(blocks.hint("merge"), cond).select("block", "node", "label"), "tree-placed")
     first = pairs.withColumn("block", F.col("one"))
     second = pairs.filter("one <> two").withColumn("block", F.col("two"))
-    return first.unionByName(second).join(placed.hint("merge"), "block").select("one", "two", "block", "label", "node", "n", "point")
+    return first.unionByName(second).join(placed.hint("merge"), "block").join(points.hint("merge"), "node").select("one", "two", "block", "label", "node", "n", "point")
 
 
 def tree_search(met: DataFrame, partners: int) -> DataFrame:
@@ -358,7 +367,7 @@ def tree_search(met: DataFrame, partners: int) -> DataFrame:
     def search(g: dict) -> list[tuple]:
         node, block, apart = g["node"].tolist(), g["block"], g["one"][0] != g["two"][0]
         met_so_far, found, waits = [0] * len(node), [], False
-        for i, j in candidates([np.frombuffer(p, np.int32) for p in g["point"]], g["n"], g["label"]):
+        for i, j in candidates([unpacked(p, n) for p, n in zip(g["point"], g["n"])], g["n"], g["label"]):
             if apart and block[i] == block[j]:
                 continue
             if met_so_far[i] >= partners and met_so_far[j] >= partners:

@@ -197,6 +197,7 @@ def test_bound_and_routing_lose_no_link():
         if not len(b) or not count_tree.links(a, b):
             continue
         met += 1
+        assert (count_tree.unpacked(count_tree.packed(count_tree.point(a)), len(a)) == count_tree.point(a)).all()
         assert set(np.concatenate(count_tree.routing(a, late))) & set(np.concatenate(count_tree.routing(b, late)))
         assert count_tree.near_first([count_tree.point(a), count_tree.point(b)], np.array([len(a), len(b)])) == [1]
         found = list(count_tree.candidates([count_tree.point(a), count_tree.point(b)], np.array([len(a), len(b)]), np.array([0, 1])))
