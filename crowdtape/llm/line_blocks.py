@@ -44,10 +44,15 @@ ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsen
 consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promos
 promotion related replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
 
+#: What stands in a tag after its name. An unclosed tag ends at the next "<", so a page full of them is still
+#: read in linear time; quoted values may hold "<" up to these bounds.
+_QUOTED_MOST, _QUOTED_TIMES = 4000, 4
+_PLAIN_ATTRS = r"(?>\"[^\"<]*+\"|'[^'<]*+'|[^'\"<>])*+"
+_ATTRS = rf"{_PLAIN_ATTRS}(?>(?:\"[^\"]{{0,{_QUOTED_MOST}}}+\"|'[^']{{0,{_QUOTED_MOST}}}+'){_PLAIN_ATTRS}){{0,{_QUOTED_TIMES}}}+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
+    rf"|<(?P<raw>{RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>{_ATTRS})>|<[!?][^<>]*+>", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[a-z]+")

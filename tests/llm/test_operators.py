@@ -458,6 +458,20 @@ def test_pages_of_other_shapes(spark):
     assert line_blocks.extracted(df.limit(0)).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    """Unclosed tags and quotes: four times the page takes about four times as long."""
+    import time
+
+    for unit in ("<div class='a ", "<a ", "<!", '<div title="x<y ', "<script", "<p title='<"):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            line_blocks.main_text(unit * n + ">")
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.2
+    assert line_blocks.main_text('<article><p title="a < b > c">One.</p><p data-x=\'<b>x</b>\'>Two.</p></article>') == "One.\nTwo."
+
+
 def test_light_parts_of_the_container_stay():
     ad = "<ul class='related'><li>a<li>b<li>c</ul>"
     p = lambda c, n: f"<p>{c * n}</p>"
