@@ -5,7 +5,8 @@ document whose text a document with a smaller id has, anywhere in the table. Fil
 micro-batches that run until all that is there is done. State per text (its SHA-256) holds the smallest id
 seen so far and what the rows with that id counted as. A smaller id that arrives later takes the earlier
 mask back from the counters of its part and adds it again with the fifth filter failed, so the counters are
-right after every batch, in whatever order files arrive. A later run with the same folders goes on with
+right after every batch, in whatever order files arrive. (Texts share a state by their digests, some 64 in
+each, to save calls to the store.) A later run with the same folders goes on with
 files that came since.
 
 From the counters (part, mask, labels) follow all orders of the filters: what each step keeps and removes,
@@ -43,6 +44,7 @@ from .common import new_path, query, read, stored, words
 FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 BATCHES = 4
+TEXTS = 64
 COUNTERS = "part string, mask int, good int, toxic int, n long"
 _COMBINED = "key binary, part string, mask int, good int, toxic int, lo long, n_lo long, n_rest long"
 
@@ -77,35 +79,39 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class MinimumIds(StatefulProcessor):
-    """Per text the smallest id so far and the counters of the rows that have it."""
+    """For every text the smallest id so far and the counters of the rows that have it. A state holds the
+    texts of one slot of digests, so that a call to the store serves several."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.least = handle.getValueState("least", "lo long, held string")
+        self.least = handle.getValueState("least", "texts string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         change: dict[tuple, int] = defaultdict(int)
-        before = self.least.get() if self.least.exists() else None
-        lo, held = (before[0], {tuple(k): n for k, n in json.loads(before[1])}) if before else (None, {})
-        dirty, copy = False, BIT["E"]
+        before, dirty, copy = self.least.get(), False, BIT["E"]
+        texts = {t: (lo, {tuple(k): n for k, n in held}) for t, lo, held in json.loads(before[0])} if before else {}
         for r in rows:
             place = (r.part, r.mask, r.good, r.toxic)
             if r.lo is None:
                 change[place] += r.n_lo
                 continue
+            as_copy = (r.part, r.mask | copy, r.good, r.toxic)
             if r.n_rest:
-                change[(r.part, r.mask | copy, r.good, r.toxic)] += r.n_rest
+                change[as_copy] += r.n_rest
+            text = r.key.hex()
+            lo, held = texts.get(text, (None, {}))
             if lo is not None and r.lo > lo:
-                change[(r.part, r.mask | copy, r.good, r.toxic)] += r.n_lo
+                change[as_copy] += r.n_lo
                 continue
             if lo is None or r.lo < lo:  # what held the smallest id is a copy from now on
                 for (part, mask, good, toxic), n in held.items():
                     change[(part, mask, good, toxic)] -= n
                     change[(part, mask | copy, good, toxic)] += n
-                lo, held = r.lo, {}
-            held[place], dirty = held.get(place, 0) + r.n_lo, True
+                held = {}
+            held[place] = held.get(place, 0) + r.n_lo
+            texts[text], dirty = (r.lo, held), True
             change[place] += r.n_lo
         if dirty:
-            self.least.update((lo, json.dumps([[list(k), n] for k, n in held.items()])))
+            self.least.update((json.dumps([[t, lo, [[list(k), n] for k, n in held.items()]] for t, (lo, held) in texts.items()]),))
         for (part, mask, good, toxic), n in change.items():
             if n:
                 yield Row(part=part, mask=mask, good=good, toxic=toxic, n=n)
@@ -136,10 +142,21 @@ def _pattern(path: str) -> str:
     return re.sub(r"(\w)(/*)$", r"[\1]\2", path)
 
 
+def _slots(source: DataFrame, path: str) -> int:
+    """How many states the texts are dealt to: about ``TEXTS`` each when a checkpoint begins, the same ever after."""
+    spark = source.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        rows = source.count()  # from the files' footers
+        spark.createDataFrame([(max(1, rows // TEXTS),)], "slots long").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first().slots
+
+
 def count_files(spark: SparkSession, path: str, labels: DataFrame, counters: str, checkpoint: str, batches: int = BATCHES) -> None:
     """Process the Parquet files under ``path`` that ``checkpoint`` has not seen, in about ``batches``
     micro-batches, and add their changes to the ``counters`` folder."""
     source = spark.read.parquet(path)
+    slots = _slots(source, f"{checkpoint}-slots")
     flags = stored(label_flags(labels), "audit-labels")
     per_batch = max(1, math.ceil(len(source.inputFiles()) / batches))
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", per_batch).parquet(_pattern(path))
@@ -150,7 +167,8 @@ def count_files(spark: SparkSession, path: str, labels: DataFrame, counters: str
         change.write.mode("overwrite").parquet(f"{counters}/batch={batch_id}")
 
     with streaming_state(spark):
-        changes = merged.groupBy("key").transformWithState(MinimumIds(), COUNTERS, "Update", "None")
+        slot = F.pmod(F.xxhash64("key"), F.lit(slots))
+        changes = merged.withColumn("slot", slot).groupBy("slot").transformWithState(MinimumIds(), COUNTERS, "Update", "None")
         run = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
         run.awaitTermination()
 
