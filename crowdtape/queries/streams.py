@@ -9,7 +9,9 @@ from ..session import prepare
 from ..streaming import ingest as G
 from ..streaming import retries as R
 from ..streaming import scores as SC
+from ..streaming import trades as TR
 from . import fixtures as X
+from .council import DURATIONS, FIT, durations
 from .market import r4, r8, sql
 from .registry import query
 from .sentiment import REQ, SCORED
@@ -153,13 +155,11 @@ def t07_chain(spark, sf):
     return told.join(scores.select("post_id", "interest_score"), "post_id", "left").join(waiting, "post_id", "left").select("post_id", "ticker", "delta", "interest_score", "mode")
 
 
-@query("t10_duration_state_stream", "T10 A22", sql("""
-    SELECT round(regr_slope(d, x),4) AS token_slope, round(regr_intercept(d, x),4) AS intercept, count(*) AS n FROM (
-      SELECT n_chars / 4.0::DOUBLE AS x, 3.0::DOUBLE + 0.5 * (n_chars / 4.0) + (doc_id % 5) AS d FROM documents)"""))
+@query("t10_duration_state_stream", "T10 A22", sql(f"""
+    WITH f AS (SELECT {FIT} FROM ({DURATIONS})), b AS (SELECT *, (sxd * szz - szd * sxz) / (sxx * szz - sxz * sxz) AS b1, (szd * sxx - sxd * sxz) / (sxx * szz - sxz * sxz) AS b2 FROM f)
+    SELECT round(b1, 4) AS token_slope, round(b2, 4) AS summary_slope, round(md - b1 * mx - b2 * mz, 4) AS intercept, n FROM b"""))
 def t10(spark, sf):
-    d = stream(spark, sf, "documents")
-    x = F.col("n_chars") / 4.0
-    rows = d.select(x.alias("article_tokens"), F.lit(0.0).alias("summary_tokens"), (3.0 + 0.5 * x + (F.col("doc_id") % 5)).alias("duration"))
+    rows = durations(stream(spark, sf, "documents"))
     out = G.scratch(spark, "state")
 
     def each(batch, batch_id):  # one mergeable state row per batch
@@ -167,7 +167,7 @@ def t10(spark, sf):
 
     G.drain(rows, G.scratch(spark, "ck"), each=each)
     m = TM.duration_model(TM.merge_states(spark.read.parquet(out)))
-    return m.select(F.round("article_coefficient", 4).alias("token_slope"), F.round("intercept", 4).alias("intercept"), "n")
+    return m.select(F.round("article_coefficient", 4).alias("token_slope"), F.round("summary_coefficient", 4).alias("summary_slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 
 LATE = "epoch_us(as_of) < (SELECT max(epoch_us(ts)) FROM deltas) - 3600000000"
@@ -291,3 +291,25 @@ def t06_closed(spark, sf):
     bursts, out = G.sliding_bursts(delta_stream(spark, sf)), G.scratch(spark, "bursts")
     G.drain(bursts, G.scratch(spark, "ck"), path=out)
     return spark.read.schema(bursts.schema).parquet(out)
+
+
+@query("c10_trade_log_stream", "C10", sql("""
+    WITH e AS (SELECT 'reddit-' || user_id || '-' || event_id % 5 AS trade_id, CASE WHEN event_type = 'error' THEN 'CLOSE' ELSE 'PLACED' END AS kind, date_trunc('milliseconds', ts) AS t, event_id
+      FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
+    k AS (SELECT *, (SELECT max(t) - INTERVAL 1 HOUR FROM e) AS mark FROM e),
+    p AS (SELECT trade_id, 'PLACED' AS event_type, t AS "at", event_id FROM k WHERE kind = 'PLACED' AND t < mark QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY t, event_id) = 1),
+    c AS (SELECT k.trade_id, 'CLOSE' AS event_type, k.t AS "at", k.event_id FROM k JOIN p ON p.trade_id = k.trade_id AND k.t >= p."at" WHERE kind = 'CLOSE' AND t < mark
+      QUALIFY row_number() OVER (PARTITION BY k.trade_id ORDER BY k.t, k.event_id) = 1)
+    SELECT * FROM p UNION ALL SELECT * FROM c"""))
+def c10_stream(spark, sf):
+    """Every event comes twice and up to half an hour late, in three slices with a restart between them."""
+    prepare(spark)
+    e = X.table(spark, sf, "events").filter(F.col("event_type").isin("purchase", "signup", "error"))
+    e = e.select(F.concat(F.lit("reddit-"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("trade_id"),
+                 F.when(F.col("event_type") == "error", "CLOSE").otherwise("PLACED").alias("event_type"), F.date_trunc("millisecond", "ts").alias("at"), "event_id",
+                 F.col("props").alias("payload"), F.explode(F.array(F.lit(7), F.lit(19))).alias("delay"))
+    rows, ck, out = (G.scratch(spark, n) for n in ("arrived", "ck", "trades"))
+    for arrive in arrivals(e, F.unix_micros("at") + (F.col("event_id") * F.col("delay") % 30) * 60_000_000):
+        arrive(rows)
+        TR.run(G.file_stream(spark, rows, e.schema), ck, out)
+    return spark.read.parquet(out).select("trade_id", "event_type", "at", "event_id")
