@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tickers as TK
 from ..sources import bars as B
+from ..sources import delta_log as DL
 from ..sources import store as ST
 from ..streaming.ingest import scratch
 from . import fixtures as X
@@ -17,7 +18,8 @@ from .registry import query
 def s01_file(spark, sf):
     path = scratch(spark, "raw-log")
     rows = ST.canonical_row(X.posts(spark, sf))
-    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    # one file, so that its records have to be found across ranges
+    rows.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     df = ST.read_raw_posts(spark, path, ST.RAW_COLUMNS)
     return df.select("post_id", "source", F.md5("text").alias("text_md5"), F.md5("title").alias("title_md5"), "ts")
 
@@ -116,11 +118,24 @@ def s11_missing(spark, sf):
 def s12(spark, sf):
     path = scratch(spark, "deltas")
     d = X.deltas(spark, sf).select("ticker", "delta_id", "ts")
-    half = F.col("delta_id") % 2 == 0
-    # one task per ticker and writes that only add: a ticker's rows lie together in each file
-    for part in (d.filter(half), d.filter(~half)):
-        ST.append_rows(part.repartitionByRange("ticker", "ts").sortWithinPartitions("ticker", "ts"), path)
-    return spark.read.parquet(path)
+    # four arrivals, the log compacted after the third
+    for k in range(4):
+        DL.append(d.filter(F.pmod("delta_id", F.lit(4)) == k), path)
+        if k == 2:
+            DL.compact(spark, path)
+    return DL.read(spark, path)
+
+
+@query("s12_one_ticker", "S12 J18", sql("""
+    SELECT ticker, delta_id, ts FROM deltas WHERE ticker = 'U7' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20'"""))
+def s12_one(spark, sf):
+    """A ticker's look-back from the compacted log: few of its files are opened."""
+    path = scratch(spark, "deltas")
+    d = X.deltas(spark, sf).select("ticker", "delta_id", "ts")
+    for k in range(2):
+        DL.append(d.filter(F.pmod("delta_id", F.lit(2)) == k), path)
+    DL.compact(spark, path, target_bytes=16 << 10)
+    return DL.read(spark, path, ["U7"], F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
 
 
 @query("s14_stage_history_file", "S14", sql("""

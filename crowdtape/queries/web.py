@@ -57,3 +57,34 @@ def s18(spark, sf):
 def p22(spark, sf):
     p = X.table(spark, sf, "pages")
     return p.groupBy(T.domain(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.bool_and(T.fulltext_allowed(F.col("url"))).alias("allowed"))
+
+
+def pages_with_data(spark, sf):
+    """A page per document whose text stands in structured data, in embedded state, or in both."""
+    d = X.table(spark, sf, "documents").select("doc_id", "text")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("NewsArticle", "Report", "Person")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    node = F.struct(kind.alias("@type"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("articleBody"), F.when(F.col("doc_id") % 2 == 1, F.col("text")).alias("description"))
+    ld = F.when(F.col("doc_id") % 5 == 0, F.to_json(F.struct(F.array(node).alias("@graph")))).when(F.col("doc_id") % 5 == 1, F.to_json(F.array(node))).otherwise(F.to_json(node))
+    state = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("short").alias("text"), F.struct(F.col("text").alias("Body"), F.lit("Twice told.").alias("html")).alias("node")),
+                                                F.struct(F.lit("short").alias("text"), F.struct(F.lit("x").alias("Body"), F.lit("Twice told.").alias("html")).alias("node"))).alias("items")).alias("props")))
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">{bad</script><script type="application/ld+json">'), ld,
+                    F.lit('</script><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script></head><body></body></html>"))
+    return d.select(F.col("doc_id").alias("page_id"), F.lit("https://e.example.com/").alias("url"), html.alias("html"))
+
+
+BODY = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+PROSE = "trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("hx2_structured_bodies", "H-X2", sql(f"""
+    SELECT doc_id AS page_id, CASE WHEN doc_id % 3 <> 2 AND length({BODY}) > 150 THEN md5({BODY}) ELSE md5('') END AS body FROM documents"""))
+def hx2(spark, sf):
+    out = A.parse_pages(pages_with_data(spark, sf))
+    return out.select("page_id", F.md5(F.element_at("candidates", 2)).alias("body"))
+
+
+@query("hx6_state_prose", "H-X6", sql(f"""
+    SELECT doc_id AS page_id, md5(CASE WHEN length({PROSE}) >= 40 OR regexp_matches({PROSE}, '[.!?](\\s|$)') THEN {PROSE} || chr(10) || chr(10) ELSE '' END || 'Twice told.') AS prose FROM documents"""))
+def hx6(spark, sf):
+    out = A.parse_pages(pages_with_data(spark, sf))
+    return out.select("page_id", F.md5(F.element_at("candidates", 3)).alias("prose"))

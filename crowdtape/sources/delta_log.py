@@ -60,7 +60,8 @@ def append(df: DataFrame, path: str) -> int:
 
 def compact(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> int:
     """Rewrite files of less than half the target, clustered; returns the new version. Files that are large
-    enough stay as they are; what replaced ones held is found in the older versions until ``vacuum``."""
+    enough stay as they are, and with them the ranges they have. Replaced files are found in the older versions
+    until ``vacuum``."""
     now = manifest(spark, path)
     small = now.filter(F.col("bytes") < target_bytes // 2)
     total = small.agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.posts import PRESERVED_STAGES
+from .split_csv import read_csv
 
 # fixed values: the canonical columns of a raw post row
 RAW_COLUMNS = [
@@ -29,11 +30,9 @@ def blank_to_null(c: Column) -> Column:
 
 
 def read_raw_posts(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """All-string CSV with header; nulls become "", ``ts`` is the UTC time or NULL."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    if columns:
-        reader = reader.schema(all_strings(columns))
-    df = reader.csv(path)
+    """All-string CSV with header; nulls become "", ``ts`` is the UTC time or NULL. A file is read by as
+    many tasks as it has ranges, line ends inside quotes included."""
+    df = read_csv(spark, path, columns)
     missing = [c for c in REQUIRED_RAW if c not in df.columns]
     if missing:
         raise ValueError(f"raw post log lacks columns {missing}")
