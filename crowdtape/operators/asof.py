@@ -11,6 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import running
+
+
+def depth_buckets(frames: Sequence[DataFrame], on: Sequence[str], depth: int, grid: str = "minute") -> DataFrame:
+    """(key, _g, _b): buckets of about ``depth`` rows over the timeline of every key, however its rows lie.
+
+    ``frames`` have the key and ``_t``. Rows are counted per (key, grid cell), a mergeable histogram; a
+    cell's bucket is its key's running count over the depth. Running counts go day by day plus what the days
+    before add up to, so no task sees a whole key.
+    """
+    cells = frames[0].select(*on, F.date_trunc(grid, "_t").alias("_g"))
+    for f in frames[1:]:
+        cells = cells.unionByName(f.select(*on, F.date_trunc(grid, "_t").alias("_g")))
+    cells = cells.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(cells, list(on), F.date_trunc("day", F.col("_g")), ["_g"], {"_sum": ("sum", F.col("_n"))})
+    return placed.select(*on, "_g", F.floor((F.col("_sum") - F.col("_n")) / depth).alias("_b"))
+
 
 def asof_join(
     left: DataFrame,
@@ -23,7 +40,7 @@ def asof_join(
     direction: str = "backward",
     strict: bool = False,
     tolerance: Column | None = None,
-    bucket: str = "month",
+    bucket: str | int = "month",
     name: str = "asof",
 ) -> DataFrame:
     """Attach to each left row the nearest right row at or before (``backward``) or at or
@@ -32,7 +49,9 @@ def asof_join(
     Distinct (key, time) probes and the right rows are unioned and swept once per (key, bucket).
     What a bucket inherits from its neighbours is one row per bucket, reduced on the map side.
     ``tolerance`` (an interval Column) voids matches farther away than it.  Right rows must be
-    unique per (key, time).
+    unique per (key, time).  ``bucket`` is a unit of time, or a number of rows: then the buckets of a key
+    hold about that many of its rows and probes (``depth_buckets``), which suits keys with a large share of
+    all rows and uneven times.
     """
     on = list(on)
     back = direction == "backward"
@@ -42,12 +61,14 @@ def asof_join(
 
     rows = right.select(
         *on, F.col(right_ts).alias("_t"), F.struct(*cols).alias("_v"),
-        F.date_trunc(bucket, F.col(right_ts)).alias("_b"),
-    )
-    probes = (
-        left.select(*on, F.col(left_ts).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
-        .withColumn("_b", F.date_trunc(bucket, F.col("_t")))
     )
+    probes = left.select(*on, F.col(left_ts).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
+    if isinstance(bucket, int):
+        rows = rows.filter(F.col("_t").isNotNull())
+        cells = depth_buckets([rows, probes], on, bucket)
+        rows, probes = (df.withColumn("_g", F.date_trunc("minute", "_t")).join(cells, [*on, "_g"]).drop("_g") for df in (rows, probes))
+    else:
+        rows, probes = (df.withColumn("_b", F.date_trunc(bucket, F.col("_t"))) for df in (rows, probes))
     pick = F.max_by if back else F.min_by
     edge = rows.groupBy(*on, "_b").agg(pick("_v", "_t").alias("_edge"))
     asked = probes.select(*on, "_b").distinct().withColumn("_asked", F.lit(True))

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from . import evidence as E
 
 SEGMENT = 4 << 20
 BATCH = 4096
 FILE_OPTIONS = {"parquet.writer.version": "v2", "parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false", "compression": "zstd"}
+_FOUND = "set_id string, claim_id string, post_id string, score double, named boolean, url string, ordinal long"
 _SEGMENT = ("slot date, part int, n int, vocabulary string, starts array<int>, members array<int>, post_id array<string>, "
             "at array<long>, url array<string>, ordinal array<long>")
 
@@ -103,10 +104,10 @@ class _Vocabulary:
 
 
 def _search(claims: list, k: int | None, need_name: bool):
-    """A pass over segments; ``claims`` are (set_id, claim_id, lo, hi, terms, names)."""
+    """A pass over segments; ``claims`` are (set_id, claim_id, lo, hi, terms, names, weights of the terms)."""
     terms = sorted({t for c in claims for t in (*c[4], *c[5])})
     place = {t: i for i, t in enumerate(terms)}
-    asked = [([place[t] for t in c[4]], [place[t] for t in c[5]]) for c in claims]
+    asked = [([(place[t], w) for t, w in zip(c[4], c[6])], [place[t] for t in c[5]]) for c in claims]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +118,11 @@ def _search(claims: list, k: int | None, need_name: bool):
                 rows = [v.posts(t) for t in terms]
                 ids, url, ordinal = get("post_id").values, get("url").values, get("ordinal").values
                 for c, (ts, ns) in zip(claims, asked):
-                    have = [rows[t] for t in ts if rows[t] is not None]
+                    have = [rows[t] * w for t, w in ts if rows[t] is not None]
                     named = [rows[t] for t in ns if rows[t] is not None]
                     if not have or need_name and ns and not named:  # no post here can have a score
                         continue
-                    score = np.sum(have, 0, dtype=np.int32)
+                    score = np.sum(have, 0, dtype=np.float64)
                     has_name = np.any(named, 0) if named else np.full(n, not ns)
                     ok = score > 0
                     if need_name:
@@ -135,7 +136,7 @@ def _search(claims: list, k: int | None, need_name: bool):
                         take = pa.array(hit)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([c[0]] * len(hit), pa.string()), pa.array([c[1]] * len(hit), pa.string()), ids.take(take),
-                             pa.array(score[hit].astype(float)), pa.array(has_name[hit]), url.take(take), ordinal.take(take)],
+                             pa.array(score[hit]), pa.array(has_name[hit]), url.take(take), ordinal.take(take)],
                             names=["set_id", "claim_id", "post_id", "score", "named", "url", "ordinal"])
 
     return run
@@ -162,7 +163,6 @@ def _best(hit: np.ndarray, score: np.ndarray, ordinal, url, ids, k: int) -> np.n
 
 def _scored(index: DataFrame, claims: DataFrame, lookback_days: int | None, first_words: int | None, k: int | None, need_name: bool) -> DataFrame:
     """(set_id, claim_id, post_id, score, named, url, ordinal) by terms of one run."""
-    spark = index.sparkSession
     one_run = lambda a: F.filter(a, lambda t: F.size(F.regexp_extract_all(t, F.lit(E.RUN), F.lit(0))) == 1)
     plain = lambda a: one_run(F.filter(a, lambda t: ~t.rlike(r"\s")))
     c = claims.select("set_id", "claim_id", "as_of", E.claim_terms(first_words).alias("terms"), E.claim_aliases().alias("names"))
@@ -171,19 +171,26 @@ def _scored(index: DataFrame, claims: DataFrame, lookback_days: int | None, firs
     lo = hi - (lookback_days or 0) * 86_400_000_000
     c = c.drop("names").join(names, "set_id").select(
         "set_id", "claim_id", lo.alias("lo"), hi.alias("hi"), plain(F.col("terms")).alias("terms"), plain(F.col("names")).alias("names"), F.size("names").alias("n_names"))
-    total = c.count()
-    batches = max(1, -(-total // BATCH))
-    numbered = c if batches == 1 else c.withColumn("_b", F.pmod(F.xxhash64("set_id", "claim_id"), F.lit(batches))).checkpoint()
-    spark_schema = "set_id string, claim_id string, post_id string, score double, named boolean, url string, ordinal long"
+    # a set whose names all have several runs has none here, but isn't free of them
+    only_long = F.when((F.size("names") == 0) & (F.col("n_names") > 0), F.array(F.lit(" \n"))).otherwise(F.col("names"))
+    c = c.withColumns({"names": only_long, "weights": F.transform("terms", lambda t: F.lit(1.0))})
+    return _passes(index, c if lookback_days is not None else c.withColumn("lo", F.lit(None).cast("long")), k, need_name)
+
+
+def _passes(index: DataFrame, requests: DataFrame, k: int | None, need_name: bool) -> DataFrame:
+    """(set_id, claim_id, post_id, score, named, url, ordinal) of ``requests(set_id, claim_id, lo, hi, terms,
+    names, weights)``, in batches of about ``BATCH``; a pass opens the segments of its months."""
+    batches = max(1, -(-requests.count() // BATCH))
+    numbered = requests if batches == 1 else cut_lineage(requests.withColumn("_b", F.pmod(F.xxhash64("set_id", "claim_id"), F.lit(batches))))
     out = None
     for b in range(batches):
         mine = (numbered if batches == 1 else numbered.filter(F.col("_b") == b)).collect()  # about BATCH rows
-        rows = [(r.set_id, r.claim_id, None if lookback_days is None else r.lo, r.hi, list(r.terms), list(r.names) or ([" \n"] if r.n_names else [])) for r in mine]
+        rows = [(r.set_id, r.claim_id, r.lo, r.hi, list(r.terms), list(r.names), list(r.weights)) for r in mine]
         segments = index
-        if lookback_days is not None and rows:
-            segments = index.filter(F.col("slot").between(
-                F.trunc(F.timestamp_micros(F.lit(min(r[2] for r in rows))), "month"), F.timestamp_micros(F.lit(max(r[3] for r in rows))).cast("date")))
-        part = segments.mapInArrow(_search(rows, k, need_name), spark_schema)
+        if rows and all(r[2] is not None for r in rows):
+            since, until = (F.timestamp_micros(F.lit(x)) for x in (min(r[2] for r in rows), max(r[3] for r in rows)))
+            segments = index.filter(F.col("slot").between(F.trunc(since, "month"), until.cast("date")))
+        part = segments.mapInArrow(_search(rows, k, need_name), _FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -221,6 +228,24 @@ def evidence_scores(index: DataFrame, claims: DataFrame, posts: DataFrame | None
     return named.drop("named")
 
 
+def relevance_scan(index: DataFrame, requests: DataFrame, posts: DataFrame, *, before_days: int, after_days: int = 0, **options) -> DataFrame:
+    """J21/L5 from the index: the rows of ``evidence.relevance_scan``. Texts are read only for aliases and
+    keywords of several runs; of ``posts`` else the platform and time."""
+    terms = E.weighted_terms(requests)
+    long = (F.size(F.regexp_extract_all("term", F.lit(E.RUN), F.lit(0))) != 1) | F.col("term").rlike(r"\s")
+    at = F.unix_micros("at")
+    short = terms.filter(~long).groupBy("ref_id").agg(F.collect_list(F.struct("term", "w")).alias("t"))
+    asked = requests.join(short, "ref_id").select(
+        F.col("ref_id").alias("set_id"), F.lit("").alias("claim_id"), (at - before_days * 86_400_000_000).alias("lo"), (at + after_days * 86_400_000_000).alias("hi"),
+        F.col("t.term").alias("terms"), F.array().cast("array<string>").alias("names"), F.col("t.w").alias("weights"))
+    hits = _passes(index, asked, None, False).select(F.col("set_id").alias("ref_id"), "post_id", F.col("score").alias("hit_score"))
+    several = terms.filter(long)
+    if not several.isEmpty():
+        more = several.join(E.contained_terms(posts, several), "term").groupBy("ref_id", "post_id").agg(F.sum("w").alias("hit_score"))
+        hits = hits.unionByName(more).groupBy("ref_id", "post_id").agg(F.sum("hit_score").alias("hit_score"))
+    return E.relevance_scan(requests, posts, before_days=before_days, after_days=after_days, hits=hits, **options)
+
+
 def evidence_map(index: DataFrame, claims: DataFrame, posts: DataFrame, k: int = 3, lookback_days: int | None = 120) -> DataFrame:
     """L4/C4 from the index: (claim_id, post_id, url, score, rank): the claim's own post first, then the best
     posts, one per address. ``posts(post_id, body, at, url, ordinal)`` give the address of own posts."""

@@ -233,17 +233,31 @@ def des_scores(
     return score(window_sums(requests, deltas, days, burst_hours), channels)
 
 
+def live_members(moments: DataFrame, member: DataFrame, deltas: DataFrame, days: int) -> DataFrame:
+    """(ticker, as_of): the sector's members that have a delta on a day within ``days`` before the moment.
+
+    A delta enters on its day and leaves ``days`` later; a member's days of activity are merged before they
+    meet the moments of its sector, by an equality join on (sector, day). So a moment costs what is live at
+    it, not what the sector lists.
+    """
+    day = lambda c: F.unix_date(F.to_date(c))
+    active = own_deltas(deltas).select("ticker", day(F.col("ts")).alias("_from")).distinct()
+    active = active.join(member, "ticker").filter("sector is not null").select(
+        "sector", "ticker", F.explode(F.sequence(F.col("_from"), F.col("_from") + days)).alias("_day")).distinct()
+    return moments.withColumn("_day", day(F.col("as_of"))).join(active, ["sector", "_day"]).select("ticker", "as_of")
+
+
 def with_peers(requests: DataFrame, deltas: DataFrame, dim: DataFrame, days: int = 7,
                burst_hours: int = 6, channels=("all",)) -> DataFrame:
     """Also the mean DES of the ticker's sector peers at the same moment.
 
-    Each sector member is scored once per (sector, moment), shared by all requests there; a request's
-    peer mean is the sector's sum minus its own share.  Peers without deltas are left out.
+    Each sector member with deltas in reach is scored once per (sector, moment), shared by all requests
+    there; a request's peer mean is the sector's sum minus its own share.  Peers without deltas are left out.
     """
     member = dim.select(F.upper("symbol").alias("ticker"), F.lower("sector").alias("sector"))
     req = requests.select(F.upper("ticker").alias("ticker"), "as_of").distinct().join(member, "ticker", "left")
     moments = req.filter("sector is not null and sector <> ''").select("sector", "as_of").distinct()
-    probes = moments.join(member, "sector").select("ticker", "as_of")
+    probes = live_members(moments, member, deltas, days)
     scored = des_scores(probes.unionByName(req.select("ticker", "as_of")), deltas, days, burst_hours, channels)
     known = scored.join(member, "ticker", "left")
     live = F.col("n_deltas") > 0

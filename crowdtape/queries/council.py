@@ -153,10 +153,32 @@ def c12(spark, sf):
     return out.withColumn("plain", R.plain_english(out)).select("post_id", "ticker", "conviction", "risk_level", "plain")
 
 
-@query("c12_risk_levels", "C12 H-M1", sql(f"""
-    WITH p AS ({BASE}) SELECT post_id, CASE WHEN n % 7 <> 0 THEN 'high' ELSE 'high' END AS risk_level, CAST(100 AS BIGINT) AS conviction FROM p"""))
+@query("c12_risk_levels", "C12 H-M1", sql("""
+    WITH v AS (SELECT CAST(doc_id AS VARCHAR) AS post_id, CAST(doc_id AS BIGINT) AS n, CASE doc_id % 3 WHEN 0 THEN -25.0 WHEN 1 THEN -20.0 ELSE 3.5 END AS pct, doc_id % 7 - 3 AS hist, doc_id % 2 = 0 AS down FROM documents),
+    r AS (SELECT *, CASE WHEN pct <= -20 THEN 2 ELSE 0 END + CASE WHEN hist < 0 THEN 1 ELSE 0 END + CASE WHEN down THEN 1 ELSE 0 END AS risk FROM v)
+    SELECT post_id, CASE WHEN n % 11 = 0 THEN 'medium' WHEN risk >= 3 THEN 'high' WHEN risk = 2 THEN 'medium' ELSE 'low' END AS risk_level,
+      CASE WHEN n % 40 = 0 THEN 50 ELSE least(100, greatest(0, (n % 40) * 5 - 50)) END AS conviction, CASE WHEN n % 2 = 0 THEN 33 ELSE 50 END AS tradability, CASE WHEN n % 5 = 0 THEN 'up' ELSE 'neutral' END AS implied_direction,
+      round(CAST(pct AS DOUBLE), 2) AS pct, round(CAST(hist AS DOUBLE), 2) AS macd_hist, CASE WHEN down THEN 'down' ELSE 'up' END AS trend FROM r"""))
 def c12_risk(spark, sf):
-    return big(c12(spark, sf).select("post_id", "risk_level", "conviction"), "conviction")
+    """Every branch of the repair: values given, missing and out of range, and risk from what was measured."""
+    p, n = payload_columns(spark, sf), F.col("n")
+    pct = F.when(n % 3 == 0, "-25.0").when(n % 3 == 1, "-20.0").otherwise("3.5")
+    tool = lambda name, *cols: F.struct(F.struct(F.lit(name).alias("tool"), *cols).alias("result"))
+    results = F.to_json(F.struct(
+        F.array(F.to_json(tool("compute_indicators", F.struct((n % 7 - 3).alias("hist")).alias("macd"))), F.to_json(tool("trend_strength", F.when(n % 2 == 0, "Down").otherwise("up").alias("direction")))).alias("results"),
+        F.array(F.concat(F.lit("Price window close 12.5 ("), pct, F.lit("%)"))).alias("summary_lines")))
+    # the tools' results differ in their fields, so they are put together as text
+    results = F.regexp_replace(F.replace(F.replace(F.replace(results, F.lit('\\"'), F.lit('"')), F.lit('"{'), F.lit("{")), F.lit('}"'), F.lit("}")), "$", "")
+    technical = p.select("post_id", _sym(n).alias("ticker"), R.harvest_technical(PL.parse(results)).alias("technical"))
+    none = p.select("post_id", PL.parse(F.lit("{}")).alias("v"))
+    compact = R.verdict_input(council(spark, sf), technical, PL.best_sentiment(PL.sentiment_nodes(none, "post_id", "v"), "post_id")).withColumn("n", F.col("post_id").cast("long"))
+    said = F.to_json(F.struct(F.struct(
+        F.when(n % 11 == 0, "medium").alias("risk_level"), F.when(n % 40 != 0, n % 40 * 5 - 50).alias("conviction_0to100"),
+        F.when(n % 2 == 0, 33.7).alias("tradability_score_0to100"), F.when(n % 5 == 0, "up").alias("implied_direction")).alias("final_metrics")))
+    out = R.repaired_verdict(compact.withColumn("result", said))
+    t = F.col("technical")
+    return big(out.select("post_id", "risk_level", "conviction", "tradability", "implied_direction", t["price_window_close_pct"].alias("pct"),
+                          t["macd_hist"].alias("macd_hist"), t["trend_direction"].alias("trend")), "conviction", "tradability")
 
 
 def market_symbols(spark, sf):
@@ -188,14 +210,14 @@ def c02_errors(spark, sf):
 
 
 @query("c01_snapshots_as_of", "C1 J15 D10", sql("""
-    WITH q AS (SELECT DISTINCT s.symbol, CAST(date_trunc('year', s.ts) AS TIMESTAMP) AS as_of FROM signals s),
+    WITH q AS (SELECT DISTINCT s.symbol, CAST(s.ts AS TIMESTAMP) AS as_of FROM signals s),
     r AS (SELECT q.as_of, b.*, row_number() OVER (PARTITION BY q.symbol, q.as_of ORDER BY b.ts DESC) AS k FROM q JOIN bars b ON b.symbol = q.symbol AND b.ts <= q.as_of)
     SELECT symbol, as_of, max(ts) AS "asof", round(arg_max(close, ts),8) AS close, round(CASE WHEN count(*) FILTER (WHERE k <= 20) = 20 THEN avg(close) FILTER (WHERE k <= 20) END,4) AS sma20,
       round(CASE WHEN count(*) FILTER (WHERE k <= 50) = 50 THEN avg(close) FILTER (WHERE k <= 50) END,4) AS sma50 FROM r GROUP BY symbol, as_of"""))
 def c01_as_of(spark, sf):
     from .market import r8
 
-    req = X.signals(spark, sf).select("symbol", F.date_trunc("year", "ts").alias("as_of")).distinct()
+    req = X.signals(spark, sf).select("symbol", F.col("ts").alias("as_of")).distinct()
     out = S.snapshots_at(X.daily_bars(spark, sf), req)
     return r8(r4(out.select("symbol", "as_of", "asof", "close", "sma20", "sma50"), "sma20", "sma50"), "close")
 
@@ -218,7 +240,7 @@ def c01_series(spark, sf):
 
 @query("c13_research_bundles", "C13 H-S29 A29")
 def c13(spark, sf):
-    req = X.signals(spark, sf).groupBy("symbol").agg(F.max("ts").alias("as_of")).select(F.concat(F.lit("p"), "symbol").alias("post_id"), F.col("symbol").alias("ticker"), "as_of")
+    req = X.signals(spark, sf).select(F.col("signal_id").cast("string").alias("post_id"), F.col("symbol").alias("ticker"), F.col("ts").alias("as_of"))
     return R.research_bundle(req, X.daily_bars(spark, sf), X.deltas(spark, sf))
 
 
@@ -238,14 +260,34 @@ def c17_detail(spark, sf):
     return out.select("post_id", F.coalesce(F.size("stages"), F.lit(0)).cast("long").alias("n_stages")).withColumn("n_stages", F.greatest("n_stages", F.lit(0).cast("long")))
 
 
-@query("a22_duration_model", "A22 H-S24", sql("""
-    SELECT round(regr_slope(d, x),4) AS token_slope, round(regr_intercept(d, x),4) AS intercept, count(*) AS n FROM (
-      SELECT n_chars / 4.0::DOUBLE AS x, 3.0::DOUBLE + 0.5 * (n_chars / 4.0) + (doc_id % 5) AS d FROM documents)"""))
+#: Two counts that vary apart, and a duration of both: the fit solves the normal equations of sums.
+DURATIONS = "SELECT lang, doc_id, n_chars / 4.0::DOUBLE AS x, (doc_id % 37) * 3.0::DOUBLE AS z, 3.0::DOUBLE + 0.5 * (n_chars / 4.0) + 2.0 * ((doc_id % 37) * 3.0) + (doc_id % 5) AS d FROM documents"
+FIT = """count(*) AS n, regr_sxx(d, x) AS sxx, regr_sxx(d, z) AS szz, regr_sxy(x, z) AS sxz, regr_sxy(d, x) AS sxd, regr_sxy(d, z) AS szd, avg(x) AS mx, avg(z) AS mz, avg(d) AS md"""
+
+
+def durations(docs):
+    x, z = F.col("n_chars") / 4.0, (F.col("doc_id") % 37) * 3.0
+    return docs.select("lang", "doc_id", x.alias("article_tokens"), z.alias("summary_tokens"), (3.0 + 0.5 * x + 2.0 * z + (F.col("doc_id") % 5)).alias("duration"))
+
+
+@query("a22_duration_model", "A22 H-S24", sql(f"""
+    WITH f AS (SELECT {FIT} FROM ({DURATIONS})), b AS (SELECT *, (sxd * szz - szd * sxz) / (sxx * szz - sxz * sxz) AS b1, (szd * sxx - sxd * sxz) / (sxx * szz - sxz * sxz) AS b2 FROM f)
+    SELECT round(b1, 4) AS token_slope, round(b2, 4) AS summary_slope, round(md - b1 * mx - b2 * mz, 4) AS intercept, n FROM b"""))
 def a22(spark, sf):
     from ..operators.timing import duration_state, duration_model
 
-    d = X.table(spark, sf, "documents")
-    x = F.col("n_chars") / 4.0
-    df = d.select(x.alias("article_tokens"), F.lit(0.0).alias("summary_tokens"), (3.0 + 0.5 * x + (F.col("doc_id") % 5)).alias("duration"))
-    m = duration_model(duration_state(df))
-    return m.select(F.round("article_coefficient", 4).alias("token_slope"), F.round("intercept", 4).alias("intercept"), "n")
+    m = duration_model(duration_state(durations(X.table(spark, sf, "documents"))))
+    return m.select(F.round("article_coefficient", 4).alias("token_slope"), F.round("summary_coefficient", 4).alias("summary_slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@query("a22_predicted_durations", "A22", sql(f"""
+    WITH d AS ({DURATIONS}), f AS (SELECT lang, {FIT} FROM d GROUP BY lang),
+    b AS (SELECT *, (sxd * szz - szd * sxz) / (sxx * szz - sxz * sxz) AS b1, (szd * sxx - sxd * sxz) / (sxx * szz - sxz * sxz) AS b2 FROM f)
+    SELECT doc_id, round(md - b1 * mx - b2 * mz + b1 * x + b2 * z, 4) AS expected FROM d JOIN b USING (lang)"""))
+def a22_predicted(spark, sf):
+    """Each document's expected time by the model of its language."""
+    from ..operators.timing import duration_state, duration_model, predicted_duration
+
+    d = durations(X.table(spark, sf, "documents"))
+    both = d.join(duration_model(duration_state(d, ["lang"])), "lang")
+    return both.select("doc_id", F.round(predicted_duration(F.col("article_tokens"), F.col("summary_tokens")), 4).alias("expected"))

@@ -16,7 +16,7 @@ def _asof(spark, sf, **kw):
     s = X.signals(spark, sf)
     bars = X.daily_bars(spark, sf).select("symbol", "ts", "open", "close")
     bars = bars.withColumnRenamed("ts", "bar_ts")
-    out = A.asof_join(s, bars, ["symbol"], right_ts="bar_ts", bucket="year", **kw)
+    out = A.asof_join(s, bars, ["symbol"], right_ts="bar_ts", **{"bucket": "year", **kw})
     return r8(out.select("signal_id", "symbol", "ts", "asof.bar_ts", "asof.open", "asof.close"), "open", "close")
 
 
@@ -35,6 +35,12 @@ def j16(spark, sf):
     return _asof(spark, sf, direction="forward")
 
 
+@query("j15_asof_by_depth", "J15", _asof_sql(">="))
+def j15_depth(spark, sf):
+    """Buckets of 200 rows, wherever they lie."""
+    return _asof(spark, sf, bucket=200)
+
+
 @query("j16_asof_forward_strict", "J16", _asof_sql("<"))
 def j16_strict(spark, sf):
     return _asof(spark, sf, direction="forward", strict=True)

@@ -122,11 +122,12 @@ def p03(spark, sf):
 
 
 @query("p06_related_window", "P6", sql("""
-    WITH r AS (SELECT post_id AS ref_id, scraped_at AS at FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY scraped_at DESC, post_id DESC) AS rn FROM posts) WHERE rn = 1)
-    SELECT ref_id, post_id FROM r JOIN posts p ON p.scraped_at BETWEEN r.at - INTERVAL 3 DAY AND r.at + INTERVAL 1 DAY WHERE p.post_id <> ref_id"""))
+    WITH r AS (SELECT post_id AS ref_id, scraped_at AS t FROM posts)
+    SELECT ref_id, post_id FROM r JOIN posts p ON p.scraped_at BETWEEN r.t - INTERVAL 3 DAY AND r.t + INTERVAL 1 DAY WHERE p.post_id <> ref_id"""))
 def p06(spark, sf):
+    """Every post is a reference."""
     p = X.posts(spark, sf)
-    refs = p.groupBy("source").agg(F.max(F.struct("scraped_at", "post_id")).alias("m")).select("m.*")
+    refs = p.select("scraped_at", "post_id")
     return P.related_window(p.select("post_id", "scraped_at"), refs, before_days=3, after_days=1).select("ref_id", "post_id")
 
 

@@ -77,7 +77,7 @@ def j21(spark, sf):
                    F.array(F.lit("Thing"), F.lit("thing")).alias("aliases"), kw.alias("keywords"))
     platform = F.when(F.col("source") == "src1", "RSS").when(F.col("source") == "src2", "x").otherwise("blog")
     p = X.posts(spark, sf).select("post_id", F.col("text").alias("body"), platform.alias("platform"), F.col("posted_at").alias("at"))
-    out = E.relevance_scan(req, p, before_days=30, min_score=4.0, top=20)
+    out = P.relevance_scan(P.scratch_index(p), req, p, before_days=30, min_score=4.0, top=20)
     return out.select("ref_id", "post_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

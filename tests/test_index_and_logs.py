@@ -135,15 +135,15 @@ def test_moments_meet_live_members_only(spark):
 def test_one_ticker_opens_few_files(spark, tmp_path):
     """A third of all deltas is of one ticker; after compaction any ticker's days lie in a few files."""
     path = str(tmp_path / "log")
-    d = spark.range(6000).select(
+    d = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("T"), (F.col("id") % 50).cast("string"))).alias("ticker"),
         (F.lit(DAY).cast("timestamp") + F.make_dt_interval(hours=(F.col("id") % 700).cast("int"))).alias("ts"), "id")
     for k in range(6):
-        DL.append(d.filter(F.col("id") % 6 == k), path)
+        DL.append(d.filter(F.col("id") % 6 == k).repartition(8), path)
     before, rows = DL.manifest(spark, path).count(), sorted(r.id for r in DL.read(spark, path).collect())
-    assert rows == list(range(6000))
+    assert rows == list(range(30_000))
     old = DL.versions(spark, path)[-1]
-    assert DL.compact(spark, path, target_bytes=4 << 10) == old + 1
+    assert DL.compact(spark, path, target_bytes=16 << 10) == old + 1
     files = DL.manifest(spark, path).count()
     assert 8 < files < before and sorted(r.id for r in DL.read(spark, path).collect()) == rows
     one = DL.chosen(spark, path, ["T7"], F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-09").cast("timestamp"))
