@@ -101,7 +101,7 @@ def test_smaller_ids_take_masks_back(spark, tmp_path):
             _write(spark, rows, path)
         filter_audit.count_files(spark, path, labels, counters, state, batches=2)
         assert _masks(filter_audit.counts(spark, counters)) == plain_masks(seen, LABELS)
-    assert filter_audit.counts(spark, counters).count() < spark.read.parquet(counters).count()  # some were taken back
+    assert spark.read.parquet(counters).filter("n < 0").count() > 0  # some were taken back
 
 
 def test_audit_of_awkward_rows(spark, tmp_path):
