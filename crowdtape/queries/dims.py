@@ -114,6 +114,17 @@ def j08(spark, sf):
     return K.with_metadata(li, "t", X.tickers(spark, sf), ["sector", "industry"]).drop("t")
 
 
+@query("j11_mapped_vendor_symbols", "J11", sql("""
+    WITH m AS (SELECT 'T' || s_suppkey AS ticker, 'T' || s_suppkey || CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN '.L' WHEN 2 THEN '.SA' WHEN 3 THEN '.DE' ELSE '' END AS vendor, s_suppkey AS k FROM supplier)
+    SELECT ticker, CASE WHEN k % 3 <> 0 THEN vendor END AS vendor_symbol FROM m"""))
+def j11_mapped(spark, sf):
+    """The suffix comes from the first field that names a market; a mapping counts only where it has prices."""
+    market = F.element_at(F.array(*[F.lit(x) for x in ("NasdaqGS", "London Stock Exchange", "B3 São Paulo", "Frankfurt", "Atlantis")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    s = X.table(spark, sf, "supplier").select(F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), "s_suppkey", market.alias("market"))
+    m = s.withColumn("vendor", F.concat("ticker", K.vendor_suffix(F.lit(None).cast("string"), F.lit(" "), F.col("market"))))
+    return K.resolve_vendor_symbols(s.select("ticker"), m.select("ticker", "vendor"), m.filter("s_suppkey % 3 <> 0").select(F.col("vendor").alias("symbol")))
+
+
 @query("j11_vendor_symbols", "J11 S11", sql("""
     WITH r AS (SELECT DISTINCT 'S' || chr(CAST(65 + l_suppkey % 26 AS INTEGER)) AS ticker FROM lineitem), h AS (SELECT 'S' || chr(CAST(65 + s_suppkey % 13 AS INTEGER)) || '.L' AS symbol FROM supplier UNION SELECT 'S' || chr(CAST(65 + s_suppkey % 5 AS INTEGER)) FROM supplier)
     SELECT ticker, CASE WHEN ticker IN (SELECT symbol FROM h) THEN ticker WHEN ticker || '.L' IN (SELECT symbol FROM h) THEN ticker || '.L' END AS vendor_symbol FROM r"""))

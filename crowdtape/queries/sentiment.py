@@ -59,6 +59,17 @@ def a09(spark, sf):
     return r4(out, "des_raw", "des_sector", "des_idio", "confidence", "des_adj")
 
 
+@query("j18_recent_deltas", "J18", sql(f"""
+    WITH q AS ({REQ}) SELECT ticker, as_of, delta_id, rank FROM (
+      SELECT q.ticker, q.as_of, d.delta_id, row_number() OVER (PARTITION BY q.ticker, q.as_of ORDER BY d.ts DESC, d.delta_id DESC) AS rank
+      FROM q JOIN deltas d ON d.ticker = q.ticker AND d.ts <= q.as_of AND d.ts >= q.as_of - INTERVAL 3 DAY) WHERE rank <= 5"""))
+def j18(spark, sf):
+    from ..operators.evidence import recent_deltas
+
+    out = recent_deltas(requests(spark, sf), X.deltas(spark, sf), days=3, limit=5)
+    return big(out.select("ticker", "as_of", "delta_id", "rank"), "rank")
+
+
 @query("t06_sliding_scores", "T6", sql(f"""WITH {SCORED}
     SELECT ticker, as_of, channel, round(des_raw,4) AS des_raw, n_deltas, burst FROM des WHERE channel = 'all'"""))
 def t06(spark, sf):

@@ -94,6 +94,14 @@ def c03(spark, sf):
     return r4(E.novelty(p), "novelty").drop("at")
 
 
+@query("j19_prior_pairs", "J19 C3", sql("""
+    WITH s AS (SELECT source AS ticker, post_id, posted_at AS pat, row_number() OVER (PARTITION BY source ORDER BY posted_at, post_id) AS n FROM posts)
+    SELECT a.ticker, a.post_id, b.post_id AS prior_id FROM s a JOIN s b ON a.ticker = b.ticker AND b.n < a.n AND b.n >= a.n - 20 AND b.pat >= a.pat - INTERVAL 10 DAY"""))
+def j19(spark, sf):
+    p = X.posts(spark, sf).select(F.col("source").alias("ticker"), "post_id", F.col("posted_at").alias("at"))
+    return E.prior_pairs(p, days=10, keep=20).select("ticker", "post_id", "prior_id")
+
+
 @query("p19_context_filter", "P19 H-S21 U5 J9", sql("""
     WITH t AS (SELECT symbol, raw_name, sector, industry, asset_type FROM tickers),
     pt AS (SELECT post_id, 'P' || CAST(post_id AS BIGINT) AS symbol FROM posts),
