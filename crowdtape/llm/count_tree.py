@@ -8,7 +8,7 @@ document's set size and the smallest id that it reaches by links.
 Shingles are hashed into groups, and the counts per group are a point. No two sets share more than the sum
 of their points' coordinate minima, so R-trees over the points (boxes with the coordinate maxima and the
 totals of what is below) leave out subtree against subtree; pairs that the bound can't exclude are verified
-on the sets. The groups grow with the set (about eight shingles a group), else the bound would tell nothing
+on the sets. The groups grow with the set (about two shingles a group), else the bound would tell nothing
 of long texts; points of neighbouring classes meet by folding the finer one.
 
 One tree over everything would not help at scale: the boxes of its upper levels overlap whatever the
@@ -21,7 +21,7 @@ Work and bounds: equal sets are one node, so copies cost nothing more. First eac
 smallest set that it shares a shingle with: points whose bound reaches a link are verified on the texts, and
 what links is one component. Groups that still hold several components are searched by trees of points,
 block by block: at most ``CHUNK`` nodes of similar size a block, and no block meets one of its own component.
-A round lets each node through with its first few partners (eight times as many in the next), verifies
+A round lets each node through with its first few partners (64 times as many in the next), verifies
 those, and joins components; rounds go on until nothing had to wait, so no link is given up, and large
 groups settle without a list of all their pairs. Points hold a twelfth of a text's bytes; texts are fetched
 for candidates only, after a bit map of fixed size has left out most others.
@@ -49,7 +49,7 @@ from .near_copies import _mix, components, hashed, split_words
 SHINGLE = 5
 CHUNK = 512
 LEAF = 16
-PER_GROUP = 8
+PER_GROUP = 2
 LEAST_GROUPS = 16
 BUCKETS = 1 << 18
 FREQUENT = 4.0
@@ -428,7 +428,7 @@ def jaccard_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             labels = components(edges)
         if found.filter("waits = 1").isEmpty():
             break
-        partners *= 8
+        partners *= 64
 
     # equal sets are of one component; its smallest id is the component's
     least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
