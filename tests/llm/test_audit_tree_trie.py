@@ -34,7 +34,7 @@ LONG = " ".join(f"w{i}" for i in range(150))
 DOCS = [
     (40, LONG, "en"), (30, LONG, "de"), (30, LONG, "en"), (30, LONG, "en"), (35, LONG, None), (None, LONG, "en"), (None, LONG, "en"),
     (1, None, None), (2, "", "en"), (3, " \n", ""), (9, "same same " * 80, "en"), (8, "same same " * 80, "en"), (7, "same same " * 80, "fr"),
-    (11, "UPPER CASE " * 30, "en"), (12, LONG + " #tag", "en"), (5, LONG + " #tag", "en"), (13, "É" * 300, "en"), (14, LONG.upper(), "de"),
+    (11, "UPPER CASE " * 30, "en"), (12, LONG + " #tag", "en"), (5, LONG + " #tag", "de"), (13, "É" * 300, "en"), (14, LONG.upper(), "de"),
 ]
 LABELS = [(40, 1, 0), (30, 1, 1), (30, 0, 0), (9, None, 1), (8, 1, None), (None, 1, 1), (12, 2, 2), (99, 1, 1)]
 
