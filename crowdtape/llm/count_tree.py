@@ -21,7 +21,7 @@ Work and bounds: equal sets are one node, so copies cost nothing more. First eac
 smallest set that it shares a shingle with: points whose bound reaches a link are verified on the texts, and
 what links is one component. Groups that still hold several components are searched by trees of points,
 block by block: at most ``CHUNK`` nodes of similar size a block, and no block meets one of its own component.
-A round lets each node through with its first few partners (64 times as many in the next), verifies
+A round lets each node through with its first few partners (256 times as many in the next), verifies
 those, and joins components; rounds go on until nothing had to wait, so no link is given up, and large
 groups settle without a list of all their pairs. Points hold a twelfth of a text's bytes; texts are fetched
 for candidates only, after a bit map of fixed size has left out most others.
@@ -40,11 +40,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, query, read, stored
-from .near_copies import _mix, components, hashed, split_words
+from .near_copies import _mix, components, split_words
 
 SHINGLE = 5
 CHUNK = 512
@@ -54,17 +55,31 @@ LEAST_GROUPS = 16
 BUCKETS = 1 << 18
 FREQUENT = 4.0
 REMEMBERED = 200_000
-PARTNERS = 8
+PARTNERS = 3
 BITS = 1 << 25
 
 _U = np.uint64
 _PLACE = _mix(np.arange(101, 101 + SHINGLE, dtype=_U)) | _U(1)
 
 
+class _WordHashes(dict):
+    """64-bit hashes of words; what has been hashed is remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _WordHashes()
+
+
 # ---- sets, points and trees -------------------------------------------------------------------------
 def shingles(text: bytes | None) -> np.ndarray:
     """Hashes of the text's shingles, one per place."""
-    h = hashed(split_words(text))
+    ws = split_words(text)
+    h = np.fromiter(map(_hashes.__getitem__, ws), _U, len(ws))
     n = min(SHINGLE, len(h))
     if not n:
         return np.empty(0, _U)
@@ -428,7 +443,7 @@ def jaccard_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             labels = components(edges)
         if found.filter("waits = 1").isEmpty():
             break
-        partners *= 64
+        partners *= 256
 
     # equal sets are of one component; its smallest id is the component's
     least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
