@@ -29,8 +29,9 @@ def arrivals(df, arrived, slices=3):
 
 def stream(spark, sf, name):
     prepare(spark)
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    s = G.file_stream(spark, sf, schema, pattern=f"{name}.parquet")
+    # the table is a file or a folder of part files: a pattern matches both (a plain path must be a folder).
+    # All of it arrives at once, since the files of a table are in no order of time.
+    s = G.file_stream(spark, f"{sf}/{name}[.]parquet", spark.read.parquet(f"{sf}/{name}.parquet").schema, files_per_batch=None)
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 

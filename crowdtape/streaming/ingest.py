@@ -18,9 +18,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", pattern: str | None = None, files_per_batch: int = 64) -> DataFrame:
-    """Rows of newly arrived files; the checkpoint of the query that reads it is the cursor."""
-    r = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
+def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", pattern: str | None = None, files_per_batch: int | None = 64) -> DataFrame:
+    """Rows of newly arrived files; the checkpoint of the query that reads it is the cursor.  A batch
+    takes up to ``files_per_batch`` of them (None: all)."""
+    r = spark.readStream.schema(schema).format(fmt)
+    if files_per_batch:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     return r.load(folder)
