@@ -90,6 +90,7 @@ def _report(df, keys, trend_days, vol_days, vol_base, sr_days, boll_days, obv_da
     out = out.withColumn("rows", F.least(F.col("_n"), F.lit(vol_days + vol_base + 5)))
     out = I.grade_volatility(out, vol_days, vol_base, max(vol_days + vol_base // 2, 20)).withColumnRenamed("status", "vol_status")
     last = F.col("close")
+    out = out.withColumn("obv_slope", I.level(F.col("obv_slope"), F.col("obv_r2")))
     obv_ok = F.col("_n") >= max(obv_days // 2, 10)
     out = out.withColumns(
         {
@@ -164,6 +165,7 @@ def snapshot_series(
         {"r2": "trend_r2", "direction": "trend_direction", "strength": "trend_strength", "status": "trend_status"})
     df = df.withColumn("rows", F.least(F.col("_n"), F.lit(vol_days + vol_base + 5)))
     df = I.grade_volatility(df, vol_days, vol_base, max(vol_days + vol_base // 2, 20)).withColumnRenamed("status", "vol_status")
+    df = df.withColumn("obv_slope", I.level(F.col("obv_slope"), F.col("obv_r2")))
     obv_ok = F.col("_n") >= max(obv_days // 2, 10)
     df = df.withColumns(
         {
