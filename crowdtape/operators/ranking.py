@@ -41,13 +41,14 @@ def min_ranks(df: DataFrame, group: Sequence[str], values: dict[str, Column], id
     above = W.partitionBy(*group, "n").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
     start = counts.withColumn("_s", F.coalesce(F.sum("_k").over(above), F.lit(0))).drop("_k")
     w = W.partitionBy(*group, "n", "_b").orderBy(F.desc("v")).rowsBetween(W.unboundedPreceding, -1)
-    placed = each.join(start, [*group, "n", "_b"]).select(
+    # both tables grow with the rows: merged, so that none is gathered and broadcast by the driver
+    placed = each.join(start.hint("merge"), [*group, "n", "_b"]).select(
         *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("n").alias("_n"), F.col("v").alias("_v"),
         (F.col("_s") + F.coalesce(F.sum("_c").over(w), F.lit(0)) + 1).alias("rank"))
     same = F.col("n").eqNullSafe(F.col("_n")) & F.col("v").eqNullSafe(F.col("_v"))
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    ranked = long.join(placed, same).select(*group, *ids, "n", "rank")
+    ranked = long.join(placed.hint("merge"), same).select(*group, *ids, "n", "rank")
     return ranked.groupBy(*group, *ids).agg(
         *[F.max(F.when(F.col("n") == n, F.col("rank"))).alias(f"rank_{n}") for n in values]
     )
