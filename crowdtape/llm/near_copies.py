@@ -290,8 +290,10 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     place = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
     dealt = dealt.select("leader", "node", "chunks", F.explode(place).alias("chunk"))
+    # all documents are shuffled once for the texts that are in a bucket; both rounds of comparison read those
     ids = nodes.select("node", "doc_id", "text_key")
-    local = stored(_verified(_texts(dealt.select("leader", "chunk", "node").join(ids.hint("merge"), "node"), docs), ["leader", "chunk"], idf), "near-links")
+    texts = stored(_texts(members.select("node").distinct().join(ids.hint("merge"), "node"), docs), "near-texts")
+    local = stored(_verified(dealt.select("leader", "chunk", "node").join(texts.hint("merge"), "node"), ["leader", "chunk"], idf), "near-links")
 
     # groups of several chunks: what isn't with the leader meets all that may be its partner
     several = local.join(sizes.filter("chunks > 1").select("leader").hint("merge"), "leader")
@@ -304,7 +306,7 @@ def near_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     if not rest.isEmpty():
         pairs = rest.select("leader", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             "leader", "node", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-        more = stored(_verified(_texts(pairs.join(ids.hint("merge"), "node"), docs), ["leader", "one", "two"], idf), "near-links")
+        more = stored(_verified(pairs.join(texts.hint("merge"), "node"), ["leader", "one", "two"], idf), "near-links")
         edges = edges.unionByName(more.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     labels = components(edges)
