@@ -2,8 +2,9 @@
 
 A record's layout is recognised by the hash of its nested field paths. Known fingerprints select a
 declarative mapping into canonical turns (conv_id, turn, role, text); a record with further fields falls
-to the first mapping whose required paths it has; others are returned by ``unmapped``. Tables of turn
-rows are recognised by the paths of their own schema. Turns are then written with markers, control
+to the first mapping whose required paths it has; others are returned by ``unmapped``. The rows of a typed
+table are records whose paths are those of its schema: the same fingerprint picks the mapping, whether a row
+is a turn or a conversation. Turns are then written with markers, control
 strings inside texts are escaped reversibly, and the spans that training should learn from (assistant
 texts) are kept beside the text as code-point offsets.
 
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import new_path, query, read
 
@@ -67,10 +69,12 @@ LAYOUTS = (
            "question string, answer string", _fields(("user", "r.question"), ("assistant", "r.answer"))),
 )
 
-#: Layouts of tables whose rows are turns, by their columns: (columns, conversation, turn, role, text).
+#: Records that are one turn: ``turns`` gives their (conv_id, turn, role, text).
 ROW_LAYOUTS = (
-    (("conv_id", "role", "text", "turn"), "conv_id", "turn", "role", "text"),
-    (("content", "id", "index", "role"), "id", "index", "role", "content"),
+    Layout("turn", "OBJECT<conv_id, role, text, turn>", ("conv_id", "role", "text", "turn"), "conv_id long, turn long, role string, text string",
+           "array(named_struct('conv_id', r.conv_id, 'turn', r.turn, 'role', r.role, 'text', r.text))"),
+    Layout("indexed_message", "OBJECT<content, id, index, role>", ("content", "id", "index", "role"), "id long, `index` long, role string, content string",
+           "array(named_struct('conv_id', r.id, 'turn', r.`index`, 'role', r.role, 'text', r.content))"),
 )
 
 
@@ -84,13 +88,24 @@ def fingerprint(paths: Column) -> Column:
     return F.sha2(paths, 256)
 
 
-def layout_of(paths: Column) -> Column:
+def schema_paths(kind: T.DataType) -> str:
+    """The nested field paths of a typed record, written as ``nested_paths`` writes those of a JSON record."""
+    if isinstance(kind, T.ArrayType):
+        inner = schema_paths(kind.elementType)
+        return f"ARRAY<{inner}>" if inner else ""
+    if not isinstance(kind, T.StructType):
+        return ""
+    inner = ((f.name, schema_paths(f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name))
+    return "OBJECT<" + ", ".join(f"{name}: {p}" if p else name for name, p in inner) + ">"
+
+
+def layout_of(paths: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Name of the mapping: by fingerprint, else by the first layout whose required paths are there."""
     known = F.lit(None).cast("string")
-    for x in reversed(LAYOUTS):
+    for x in reversed(layouts):
         known = F.when(fingerprint(paths) == hashlib.sha256(x.paths.encode()).hexdigest(), x.name).otherwise(known)
     partly = F.lit(None).cast("string")
-    for x in reversed(LAYOUTS):
+    for x in reversed(layouts):
         there = F.lit(True)
         for p in x.required:
             there = there & paths.rlike(r"(^|[<, ])" + re.escape(p) + r"($|[>:, ]|(?<=<))")
@@ -119,13 +134,21 @@ def unmapped(records: DataFrame, record: str = "record") -> DataFrame:
     return recognised(records, record).filter(F.col("layout").isNull())
 
 
-def turns_of_rows(table: DataFrame) -> DataFrame:
-    """Canonical turns of a table whose rows are turns."""
-    for columns, conv, turn, role, text in ROW_LAYOUTS:
-        if set(columns) <= set(table.columns):
-            return table.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-                                F.col(role).alias("role"), F.col(text).alias("text"))
-    raise ValueError(f"no layout for the columns {sorted(table.columns)}")
+def turns_of_rows(table: DataFrame, conv: str | None = None) -> DataFrame:
+    """Canonical turns of a typed table. All of its rows have the nested paths of its schema, so their
+    fingerprint is looked up once, as that of a JSON record is. Rows that are conversations need ``conv``,
+    the column of their id."""
+    record = T.StructType([f for f in table.schema.fields if f.name != conv])
+    paths = F.lit(schema_paths(record))
+    layouts = LAYOUTS if conv else ROW_LAYOUTS
+    name = table.sparkSession.range(1).select(layout_of(paths, layouts).alias("layout")).first().layout
+    if name is None:
+        raise ValueError(f"no layout for the paths {schema_paths(record)}")
+    turns = F.expr(next(x.turns for x in layouts if x.name == name))
+    rows = table.select(*([F.col(conv).alias("conv_id")] if conv else []), F.struct(*[F.col(f"`{f.name}`") for f in record.fields]).alias("r"))
+    if not conv:
+        return rows.select(F.explode(turns).alias("_t")).select("_t.conv_id", F.col("_t.turn").cast("long").alias("turn"), "_t.role", "_t.text")
+    return rows.select("conv_id", F.posexplode(turns).alias("turn", "_t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "_t.role", "_t.text")
 
 
 def escaped(text: Column) -> Column:
