@@ -18,8 +18,8 @@ from .registry import query
 def s01_file(spark, sf):
     path = scratch(spark, "raw-log")
     rows = ST.canonical_row(X.posts(spark, sf))
-    # one file, so that its records have to be found across ranges
-    rows.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    # a file per task; those larger than a range have their records found across ranges
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     df = ST.read_raw_posts(spark, path, ST.RAW_COLUMNS)
     return df.select("post_id", "source", F.md5("text").alias("text_md5"), F.md5("title").alias("title_md5"), "ts")
 
