@@ -58,20 +58,22 @@ def append(df: DataFrame, path: str) -> int:
     return _publish(manifest(spark, path).unionByName(_describe(spark, folder)), path)
 
 
-def compact(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> int:
+def compact(spark: SparkSession, path: str, target_bytes: int = 128 << 20, target_rows: int = 1 << 20) -> int:
     """Rewrite files of less than half the target, clustered; returns the new version. Files that are large
-    enough stay as they are, and with them the ranges they have. Replaced files are found in the older versions
-    until ``vacuum``."""
+    enough, in bytes or rows, stay as they are, and with them the ranges they have. (A task sorts the rows of
+    one file; sorted ids and times take few bytes in a file and many in memory.) Replaced files are found in
+    the older versions until ``vacuum``."""
     now = manifest(spark, path)
-    small = now.filter(F.col("bytes") < target_bytes // 2)
-    total = small.agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    is_small = (F.col("bytes") < target_bytes // 2) & (F.col("rows") < max(1, target_rows // 2))
+    small = now.filter(is_small)
+    total = small.agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r"), F.count(F.lit(1)).alias("n")).first()
     if not total.n or total.n < 2:
         return (versions(spark, path) or [0])[-1]
     files = [r.file for r in small.select("file").collect()]  # names of the files to replace
     folder = f"{path}/data/{uuid.uuid4().hex}"
-    parts = max(1, -(-int(total.b) // target_bytes))
+    parts = max(1, -(-int(total.b) // target_bytes), -(-int(total.r) // target_rows))
     spark.read.parquet(*files).repartitionByRange(parts, "ticker", "ts").sortWithinPartitions("ticker", "ts").write.parquet(folder)
-    return _publish(now.filter(F.col("bytes") >= target_bytes // 2).unionByName(_describe(spark, folder)), path)
+    return _publish(now.filter(~is_small).unionByName(_describe(spark, folder)), path)
 
 
 def chosen(spark: SparkSession, path: str, tickers: list[str] | None = None, since=None, until=None) -> DataFrame:
