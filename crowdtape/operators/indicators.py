@@ -76,7 +76,7 @@ def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) ->
     return df.withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal"))
 
 
-def _rsi_value(gain: Column, loss: Column) -> Column:
+def rsi_value(gain: Column, loss: Column) -> Column:
     """All-gain runs give 100; no movement at all gives NULL."""
     return F.when(loss == 0, F.when(gain > 0, F.lit(100.0))).otherwise(
         100.0 - 100.0 / (1.0 + F.try_divide(gain, loss))
@@ -104,7 +104,7 @@ def add_rsi(df: DataFrame, n: int = 14, seed: str = "first", name: str = "rsi14"
         )
         first = n
     df = S.ewm_columns(df, KEYS, {"_gain": (up, 1.0 / n, first), "_loss": (dn, 1.0 / n, first)})
-    value = _rsi_value(F.col("_gain"), F.col("_loss"))
+    value = rsi_value(F.col("_gain"), F.col("_loss"))
     if seed == "mean":
         value = F.when(F.col("_loss") == 0, F.lit(100.0)).otherwise(value)
     return df.withColumn(name, F.when(F.col(S.ORD) >= n, value)).drop(

@@ -12,6 +12,8 @@ from ..operators import segments as S
 
 #: Bars before a look-back that averages need: the longest moving average and its own past.
 WARM_UP = 400
+#: Bars of the bands, and of the returns whose spread is reported.
+BANDS, RETURNS = 20, 60
 
 
 def technical_snapshot(
@@ -22,25 +24,72 @@ def technical_snapshot(
     a look-back asks for more).
 
     The tail is cut with a group limit before the only shuffle; every indicator is then a window over
-    the same partitioning and sort, and one aggregation per symbol reads the newest values.
+    the same partitioning, and one aggregation per symbol reads the newest values.  Averages that reach far
+    back are summed once per series, at its newest bar.  Frames that slide cost their length at every bar, so
+    only the bars that a look-back reads get them.
     """
     if as_of is not None:
         bars = bars.filter(F.col("ts") <= as_of)
     keys = list(I.KEYS)
     depth = max(depth, *(n + WARM_UP for n in (trend_days, vol_days, vol_base, sr_days, boll_days, obv_days)))
-    tail = S.tail_rows(bars, keys, depth)
-    size = F.max("_rn").over(W.partitionBy(*keys))
-    df = tail.withColumn(S.ORD, (size - F.col("_rn")).cast("long")).withColumns(
+    df = _newest_averages(S.tail_rows(bars, keys, depth), keys)
+    df = df.filter(F.col("_rn") <= max(trend_days, vol_days + vol_base + 5, sr_days, boll_days + BANDS, obv_days + 5, RETURNS + 1))
+    df = df.withColumn(S.ORD, (F.col("_size") - F.col("_rn")).cast("long")).withColumns(
         {S.SEG: F.lit(0), S.OWN: F.lit(True), S.BLK: F.floor(F.col(S.ORD) / S.EMA_BLOCK)}
     )
     return _report(df, keys, trend_days, vol_days, vol_base, sr_days, boll_days, obv_days).drop("_n")
 
 
+def _newest_averages(tail: DataFrame, keys: list[str]) -> DataFrame:
+    """W1, W5 and W6 at the newest bar of each series, on all rows of ``tail`` with the series' length.
+
+    An average smoothed by ``a`` is at the newest bar ``a`` times the sum of the values, each times (1 - a) to
+    the power of its age, and what the first value weighs beyond that.  An average of averages is the
+    difference of two such sums, so the whole report needs one sum for each factor.
+    """
+    rn, close, n = F.col("_rn"), F.col("close"), F.col("_size")
+    newest_first = W.partitionBy(*keys).orderBy(F.col("ts").desc())
+    whole = newest_first.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    factors = {"fast": 2.0 / 13, "slow": 2.0 / 27, "signal": 2.0 / 10}
+    sig, gain = factors["signal"], 1.0 / 14
+    chg = close - F.lead("close").over(newest_first)
+    change = lambda c: F.when(F.col("_chg").isNotNull(), F.greatest(c, F.lit(0.0)))
+    df = tail.withColumn("_chg", chg).withColumns({"_up": change(F.col("_chg")), "_dn": change(-F.col("_chg"))})
+    sums = {"_size": F.max("_rn").over(whole), "_first": F.last("close").over(whole)}
+    for name, a in factors.items():
+        sums[f"_t_{name}"] = F.sum(F.pow(F.lit(1.0 - a), rn) * close).over(whole)
+    for c in ("_up", "_dn"):
+        sums[f"_t{c}"] = F.sum(F.pow(F.lit(1.0 - gain), rn - 1) * F.col(c)).over(whole)
+        sums[f"_first{c}"] = F.last(c, ignorenulls=True).over(whole)
+    for k in (20, 50, 200):
+        c = F.when(rn <= k, close)
+        sums[f"sma{k}"] = F.when(F.count(c).over(whole) == k, F.avg(c).over(whole))
+    df = df.withColumns(sums)
+    power = lambda a, k: F.pow(F.lit(1.0 - a), k)
+
+    def average(name):
+        a = factors[name]
+        return F.col(f"_t_{name}") * (a / (1.0 - a)) + F.col("_first") * power(a, n)
+
+    def average_again(name):
+        a = factors[name]
+        both = (F.col("_t_signal") - F.col(f"_t_{name}")) * a + F.col("_first") * (power(sig, n) - power(a, n)) * (1.0 - a)
+        return both * (sig / (a - sig))
+
+    smooth = lambda c: F.col(f"_t{c}") * gain + F.col(f"_first{c}") * (1.0 - gain) * power(gain, n - 2)
+    df = df.withColumns(
+        {
+            "macd_line": average("fast") - average("slow"), "macd_signal": average_again("fast") - average_again("slow"),
+            "rsi14": F.when(n > 14, I.rsi_value(smooth("_up"), smooth("_dn"))),
+        }
+    ).withColumn("macd_hist", F.col("macd_line") - F.col("macd_signal"))
+    return df.drop("_chg", "_up", "_dn", *[k for k in sums if k[:3] != "sma" and k != "_size"])
+
+
 def _report(df, keys, trend_days, vol_days, vol_base, sr_days, boll_days, obv_days) -> DataFrame:
     w = S.seg_window(keys)
     rn = F.col("_rn")
-    df = df.withColumns({f"sma{n}": I.sma(F.col("close"), n, w) for n in (20, 50, 200)})
-    df = I.add_returns(I.add_bollinger(I.add_money_flow(I.add_macd(I.add_rsi(df))), w), w)
+    df = I.add_returns(I.add_bollinger(I.add_money_flow(df), w, BANDS), w, RETURNS)
     prev = F.when(F.col(S.ORD) > 0, F.lag("close").over(w))
     df = df.withColumns(
         {
@@ -52,7 +101,7 @@ def _report(df, keys, trend_days, vol_days, vol_base, sr_days, boll_days, obv_da
     )
     df = df.withColumn("_obv", F.sum("_sv").over(w.rowsBetween(W.unboundedPreceding, 0)))
     # a pivot needs three bars on both sides inside the looked-at days
-    inner = (rn > 3) & (rn <= F.least(F.lit(sr_days), F.max("_rn").over(W.partitionBy(*keys))) - 3)
+    inner = (rn > 3) & (rn <= F.least(F.lit(sr_days), F.col("_size")) - 3)
     sup = F.when(inner & (F.col("low") == F.col("_lo7")), F.col("low"))
     res = F.when(inner & (F.col("high") == F.col("_hi7")), F.col("high"))
     event = F.when((rn <= boll_days) & (F.col("close") < F.col("bb_lower")), "lower_breakout").when(
@@ -74,7 +123,7 @@ def _report(df, keys, trend_days, vol_days, vol_base, sr_days, boll_days, obv_da
     cur = F.when(rn <= vol_days, F.col("_r"))
     base = F.when((rn > vol_days) & (rn <= vol_days + vol_base), F.col("_r"))
     out = df.groupBy(*keys).agg(
-        F.max("ts").alias("asof"), F.count(F.lit(1)).alias("_n"),
+        F.max("ts").alias("asof"), F.max("_size").cast("long").alias("_n"),
         F.max_by(F.struct(*newest), "ts").alias("now"),
         F.max_by("_ev", at_event).alias("last_event"), F.max(at_event).cast("date").alias("last_event_date"),
         t_slope.alias("_slope"), t_r2.alias("r2"), o_slope.alias("obv_slope"), o_r2.alias("obv_r2"),
