@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as I
 from ..operators import segments as S
+from ..session import stored
 
 
 #: Bars before a look-back that averages need: the longest moving average and its own past.
@@ -229,12 +230,37 @@ def snapshot_series(
     return S.own_rows(df.withColumnRenamed("ts", "asof")).drop(*drop)
 
 
+#: A symbol asked for at up to this many bars gets a tail for each of them, one asked more often its series.
+FEW = 4
+
+
 def snapshots_at(bars: DataFrame, requests: DataFrame, **days) -> DataFrame:
     """C1 as of many moments: for each (symbol, as_of) the report at the last bar at or before it, so
-    that nothing after the moment is read."""
+    that nothing after the moment is read.
+
+    The series form slides every look-back over every bar; where few bars of a symbol are asked for, the tails
+    that end there cost far less. Bars of symbols that nobody asks for are read only to find that out.
+    """
     from ..operators.asof import asof_join
 
+    bars = stored(bars, "bars")  # read by the look-up and by both forms
     req = requests.select("symbol", "as_of").distinct()
     req = asof_join(req, bars.select("symbol", "ts"), ["symbol"], left_ts="as_of", right_ts="ts", columns=["ts"], name="_b")
-    req = req.filter("_b is not null").select("symbol", "as_of", F.col("_b.ts").alias("asof"))
-    return req.join(snapshot_series(bars, **days), ["symbol", "asof"])
+    req = stored(req.filter("_b is not null").select("symbol", "as_of", F.col("_b.ts").alias("asof")), "asked")
+    asked = req.select("symbol", "asof").distinct()
+    times = asked.groupBy("symbol").agg(F.count(F.lit(1)).alias("_times"))
+    most = times.agg(F.max("_times")).first()[0] or 0
+    out = None
+    if most <= FEW or not times.filter(F.col("_times") <= FEW).isEmpty():
+        out = _snapshots_of_tails(bars, asked.join(times.filter(F.col("_times") <= FEW), "symbol", "left_semi"), **days)
+    if most > FEW:
+        often = snapshot_series(bars.join(times.filter(F.col("_times") > FEW), "symbol", "left_semi"), **days)
+        out = often if out is None else often.unionByName(out, allowMissingColumns=True)
+    return req.join(out, ["symbol", "asof"])
+
+
+def _snapshots_of_tails(bars: DataFrame, asked: DataFrame, **days) -> DataFrame:
+    """The report at each asked (symbol, asof), from a series of its own that ends there."""
+    tails = bars.join(asked, "symbol").filter(F.col("ts") <= F.col("asof"))
+    tails = tails.withColumn("symbol", F.struct("symbol", "asof")).drop("asof")
+    return technical_snapshot(tails, **days).withColumn("symbol", F.col("symbol.symbol"))
