@@ -403,8 +403,11 @@ def apply_patch(df: DataFrame, patch: DataFrame, threshold: float) -> DataFrame:
 
 def enrich(info: DataFrame, perf: DataFrame, on_day: Column) -> DataFrame:
     """The whole enrichment as one plan over info(symbol, quote_type, long_name, short_name,
-    sector, industry, exchange, full_exchange, market_cap, average_volume) and W20's performance."""
-    df = info.withColumn("symbol", clean_symbol(F.col("symbol"))).withColumn(
+    sector, industry, exchange, full_exchange, market_cap, average_volume) and W20's performance.
+
+    A row costs much and is small, so a whole table may lie in one split: rows are dealt to all tasks first.
+    """
+    df = info.repartition("symbol").withColumn("symbol", clean_symbol(F.col("symbol"))).withColumn(
         "asset_type", asset_type(F.col("quote_type"), F.col("symbol"), F.col("long_name"))
     ).withColumn("themes", F.lit(""))
     df = fill_missing(df)
