@@ -37,9 +37,9 @@ class Retries(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
         new = [(r.ms, r.ok, r.reason) for r in rows if r.ms >= mark]
-        for at in {at for at, _, _ in new}:
-            self.handle.registerTimer(at + 1)
         if new:
+            # a timer settles all that the watermark has passed, so the first of them is enough
+            self.handle.registerTimer(min(at for at, _, _ in new) + 1)
             self.waiting.appendList(new)
         return iter(())
 
@@ -74,6 +74,8 @@ class Retries(StatefulProcessor):
             self.handle.registerTimer(due + 1)
         if here:
             self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(min(at for at, _, _ in later) + 1)
         if attempts:
             self.count.update((attempts, due, reason))
         elif self.count.exists():
