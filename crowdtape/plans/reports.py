@@ -9,6 +9,7 @@ from ..functions import payloads as P
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import posts as PO
+from ..session import stored
 from . import snapshot as S
 
 SUMMARY = "summariser"
@@ -35,9 +36,9 @@ def best_ticker(tickers: DataFrame) -> DataFrame:
     return t.groupBy("post_id").agg(F.min_by(F.trim("ticker"), F.struct(-F.col("confidence"), F.col("ticker"))).alias("ticker"))
 
 
-def interest_points(df: DataFrame) -> DataFrame:
+def interest_points(df: DataFrame, mover: Column | None = None) -> DataFrame:
     """C2, the arithmetic: ``df`` has the snapshot columns, ``summ`` (normalised summary), ``novelty``,
-    ``platform_name``, ``title`` and ``text``."""
+    ``platform_name``, and ``title`` and ``text`` unless ``mover`` says what they tell."""
     c = F.col
     r1, r5, sd = c("ret1d_pct"), c("ret5d_pct"), c("ret_std_pct")
     has = lambda r: r.isNotNull() & F.coalesce(sd != 0, F.lit(False))
@@ -54,7 +55,7 @@ def interest_points(df: DataFrame) -> DataFrame:
 
     summ = c("summ")
     big_move = F.coalesce(F.abs(r1) >= 10.0, F.lit(False))
-    mover = T.is_mover_post(c("title"), c("text")) | big_move
+    mover = (T.is_mover_post(c("title"), c("text")) if mover is None else mover) | big_move
     said_yes = F.exists(summ["catalysts"], lambda x: F.lower(F.trim(x)).isin("yes", "y"))
     cats = F.when(mover & said_yes, F.greatest(F.size(summ["catalysts"]), F.lit(2))).otherwise(F.size(summ["catalysts"]))
     stance_u = T.stance_value(summ["stance"])
@@ -91,13 +92,19 @@ def interest_scores(posts: DataFrame, stages: DataFrame, tickers: DataFrame, bar
     """C2 for every post: newest summary, best ticker, snapshot as of the post's time, novelty; a row
     that cannot be scored says why instead of failing.
 
-    Snapshots are taken per distinct (ticker, moment); all joins are equality joins.
+    Snapshots are taken per distinct (ticker, moment); all joins are equality joins.  A post's text is searched
+    once, where it is read, and goes through none of them.
     """
-    summ = PO.latest_stage_columns(stages, [SUMMARY]).withColumn("summ", P.summary(P.load(F.col(SUMMARY))))
-    summ = summ.withColumn("_has_summary", F.lit(True)).drop(SUMMARY)
-    df = posts.withColumn("at", PO.event_time()).join(summ, "post_id", "left").join(best_ticker(tickers), "post_id", "left")
+    # parsed in a step of its own: once per row, not once per field
+    summ = PO.latest_stage_columns(stages, [SUMMARY]).withColumn("_v", P.load(F.col(SUMMARY))).withColumn("summ", P.summary(F.col("_v")))
+    summ = summ.withColumn("_has_summary", F.lit(True)).drop(SUMMARY, "_v")
+    read = posts.withColumns({"at": PO.event_time(), "_mover": T.is_mover_post(F.col("title"), F.col("text"))})
+    df = read.drop("title", "text").join(summ, "post_id", "left").join(best_ticker(tickers), "post_id", "left")
     fallback = F.try_element_at(F.array_compact(F.transform(F.col("summ")["assets"], lambda a: a["ticker"])), F.lit(1))
-    df = df.withColumn("symbol", F.coalesce("ticker", fallback)).drop("ticker")
+    df = df.withColumn("symbol", F.coalesce("ticker", fallback))
+    # asked for moments and scored: thin rows, read twice
+    read_of = F.when(F.col("_has_summary"), F.struct(*[F.col("summ")[k].alias(k) for k in ("catalysts", "numbers", "stance", "flags", "spam_pct")]))
+    df = stored(df.select("post_id", "at", "source", "platform", "_mover", read_of.alias("summ"), "_has_summary", "symbol"), "to-score")
     day = F.date_trunc("hour", "at")  # bars are no finer, so posts of an hour share a snapshot
     req = df.filter("symbol is not null").select("symbol", day.alias("as_of")).distinct()
     snap = S.snapshots_at(bars, req)
@@ -107,7 +114,7 @@ def interest_scores(posts: DataFrame, stages: DataFrame, tickers: DataFrame, bar
     else:
         df = df.withColumn("novelty", F.lit(0.7))
     df = df.withColumn("platform_name", F.coalesce(F.nullif("source", F.lit("")), F.nullif("platform", F.lit("")), F.lit("reddit")))
-    out = interest_points(df)
+    out = interest_points(df, F.col("_mover"))
     error = (
         F.when(F.col("_has_summary").isNull(), "summary_not_found").when(F.col("symbol").isNull(), "no_ticker_detected")
         .when(F.col("close").isNull(), "price_data_unavailable")
