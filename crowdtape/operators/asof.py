@@ -11,22 +11,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .scan import running
 
+#: About what one task sorts when buckets are a number of rows: its memory does not grow with the input.
+TASK_ROWS = 500_000
+
 
 def depth_buckets(frames: Sequence[DataFrame], on: Sequence[str], depth: int, grid: str = "minute") -> DataFrame:
-    """(key, _g, _b): buckets of about ``depth`` rows over the timeline of every key, however its rows lie.
+    """(key, _g, _b, _n): buckets of about ``depth`` rows over the timeline of every key, however its rows lie.
 
     ``frames`` have the key and ``_t``. Rows are counted per (key, grid cell), a mergeable histogram; a
-    cell's bucket is its key's running count over the depth. Running counts go day by day plus what the days
-    before add up to, so no task sees a whole key.
+    cell's bucket is its key's running count over the depth. Running counts go month by month plus what the
+    months before add up to, so no task sees a whole key, and what months add up to is few rows.
     """
     cells = frames[0].select(*on, F.date_trunc(grid, "_t").alias("_g"))
     for f in frames[1:]:
         cells = cells.unionByName(f.select(*on, F.date_trunc(grid, "_t").alias("_g")))
-    cells = cells.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running(cells, list(on), F.date_trunc("day", F.col("_g")), ["_g"], {"_sum": ("sum", F.col("_n"))})
-    return placed.select(*on, "_g", F.floor((F.col("_sum") - F.col("_n")) / depth).alias("_b"))
+    cells = stored(cells.groupBy(*on, "_g").agg(F.count(F.lit(1)).alias("_n")), "histogram")
+    months = _dealt(cells.withColumn("_month", F.date_trunc("month", "_g")), cells.count(), *on, "_month")
+    placed = running(months, on, F.col("_month"), ["_g"], {"_sum": ("sum", F.col("_n"))})
+    return placed.select(*on, "_g", F.floor((F.col("_sum") - F.col("_n")) / depth).alias("_b"), "_n")
+
+
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over so many tasks that each gets ``TASK_ROWS`` of the ``rows`` or fewer. Spark merges
+    shuffle partitions down to the number of cores, and a task would sort what the input leaves to each."""
+    spark, tasks = df.sparkSession, -(-rows // TASK_ROWS)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def asof_join(
@@ -65,8 +79,13 @@ def asof_join(
     probes = left.select(*on, F.col(left_ts).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
     if isinstance(bucket, int):
         rows = rows.filter(F.col("_t").isNotNull())
-        cells = depth_buckets([rows, probes], on, bucket)
-        rows, probes = (df.withColumn("_g", F.date_trunc("minute", "_t")).join(cells, [*on, "_g"]).drop("_g") for df in (rows, probes))
+        # met by rows and by probes; merged, as compressed files say little about the size in memory
+        cells = stored(depth_buckets([rows, probes], on, bucket), "buckets")
+        size = cells.agg(F.sum("_n")).first()[0] or 0
+        cells = cells.drop("_n").hint("merge")
+        rows, probes = (
+            _dealt(df.withColumn("_g", F.date_trunc("minute", "_t")), size, *on, "_g").join(cells, [*on, "_g"]).drop("_g") for df in (rows, probes)
+        )
     else:
         rows, probes = (df.withColumn("_b", F.date_trunc(bucket, F.col("_t"))) for df in (rows, probes))
     pick = F.max_by if back else F.min_by
@@ -90,6 +109,8 @@ def asof_join(
         .unionByName(probes.withColumn("_kind", F.lit(rank_probe)), allowMissingColumns=True)
         .unionByName(seeds)
     )
+    if isinstance(bucket, int):
+        swept, left = _dealt(swept, size, *on, "_b"), _dealt(left, size, *on, left_ts)
     t = F.col("_t").asc_nulls_first() if back else F.col("_t").desc_nulls_first()
     w = W.partitionBy(*on, "_b").orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0)
     found = (
