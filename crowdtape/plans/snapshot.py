@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import indicators as I
 from ..operators import segments as S
@@ -154,6 +158,79 @@ def _report(df, keys, trend_days, vol_days, vol_base, sr_days, boll_days, obv_da
     return I.with_cross_flags(out).drop("rows")
 
 
+#: What :func:`_trailing` adds as numbers.
+FRAMES = ["sma20", "sma50", "sma200", "bb_upper", "bb_lower", "ret_std_pct", "_slope", "trend_r2", "obv_slope", "obv_r2",
+          "_sc", "_sb", "nearest_support", "nearest_resistance"]
+
+
+def _trailing(trend_days: int, vol_days: int, vol_base: int, sr_days: int, boll_days: int, obv_days: int):
+    """The sliding look-backs at every bar of one segment, as a function of its rows: a look-back is a row of a
+    view on the segment's column.  Values are taken relative to the bar's own, so what does not move has a spread
+    of exactly zero."""
+    order = S.ORD
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        col = lambda c: t[c].to_numpy().astype(float)
+        n, close = t.num_rows, col("close")
+
+        def ago(y, first, last):
+            """A view of ``y`` at the ages ``first`` to ``last``, a column each; unknown before the segment's first bar."""
+            padded = np.concatenate([np.full(last, np.nan), y])
+            return sliding_window_view(padded, last + 1)[:, ::-1][:, first:]
+
+        def sums(y, first, last):
+            """Which are known, and by how much each differs from the bar's own."""
+            d = ago(y, first, last) - np.where(np.isnan(y), 0.0, y)[:, None]
+            known = ~np.isnan(d)
+            d[~known] = 0.0
+            return known, d, known.sum(1), d.sum(1), np.einsum("ij,ij->i", d, d)
+
+        def spread(y, first, last):
+            _, _, c, s, q = sums(y, first, last)
+            some = np.where(c > 0, c, np.nan)
+            return c, np.sqrt(np.maximum(c * q - s * s, 0.0)) / some
+
+        def line(y, days):
+            known, d, c, s, q = sums(y, 0, days - 1)
+            age = -np.arange(days, dtype=float)
+            x, xx, xs = known @ age, known @ (age * age), d @ age
+            sxx, syy, sxy = c * xx - x * x, c * q - s * s, c * xs - x * s
+            sxx = np.where(sxx > 0, sxx, np.nan)
+            return sxy / sxx, np.where(syy > 0, sxy * sxy / (sxx * np.where(syy > 0, syy, 1.0)), 0.0)
+
+        def mean(days):  # one after the other: equal closes give the same bits as an average in Spark
+            return sum(ago(close, 0, days - 1).T) / days
+
+        out = {f"sma{d}": mean(d) for d in (20, 50, 200)}
+        c, std = spread(close, 0, BANDS - 1)
+        std = np.where(c == BANDS, std, np.nan)
+        out |= {"bb_upper": out["sma20"] + 2.0 * std, "bb_lower": out["sma20"] - 2.0 * std}
+        c, std = spread(col("_ret"), 0, RETURNS - 1)
+        out["ret_std_pct"] = np.where(c >= 20, std * 100.0, np.nan)
+        (out["_slope"], out["trend_r2"]), (out["obv_slope"], out["obv_r2"]) = line(col("_ln"), trend_days), line(col("_obv"), obv_days)
+        nc, out["_sc"] = spread(col("_r"), 0, vol_days - 1)
+        nb, out["_sb"] = spread(col("_r"), vol_days, vol_days + vol_base - 1)
+        # a pivot has three bars on both sides inside the look-back
+        sup, res, now = ago(col("_sup"), 3, sr_days - 4), ago(col("_res"), 3, sr_days - 4), close[:, None]
+        low = np.fmax.reduce(np.where(sup <= now, sup, np.nan), axis=1, initial=np.nan)
+        high = np.fmin.reduce(np.where(res >= now, res, np.nan), axis=1, initial=np.nan)
+        out |= {"nearest_support": low, "nearest_resistance": high}
+        event = np.where(close < out["bb_lower"], 1, np.where(close > out["bb_upper"], 2, 0))
+        at = np.where(event > 0, np.arange(n), -1)
+        at = np.maximum.accumulate(at) if n else at  # the last event so far, if it lies in the look-back
+        at = np.where(at > np.arange(n) - boll_days, at, -1)
+        picked = pa.array(at, mask=at < 0)
+        out = {c: pa.array(out[c], pa.float64(), from_pandas=True) for c in FRAMES} | {"_nc": pa.array(nc.astype("int64")), "_nb": pa.array(nb.astype("int64"))}
+        out["last_event"] = pa.array([None, "lower_breakout", "upper_breakout"]).take(pa.array(np.where(at < 0, 0, event[at])))
+        out["_ev_ts"] = t["ts"].combine_chunks().take(picked)
+        for c, v in out.items():
+            t = t.append_column(c, v)
+        return t
+
+    return run
+
+
 def snapshot_series(
     bars: DataFrame, *, trend_days: int = 30, vol_days: int = 20, vol_base: int = 60, sr_days: int = 90,
     boll_days: int = 30, obv_days: int = 30, **seg,
@@ -161,53 +238,36 @@ def snapshot_series(
     """C1 at every bar: the same report with every look-back as a trailing frame.
 
     Costs a constant number of windows over one segmented shuffle of the bars, however many moments
-    are asked for later.
+    are asked for later.  Frames that slide run over a segment's columns (:func:`_trailing`): as windows they
+    would be summed anew, row by row, at every bar.
     """
     keys = I.KEYS
     df, w = I.segmented(bars, **seg), S.seg_window(keys)
     ordinal = F.col(S.ORD)
-    df = df.withColumns({f"sma{n}": I.sma(F.col("close"), n, w) for n in (20, 50, 200)})
-    df = I.add_returns(I.add_bollinger(I.add_money_flow(I.add_macd(I.add_rsi(df))), w), w)
+    df = I.add_money_flow(I.add_macd(I.add_rsi(df)))
     change = F.when(ordinal > 0, F.col("close") - F.lag("close").over(w))
     near = w.rowsBetween(-3, 3)
     full = F.count(F.lit(1)).over(near) == 7
     df = df.withColumns(
         {
-            "_r": F.try_divide(change, F.col("close") - change),
+            "_ret": F.try_divide(F.col("close"), F.when(ordinal > 0, F.lag("close").over(w))) - 1.0,
+            "ret5d_pct": (F.try_divide(F.col("close"), F.when(ordinal >= 5, F.lag("close", 5).over(w))) - 1.0) * 100.0,
+            "_r": F.try_divide(change, F.col("close") - change), "_ln": F.ln("close"),
             "_obv": F.sum(F.coalesce(F.signum(change), F.lit(0.0)) * F.col("volume")).over(w.rowsBetween(W.unboundedPreceding, 0)),
             "_sup": F.when(full & (F.col("low") == F.min("low").over(near)), F.col("low")),
             "_res": F.when(full & (F.col("high") == F.max("high").over(near)), F.col("high")),
-            "_ev": F.when(F.col("close") < F.col("bb_lower"), "lower_breakout").when(F.col("close") > F.col("bb_upper"), "upper_breakout"),
-        }
-    )
-
-    def back(n, to=0):
-        return w.rowsBetween(-(n - 1), -to)
-
-    def line(y, n):
-        x, f = ordinal.cast("double"), back(n)
-        return F.regr_slope(y, x).over(f), F.when(F.regr_syy(y, x).over(f) > 0, F.regr_r2(y, x).over(f)).otherwise(0.0)
-
-    t_slope, t_r2 = line(F.ln("close"), trend_days)
-    o_slope, o_r2 = line(F.col("_obv"), obv_days)
-    pivots = w.rowsBetween(-(sr_days - 4), -3)
-    ev_ts = F.when(F.col("_ev").isNotNull(), F.col("ts"))
-    df = df.withColumns(
-        {
-            "_slope": t_slope, "trend_r2": t_r2, "obv_slope": o_slope, "obv_r2": o_r2,
-            "_nr": F.least(ordinal, F.lit(vol_days + vol_base + 4)), "_nc": F.count("_r").over(back(vol_days)), "_sc": F.stddev_pop("_r").over(back(vol_days)),
-            "_nb": F.count("_r").over(back(vol_days + vol_base, vol_days)), "_sb": F.stddev_pop("_r").over(back(vol_days + vol_base, vol_days)),
-            "_sups": F.collect_list("_sup").over(pivots), "_ress": F.collect_list("_res").over(pivots),
-            "last_event": F.last("_ev", ignorenulls=True).over(back(boll_days)),
-            "last_event_date": F.max(ev_ts).over(back(boll_days)).cast("date"),
         }
-    )
-    df = df.filter(S.OWN).withColumn("_n", ordinal + 1)
+    ).withColumn("ret1d_pct", F.col("_ret") * 100.0)
+    days = dict(trend_days=trend_days, vol_days=vol_days, vol_base=vol_base, sr_days=sr_days, boll_days=boll_days, obv_days=obv_days)
+    added = ", ".join(f"{c} double" for c in FRAMES) + ", _nc long, _nb long, last_event string, _ev_ts timestamp"
+    df = df.groupBy(*keys, S.SEG).applyInArrow(_trailing(**days), T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields]))
+    df = df.filter(S.OWN).withColumn("_n", ordinal + 1).withColumn("_nr", F.least(ordinal, F.lit(vol_days + vol_base + 4)))
     last = F.col("close")
+    width = F.col("bb_upper") - F.col("bb_lower")
     df = df.withColumns(
         {
-            "nearest_support": F.array_max(F.filter("_sups", lambda x: x <= last)),
-            "nearest_resistance": F.array_min(F.filter("_ress", lambda x: x >= last)),
+            "bandwidth": F.try_divide(width, F.col("sma20")), "pct_b": F.try_divide(last - F.col("bb_lower"), width),
+            "last_event_date": F.col("_ev_ts").cast("date"),
             "rows": F.least(F.col("_n"), F.lit(trend_days + 5)), "r2": F.col("trend_r2"),
         }
     )
@@ -226,7 +286,7 @@ def snapshot_series(
         }
     )
     df = I.with_cross_flags(df.withColumn("mfi_state", I.money_flow_state(F.col("mfi"))))
-    drop = ["_r", "_obv", "_sup", "_res", "_ev", "_sups", "_ress", "_n", "rows", "open", "high", "low", "volume", "bb_mid", "bb_std", "bb_upper", "bb_lower"]
+    drop = ["_ret", "_r", "_ln", "_obv", "_sup", "_res", "_ev_ts", "_n", "rows", "open", "high", "low", "volume", "bb_upper", "bb_lower"]
     return S.own_rows(df.withColumnRenamed("ts", "asof")).drop(*drop)
 
 
